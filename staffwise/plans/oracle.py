@@ -271,3 +271,116 @@ ORACLE["lookalike_direct"] = scenario_sql("single", "direct")
 ORACLE["scenario_demand"] = scenario_sql("demand", "weighted")
 ORACLE["scenario_staffing"] = scenario_sql("staffing", "weighted")
 ORACLE["scenario_double"] = scenario_sql("double", "weighted")
+
+
+# --- planner --------------------------------------------------------------------------------------------
+
+PLANNER = """
+pweek AS (SELECT language, o_orderdate::DATE - CAST(dayofweek(o_orderdate::DATE) AS INTEGER) AS week, usd, level,
+                 o_totalprice FROM ok),
+pfr2 AS (SELECT language, week, usd, level, COUNT(*) AS cnt,
+                SUM(CAST(ROUND(o_totalprice * 100.0) AS BIGINT)) AS cents FROM pweek GROUP BY 1, 2, 3, 4),
+pf AS (
+    SELECT language AS workbook, '1. Weekly Planner OPI' AS sheet, CAST(week AS DATE) AS week,
+           usd || ' ' || level || ' Volume (ACTUAL)' AS metric, 'Volume (ACTUAL)' AS family, usd, level,
+           CAST(cnt AS DOUBLE) AS value FROM pfr2
+    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' OCC Assumptions (' || level || '):',
+           'OCC Assumptions', usd, level, (176 + cnt % 32) / 256.0 FROM pfr2
+    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' AHT (ACTUAL)',
+           'AHT (ACTUAL)', usd, level, floor(cents / cnt / 78.125) / 128.0 FROM pfr2
+    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Occupancy Rate',
+           'Occupancy Rate', usd, level, (150 + cnt % 64) / 256.0 FROM pfr2
+    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Q4 Time',
+           'Q4 Time', usd, level, CAST(cnt % 40 AS DOUBLE) + 0.5 FROM pfr2
+    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Staffing Requirement (ACTUAL)',
+           'Staffing Requirement (ACTUAL)', usd, level, CAST(cnt * 3 AS DOUBLE) FROM pfr2
+    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Staffing (ACTUAL/FORECASTED)',
+           'Staffing (ACTUAL/FORECASTED)', usd, level, CAST(cnt * 3 + cnt % 11 AS DOUBLE) FROM pfr2),
+pocc AS (SELECT workbook, sheet, week, usd, level, value AS occ_assumption FROM pf WHERE family = 'OCC Assumptions'),
+pocc_comb AS (
+    SELECT workbook, sheet, week, usd, level, occ_assumption FROM pocc
+    UNION ALL SELECT workbook, sheet, week, 'Combined', level, AVG(occ_assumption) FROM pocc
+    WHERE level IN ('L4', 'L5') GROUP BY 1, 2, 3, 5
+    UNION ALL SELECT workbook, sheet, week, usd, 'Combined', AVG(occ_assumption) FROM pocc GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT workbook, sheet, week, 'Combined', 'Combined', AVG(m) FROM
+        (SELECT workbook, sheet, week, usd, AVG(occ_assumption) AS m FROM pocc GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+"""
+PW = "workbook, sheet, week"
+
+
+def planner_q(body: str, doubles: list[str], others: list[str]) -> str:
+    return "WITH " + BASE + ", " + PLANNER + " " + final(body, doubles, others)
+
+
+ORACLE["planner_cells"] = planner_q("SELECT * FROM pf", ["value"],
+                                    ["workbook", "sheet", "week", "metric", "family", "usd", "level"])
+ORACLE["planner_select"] = planner_q("SELECT * FROM pf WHERE usd = 'Global' AND level = 'L4'", ["value"],
+                                     ["workbook", "sheet", "week", "metric", "family", "usd", "level"])
+ORACLE["planner_levels"] = planner_q(
+    "SELECT DISTINCT workbook, sheet, usd, level FROM pf WHERE family = 'Staffing Requirement (ACTUAL)'", [],
+    ["workbook", "sheet", "usd", "level"])
+ORACLE["occ_mean"] = planner_q("SELECT * FROM pocc_comb", ["occ_assumption"], [PW, "usd", "level"])
+ORACLE["occ_volume"] = planner_q(f"""
+    SELECT {PW}, COALESCE(usd, 'Combined') AS usd,
+           SUM(COALESCE(o.value, 0.0) * COALESCE(v.value, 0.0)) / NULLIF(SUM(COALESCE(v.value, 0.0)), 0) AS occ_assumption
+    FROM (SELECT * FROM pf WHERE family = 'OCC Assumptions') o
+    FULL JOIN (SELECT * FROM pf WHERE family = 'Volume (ACTUAL)') v USING (workbook, sheet, week, usd, level)
+    WHERE level IN ('L3', 'L4', 'L5')
+    GROUP BY GROUPING SETS (({PW}, usd), ({PW}))""", ["occ_assumption"], [PW, "usd"])
+ORACLE["weekly_to_daily"] = planner_q("""
+    SELECT workbook AS language, usd, level, occ_assumption, CAST(week + CAST(i AS INTEGER) AS DATE) AS date
+    FROM pocc_comb CROSS JOIN range(7) t(i)""", ["occ_assumption"], ["language", "usd", "level", "date"])
+ORACLE["weekly_to_hourly"] = planner_q("""
+    SELECT workbook AS language, usd, level, occ_assumption,
+           CAST(week AS TIMESTAMP) + to_hours(CAST(i AS BIGINT)) AS ts
+    FROM pocc_comb CROSS JOIN range(168) t(i)""", ["occ_assumption"], ["language", "usd", "level", "ts"])
+ORACLE["occ_unpivot"] = planner_q(f"""
+    SELECT w.workbook, w.sheet, w.week, l.level, l.usd, l.usd || ' OCC Assumptions (' || l.level || '):' AS label,
+           o.occ_assumption
+    FROM (SELECT DISTINCT {PW} FROM pocc) w
+    CROSS JOIN (SELECT * FROM (VALUES ('USD', 'L3'), ('USD', 'L4'), ('USD', 'L5'), ('Global', 'L3'), ('Global', 'L4'),
+                                      ('Global', 'L5')) v(usd, level)) l
+    LEFT JOIN pocc o ON o.workbook = w.workbook AND o.sheet = w.sheet AND o.week = w.week AND o.usd = l.usd
+                    AND o.level = l.level""", ["occ_assumption"], [PW, "level", "usd", "label"])
+ORACLE["label_split"] = planner_q(r"""
+    SELECT metric,
+           CASE WHEN regexp_matches(metric, '\([^)]*\)')
+                     AND regexp_matches(regexp_extract(metric, '\(([^)]*)\)', 1), 'L3|L4|L5|Combined')
+                THEN regexp_extract(metric, '\(([^)]*)\)', 1) END AS level_in_parens,
+           CASE WHEN regexp_matches(metric, '\([^)]*\)') THEN
+                CASE WHEN contains(metric, 'USD') THEN 'USD' WHEN contains(metric, 'Global') THEN 'Global'
+                     WHEN contains(metric, 'Combined') THEN 'Combined' END END AS category
+    FROM (SELECT DISTINCT metric FROM pf)""", [], ["metric", "level_in_parens", "category"])
+GS = f"GROUPING SETS (({PW}, usd, level), ({PW}, usd), ({PW}, level), ({PW}))"
+ORACLE["rollup_volume"] = planner_q(f"""
+    SELECT {PW}, COALESCE(usd, 'Combined') AS usd, COALESCE(level, 'Combined') AS level, SUM(value) AS volume,
+           COUNT(CASE WHEN value IS NULL THEN 1 END) AS n_missing
+    FROM pf WHERE family = 'Volume (ACTUAL)' GROUP BY {GS}""", ["volume"], [PW, "usd", "level", "n_missing"])
+
+
+def _weighted(fam: str) -> str:
+    return f"""
+    SELECT {PW}, COALESCE(usd, 'Combined') AS usd, COALESCE(level, 'Combined') AS level,
+           SUM(x.value * v.value) / NULLIF(SUM(CASE WHEN x.value IS NOT NULL THEN v.value END), 0) AS weighted,
+           SUM(v.value) AS volume, '{fam}' AS family
+    FROM (SELECT * FROM pf WHERE family = '{fam}') x
+    JOIN (SELECT * FROM pf WHERE family = 'Volume (ACTUAL)') v USING (workbook, sheet, week, usd, level)
+    GROUP BY {GS}"""
+
+
+ORACLE["rollup_weighted"] = planner_q(_weighted("AHT (ACTUAL)") + " UNION ALL " + _weighted("OCC Assumptions"),
+                                      ["weighted", "volume"], [PW, "usd", "level", "family"])
+ORACLE["rollup_staffing"] = planner_q(f"""
+    SELECT {PW}, level, family, SUM(value) AS value, 'Combined' AS usd FROM pf
+    WHERE family IN ('Staffing Requirement (ADJUSTED FORECAST)', 'Staffing Requirement Adjustment',
+                     'Staffing Requirement (ORIGINAL FORECAST)', 'Staffing Requirement (ACTUAL)',
+                     'Staffing Requirement (Variance)', 'Staffing (ACTUAL/FORECASTED)')
+    GROUP BY ALL""", ["value"], [PW, "level", "family", "usd"])
+ORACLE["rollup_site"] = planner_q(f"""
+    SELECT {PW}, family,
+           SUM(x.value * v.volume) / NULLIF(SUM(CASE WHEN x.value IS NOT NULL THEN v.volume END), 0) AS weighted,
+           COUNT(DISTINCT usd) AS n_sites
+    FROM (SELECT * FROM pf WHERE family IN ('AHT (ACTUAL)', 'OCC Assumptions', 'Occupancy Rate', 'Q4 Time')) x
+    JOIN (SELECT workbook, sheet, week, usd, level, value AS volume FROM pf WHERE family = 'Volume (ACTUAL)') v
+    USING (workbook, sheet, week, usd, level)
+    GROUP BY ALL""", ["weighted"], [PW, "family", "n_sites"])

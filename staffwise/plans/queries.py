@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from staffwise.functions.mathx import stable
+from staffwise.constants import DETAIL_LEVELS
+from staffwise.functions.text import category_of_label, level_in_parens
 from staffwise.operators import lookalike as la
+from staffwise.operators import planner as pl
+from staffwise.operators import rollup as ru
 from staffwise.plans import pipelines as pp
+from staffwise.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,7 +74,8 @@ def q_datamart_day(spark, sf):
 # --- scenario analysis --------------------------------------------------------------------------------
 
 def _hist(spark, sf):
-    return la.analysis_input(pp.datamart_day(spark, sf))
+    """The analysis history, checkpointed once: baseline, band join and report all read it."""
+    return materialize(la.analysis_input(pp.datamart_day(spark, sf)))
 
 
 @query("weekly_kpi")
@@ -119,3 +125,92 @@ def q_scenario_double(spark, sf):
     """SCN8 (flagship): 14 x 14 demand x staffing scenarios for every group in one band join."""
     return la.evaluate(_hist(spark, sf), pp.WEEK_START, la.change_table(spark, "double"), "weighted",
                        pp.REFERENCE_YEAR)
+
+
+# --- planner ------------------------------------------------------------------------------------------
+
+@query("planner_cells")
+def q_planner_cells(spark, sf):
+    """SRC3 + SRC4 + PRJ3 + JN6: planner cells -> weekly long facts (header from 3 cells, week per column)."""
+    return pp.planner_facts(spark, sf)
+
+
+@query("planner_select")
+def q_planner_select(spark, sf):
+    """PRJ4: the facts of the choice (Global, L4)."""
+    return pl.select_level(pp.planner_facts(spark, sf), "Global", "L4")
+
+
+@query("planner_levels")
+def q_planner_levels(spark, sf):
+    """PRJ5: the (usd, level) options offered by the staffing-requirement rows."""
+    return pl.level_options(pp.planner_facts(spark, sf))
+
+
+@query("occ_mean")
+def q_occ_mean(spark, sf):
+    """AGG6: detail and unweighted combined occupancy assumptions."""
+    return pp.occ_combined(spark, sf)
+
+
+@query("occ_volume")
+def q_occ_volume(spark, sf):
+    """AGG7: volume-weighted occupancy assumption per usd and overall."""
+    return pl.occ_volume_weighted(pp.planner_facts(spark, sf))
+
+
+@query("weekly_to_daily")
+def q_weekly_to_daily(spark, sf):
+    """RSH1: combined weekly assumptions expanded to days."""
+    from staffwise.operators.datamart import assumption_daily
+    return assumption_daily(pp.occ_combined(spark, sf))
+
+
+@query("weekly_to_hourly")
+def q_weekly_to_hourly(spark, sf):
+    """RSH3: combined weekly assumptions expanded to 168 hours."""
+    from staffwise.operators.datamart import assumption_hourly
+    return assumption_hourly(pp.occ_combined(spark, sf))
+
+
+OCC_LABELS = [f"{u} OCC Assumptions ({lv}):" for u in ("USD", "Global") for lv in DETAIL_LEVELS]
+
+
+@query("occ_unpivot")
+def q_occ_unpivot(spark, sf):
+    """PRJ6 + RSH2 + RSH4: wide label columns (explicit pivot list) back to (level, usd) rows."""
+    occ = pl.occ_assumptions(pp.planner_facts(spark, sf))
+    return pl.unpivot_occ(pl.wide_occ(occ, OCC_LABELS), OCC_LABELS)
+
+
+@query("label_split")
+def q_label_split(spark, sf):
+    """STR1 + STR2: level and category from every distinct planner header."""
+    f = pp.planner_facts(spark, sf).select("metric").distinct()
+    return f.select("metric", level_in_parens("metric").alias("level_in_parens"),
+                    category_of_label("metric").alias("category"))
+
+
+@query("rollup_volume")
+def q_rollup_volume(spark, sf):
+    """AGG8 + AGG25: volume cube over (usd, level)."""
+    return ru.rollup_volume(pp.planner_facts(spark, sf))
+
+
+@query("rollup_weighted")
+def q_rollup_weighted(spark, sf):
+    """AGG9 + AGG10: volume-weighted AHT and occupancy assumption cubes."""
+    f = pp.planner_facts(spark, sf)
+    return ru.rollup_weighted(f, "AHT (ACTUAL)").unionByName(ru.rollup_weighted(f, "OCC Assumptions"))
+
+
+@query("rollup_staffing")
+def q_rollup_staffing(spark, sf):
+    """AGG11: staffing metrics summed over USD and Global per level."""
+    return ru.rollup_staffing(pp.planner_facts(spark, sf))
+
+
+@query("rollup_site")
+def q_rollup_site(spark, sf):
+    """AGG12: volume-weighted combination of four families across sites."""
+    return ru.rollup_site(pp.planner_facts(spark, sf))

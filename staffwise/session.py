@@ -56,3 +56,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     sub = tempfile.mktemp(prefix=f"{name}-", dir="")  # name only, nothing created locally
     return os.path.join(base, "staffwise", sub)
+
+
+def materialize(df):
+    """Cut a lineage that several branches reuse: a reliable checkpoint into the shared
+    ``spark.checkpoint.dir`` (never a local checkpoint), so a lost executor cannot lose it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

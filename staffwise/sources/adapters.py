@@ -63,6 +63,20 @@ def line_facts(spark: SparkSession, sf: str) -> DataFrame:
         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
+def line_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The one pass over lineitem: exact sums at the finest grain the three exports need
+    (date, language, usd, level, linestatus, returnflag). Calls, FTE and occupancy are all
+    re-aggregated from this much smaller table, so the big join and scan happen once."""
+    return line_facts(spark, sf).groupBy("date", "language", "usd", "level", "l_linestatus", "l_returnflag").agg(
+        F.sum("l_quantity").alias("qty"),
+        F.sum(_hundredths("l_extendedprice")).alias("ext_cents"),
+        F.sum(_hundredths("l_discount") * F.col("l_quantity").cast("long")).alias("disc_q"),
+        F.sum(_hundredths("l_tax") * F.col("l_quantity").cast("long")).alias("tax_q"),
+        F.sum(F.when(F.col("l_tax") <= 0.06, F.lit(1)).otherwise(F.lit(0))).alias("tax_ok"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
 # --- T1 calls (day) -----------------------------------------------------------------------------
 
 def calls_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,13 +86,13 @@ def calls_day(spark: SparkSession, sf: str) -> DataFrame:
     one division of exact sums and identical in Spark and in the oracle.
     """
     media = F.when(F.col("l_linestatus") == "F", F.lit("OPI")).otherwise(F.lit("VIDEO"))
-    g = line_facts(spark, sf).groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
-        F.sum("l_quantity").alias("calls"),
-        F.sum(_hundredths("l_extendedprice")).cast("double").alias("_ext"),
-        F.sum(_hundredths("l_discount") * F.col("l_quantity").cast("long")).cast("double").alias("_disc"),
-        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(F.lit(0.0))).alias("_ret"),
-        F.sum(F.when(F.col("l_tax") <= 0.06, F.lit(1)).otherwise(F.lit(0))).cast("double").alias("_ok"),
-        F.count(F.lit(1)).cast("double").alias("_n"),
+    g = line_stats(spark, sf).groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
+        F.sum("qty").alias("calls"),
+        F.sum("ext_cents").cast("double").alias("_ext"),
+        F.sum("disc_q").cast("double").alias("_disc"),
+        F.sum(F.when(F.col("l_returnflag") == "R", F.col("qty")).otherwise(F.lit(0.0))).alias("_ret"),
+        F.sum("tax_ok").cast("double").alias("_ok"),
+        F.sum("n").cast("double").alias("_n"),
     )
     met = dyadic(F.col("_ok") / F.col("_n"), 12)
     return g.select(
@@ -112,17 +126,16 @@ def fte_day(spark: SparkSession, sf: str) -> DataFrame:
     for k, v in PRODUCT_OF_FLAG.items():
         product = F.when(F.col("l_returnflag") == k, F.lit(v)).otherwise(product)
     location = F.when(F.col("usd") == "USD", F.lit("USD")).otherwise(F.lit("Non-USD"))
-    return line_facts(spark, sf).groupBy(
+    return line_stats(spark, sf).groupBy(
         "date", "language", location.alias("location"), agent.alias("agent_type"), product.alias("product")
-    ).agg((F.sum("l_quantity") / 8.0).alias("weekly_ftes"))
+    ).agg((F.sum("qty") / 8.0).alias("weekly_ftes"))
 
 
 def occ_day(spark: SparkSession, sf: str) -> DataFrame:
     """T3 typed: (date, language, usd, level, req_media ['OPI'|'Video'], occ)."""
     media = F.when(F.col("l_linestatus") == "F", F.lit("OPI")).otherwise(F.lit("Video"))
-    g = line_facts(spark, sf).groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
-        F.sum(_hundredths("l_tax") * F.col("l_quantity").cast("long")).cast("double").alias("_t"),
-        F.sum("l_quantity").alias("_q"))
+    g = line_stats(spark, sf).groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
+        F.sum("tax_q").cast("double").alias("_t"), F.sum("qty").alias("_q"))
     return g.select("date", "language", "usd", "level", "req_media",
                     dyadic(F.lit(0.6) + F.lit(0.03) * F.col("_t") / F.col("_q"), 12).alias("occ"))
 
