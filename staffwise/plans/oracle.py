@@ -384,3 +384,184 @@ ORACLE["rollup_site"] = planner_q(f"""
     JOIN (SELECT workbook, sheet, week, usd, level, value AS volume FROM pf WHERE family = 'Volume (ACTUAL)') v
     USING (workbook, sheet, week, usd, level)
     GROUP BY ALL""", ["weighted"], [PW, "family", "n_sites"])
+
+
+# --- cleaning, dates, text ---------------------------------------------------------------------------------
+
+GKS = "language, req_media, usd, level"
+CLEAN_CALLS = """
+ccalls AS (SELECT date, language, usd, req_media, level, abns,
+                  CASE WHEN k % 50 = 0 THEN NULL ELSE calls END AS calls, q2,
+                  CASE WHEN (k + 7) % 50 = 0 THEN NULL ELSE aht END AS aht, abn_pct, met, missed
+           FROM (SELECT *, date_diff('day', DATE '1992-01-01', date) + length(language) + length(usd) + length(level) AS k
+                 FROM calls))
+"""
+CC_DOUBLES = ["abns", "calls", "q2", "aht", "abn_pct", "met", "missed"]
+CC_OTHER = ["date", "language", "usd", "req_media", "level"]
+
+
+def cc_q(body, doubles=CC_DOUBLES, others=CC_OTHER):
+    return "WITH " + BASE + ", " + CLEAN_CALLS + " " + final(body, doubles, others)
+
+
+ORACLE["clean_numeric"] = cc_q("SELECT * FROM ccalls")
+ORACLE["impute_mean"] = cc_q("""SELECT * REPLACE (COALESCE(calls, AVG(calls) OVER ()) AS calls,
+                                                 COALESCE(aht, AVG(aht) OVER ()) AS aht) FROM ccalls""")
+ORACLE["fill_zero"] = cc_q("SELECT * REPLACE (COALESCE(calls, 0.0) AS calls, COALESCE(aht, 0.0) AS aht) FROM ccalls")
+ORACLE["drop_incomplete"] = cc_q("SELECT * FROM ccalls WHERE calls IS NOT NULL AND aht IS NOT NULL")
+ORACLE["clean_fte"] = "WITH " + BASE + " " + final("""
+    SELECT date, language, CASE WHEN usd = 'USD' THEN 'USD' ELSE 'Global' END AS usd, level AS level_ix,
+           CASE WHEN product = 'Video Dedicated' THEN 'VIDEO' ELSE product END AS req_media,
+           CASE WHEN (date_diff('day', DATE '1992-01-01', date) + length(agent) + length(product)) % 50 = 0 THEN NULL
+                ELSE weekly_ftes END AS weekly_ftes, level
+    FROM (SELECT date, language, usd, level,
+                 CASE level WHEN 'L3' THEN 'L3 - Core' WHEN 'L4' THEN 'L4 - MSI' WHEN 'L5' THEN 'L5 - All Call' END AS agent,
+                 CASE l_returnflag WHEN 'A' THEN 'OPI' WHEN 'N' THEN 'Hybrid' WHEN 'R' THEN 'Video Dedicated' END AS product,
+                 SUM(l_quantity) / 8.0 AS weekly_ftes
+          FROM lf GROUP BY 1, 2, 3, 4, 5, 6)""", ["weekly_ftes"], ["date", "language", "usd", "level_ix", "req_media", "level"])
+ORACLE["clean_occ"] = "WITH " + BASE + " " + final("SELECT * FROM occ_g", ["occ"],
+                                                   ["date", "language", "usd", "level", "req_media"])
+ORACLE["lenient_minute"] = """
+SELECT event_id, ts_text,
+       date_trunc('minute', COALESCE(try_strptime(ts_text, '%d-%m-%Y %H:%M'), try_strptime(ts_text, '%Y-%m-%d %H:%M'),
+                                     try_strptime(ts_text, '%d/%m/%Y %H:%M'), try_strptime(ts_text, '%m/%d/%Y %H:%M')))
+           AS minute
+FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%d-%m-%Y %H:%M') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M')
+                                         WHEN 2 THEN strftime(ts, '%d/%m/%Y %H:%M') ELSE strftime(ts, '%m/%d/%Y %H:%M') END
+                 AS ts_text FROM events)"""
+ORACLE["sundays"] = "WITH " + BASE + f""" SELECT *, CAST(max_date - CAST(dayofweek(max_date) AS INTEGER) AS DATE) AS sunday_on_or_before,
+       CAST((max_date - 1) - CAST(dayofweek(max_date - 1) AS INTEGER) AS DATE) AS sunday_before
+FROM (SELECT {GKS}, MAX(CASE WHEN dayofweek(date) = 0 THEN date END) AS latest_sunday, MAX(date) AS max_date,
+             MIN(date) AS min_date, COUNT(*) AS n_days FROM calls GROUP BY ALL)"""
+ORACLE["week_of_year_sunday"] = "WITH " + BASE + """ SELECT date, CAST(strftime(date, '%U') AS INTEGER) AS week_of_year,
+       CAST(year(date) AS INTEGER) AS year, strftime(date, '%Y-%m-%d') AS date_text FROM (SELECT DISTINCT date FROM calls)"""
+ORACLE["day_spine"] = "WITH " + BASE + " " + final(f"""
+    SELECT g.language, g.req_media, g.usd, g.level, CAST(DATE '{WEEK_START}' + CAST(i AS INTEGER) AS DATE) AS date,
+           d.demand, d.requirement
+    FROM (SELECT DISTINCT {GKS} FROM datamart) g CROSS JOIN range(7) t(i)
+    LEFT JOIN (SELECT {GKS}, date, AVG(demand) AS demand, AVG(requirement) AS requirement FROM datamart GROUP BY ALL) d
+      ON d.language = g.language AND d.req_media = g.req_media AND d.usd = g.usd AND d.level = g.level
+     AND d.date = DATE '{WEEK_START}' + CAST(i AS INTEGER)""", ["demand", "requirement"],
+    ["language", "req_media", "usd", "level", "date"])
+ORACLE["language_match"] = "WITH " + BASE + """,
+    hyb AS (SELECT r_name AS language, r_regionkey AS src_order, (8 + 2 * r_regionkey) / 64.0 AS l4,
+                   (16 + 2 * r_regionkey) / 64.0 AS l5 FROM region),
+    codes AS (SELECT DISTINCT upper(substr(language, 1, 3)) AS code FROM calls),
+    m AS (SELECT code, arg_min(h.language, src_order) AS matched_language, arg_min(l4, src_order) AS l4_hybrid_pct,
+                 arg_min(l5, src_order) AS l5_hybrid_pct
+          FROM codes JOIN hyb h ON starts_with(upper(h.language), upper(trim(code))) GROUP BY code),
+    c AS (SELECT code, COUNT(*) AS n_contains FROM codes JOIN hyb h ON contains(upper(h.language), upper(trim(code)))
+          GROUP BY code)
+    """ + final("""SELECT m.*, c.n_contains,
+                   CASE WHEN matched_language = 'ASL' THEN 'AMERICAN SIGN LANGUAGE' ELSE matched_language END AS alias
+                   FROM m LEFT JOIN c USING (code)""", ["l4_hybrid_pct", "l5_hybrid_pct"],
+                ["code", "matched_language", "n_contains", "alias"])
+
+
+# --- features, splits ----------------------------------------------------------------------------------------
+
+def _ladder(col: str, edges, labels) -> str:
+    parts = " ".join(f"WHEN {col} >= {float(e)} THEN '{lab}'" for e, lab in reversed(list(zip(edges, labels))))
+    return f"CASE WHEN {col} IS NULL OR isnan({col}) THEN NULL {parts} ELSE NULL END"
+
+
+ABN_E = [0.0, 2.0, 4.0, 6.0, 8.0]
+ABN_L = ["0-2%", "2-4%", "4-6%", "6-8%", "8%+"]
+Q2_E = [0, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50]
+Q2_L = ["0-5", "5-10", "10-15", "15-20", "20-25", "25-30", "30-35", "35-40", "40-45", "45-50", "50+"]
+
+
+def _ohname(prefix, lab):
+    return prefix + "_" + lab.replace("%", "").replace("+", "_plus").replace("-", "_")
+
+
+def dm_q(body, doubles, others):
+    return "WITH " + BASE + " " + final(body, doubles, others)
+
+
+ORACLE["bucket_abn_q2"] = dm_q(f"""SELECT {GKS}, date, abn_pct, q2, {_ladder('abn_pct', ABN_E, ABN_L)} AS abn_bucket,
+                                   {_ladder('q2', Q2_E, Q2_L)} AS q2_bucket FROM datamart""",
+                               ["abn_pct", "q2"], ["language", "req_media", "usd", "level", "date", "abn_bucket",
+                                                   "q2_bucket"])
+_oh = [(_ohname("abn", lab), "ab", lab) for lab in ABN_L[1:]] + [(_ohname("q2", lab), "qb", lab) for lab in Q2_L[1:]]
+ORACLE["onehot"] = dm_q(f"""SELECT {GKS}, date,
+        {", ".join(f"CAST(COALESCE({c} = '{lab}', FALSE) AS INTEGER) AS {n}" for n, c, lab in _oh)}
+    FROM (SELECT *, {_ladder('abn_pct', ABN_E, ABN_L)} AS ab, {_ladder('q2', Q2_E, Q2_L)} AS qb FROM datamart)""",
+    [], ["language", "req_media", "usd", "level", "date", *[n for n, _, _ in _oh]])
+ORACLE["ratios"] = dm_q(f"""SELECT {GKS}, date,
+        CASE WHEN staffing IS NOT NULL AND staffing <> 0 THEN calls / staffing ELSE 0.0 END AS calls_per_fte,
+        CASE WHEN demand IS NULL OR staffing = 0 THEN 0.0 ELSE demand / staffing END AS demand_per_fte,
+        abn_pct * demand AS abandon_demand FROM datamart""",
+    ["calls_per_fte", "demand_per_fte", "abandon_demand"], ["language", "req_media", "usd", "level", "date"])
+ORACLE["trim_quantile"] = dm_q(f"""
+    SELECT d.language, d.req_media, d.usd, d.level, d.date, d.staffing
+    FROM (SELECT * FROM datamart WHERE staffing > 0) d
+    JOIN (SELECT {GKS}, quantile_cont(staffing, 0.05) AS lo, quantile_cont(staffing, 0.95) AS hi
+          FROM datamart WHERE staffing > 0 GROUP BY ALL) b USING (language, req_media, usd, level)
+    WHERE d.staffing BETWEEN b.lo AND b.hi""", ["staffing"], ["language", "req_media", "usd", "level", "date"])
+ORACLE["time_split"] = dm_q(f"""
+    SELECT x.*, s.split_date, CASE WHEN x.date <= s.split_date THEN 'train' ELSE 'test' END AS part
+    FROM (SELECT {GKS}, date FROM datamart) x JOIN (
+        SELECT {GKS}, date AS split_date FROM (
+            SELECT {GKS}, date, ROW_NUMBER() OVER (PARTITION BY {GKS} ORDER BY date) - 1 AS idx,
+                   COUNT(*) OVER (PARTITION BY {GKS}) AS n FROM datamart)
+        WHERE idx = CAST(floor(n * 0.7) AS BIGINT)) s USING (language, req_media, usd, level)""", [],
+    ["language", "req_media", "usd", "level", "date", "split_date", "part"])
+HB = "CAST(CAST(('0x' || substr(md5(concat_ws('|', language, req_media, usd, level, CAST(date AS VARCHAR))), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
+ORACLE["hash_split"] = dm_q(f"""SELECT {GKS}, date, {HB} AS bucket,
+        CASE WHEN {HB} = 0 THEN 'test' ELSE 'train' END AS part FROM datamart""", [],
+    ["language", "req_media", "usd", "level", "date", "bucket", "part"])
+ORACLE["folds"] = dm_q(f"""SELECT {GKS}, date, CAST(ntile(5) OVER (PARTITION BY {GKS} ORDER BY date) AS INTEGER) AS fold
+    FROM datamart""", [], ["language", "req_media", "usd", "level", "date", "fold"])
+
+
+def _c(a, b):
+    return f"(s_{a}_{b} - s_{a} * s_{b} / n)"
+
+
+_det = f"({_c('q2','q2')} * {_c('abn_pct','abn_pct')} - {_c('q2','abn_pct')} * {_c('q2','abn_pct')})"
+_b1 = f"(({_c('q2','sl')} * {_c('abn_pct','abn_pct')} - {_c('abn_pct','sl')} * {_c('q2','abn_pct')}) / NULLIF({_det}, 0))"
+_b2 = f"(({_c('abn_pct','sl')} * {_c('q2','q2')} - {_c('q2','sl')} * {_c('q2','abn_pct')}) / NULLIF({_det}, 0))"
+ORACLE["ols_two_feature"] = dm_q(f"""
+    WITH hs AS (SELECT {GKS}, date, q2, abn_pct, met AS sl, {HB} AS bucket FROM datamart),
+    g AS (SELECT {GKS}, CAST(COUNT(*) AS DOUBLE) AS n, SUM(q2) AS s_q2, SUM(abn_pct) AS s_abn_pct, SUM(sl) AS s_sl,
+                 SUM(q2 * q2) AS s_q2_q2, SUM(q2 * abn_pct) AS s_q2_abn_pct, SUM(abn_pct * abn_pct) AS s_abn_pct_abn_pct,
+                 SUM(q2 * sl) AS s_q2_sl, SUM(abn_pct * sl) AS s_abn_pct_sl
+          FROM hs WHERE bucket <> 0 AND q2 IS NOT NULL AND abn_pct IS NOT NULL AND sl IS NOT NULL GROUP BY ALL),
+    coef AS (SELECT {GKS}, CAST(n AS BIGINT) AS n_train,
+                    (s_sl - {_b1} * s_q2 - {_b2} * s_abn_pct) / n AS intercept, {_b1} AS b_q2, {_b2} AS b_abn_pct FROM g),
+    t AS (SELECT h.*, c.intercept + c.b_q2 * h.q2 + c.b_abn_pct * h.abn_pct AS pred
+          FROM hs h JOIN coef c USING (language, req_media, usd, level) WHERE h.bucket = 0),
+    m AS (SELECT {GKS}, COUNT(*) AS n_eval, AVG(abs(sl - pred)) AS mae, AVG((sl - pred) * (sl - pred)) AS mse,
+                 1.0 - SUM((sl - pred) * (sl - pred)) / NULLIF(SUM(sl * sl) - SUM(sl) * SUM(sl) / COUNT(*), 0) AS r2
+          FROM t GROUP BY ALL)
+    SELECT * FROM coef LEFT JOIN m USING (language, req_media, usd, level)""",
+    ["intercept", "b_q2", "b_abn_pct", "mae", "mse", "r2"], ["language", "req_media", "usd", "level", "n_train", "n_eval"])
+
+# --- activity --------------------------------------------------------------------------------------------------
+
+EV = """ev AS (SELECT user_id AS "user", event_type AS tool, ts FROM events),
+sess_f AS (SELECT *, CASE WHEN LAG(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(LAG(ts) OVER w) > 195000000
+                          THEN 1 ELSE 0 END AS nw
+           FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY ts)),
+sess_g AS (SELECT *, SUM(nw) OVER (PARTITION BY "user" ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM sess_f),
+sess AS (SELECT "user", MIN(ts) AS session_start, MAX(ts) AS session_end, COUNT(*) AS n_events,
+                (epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1e6 AS total_seconds, COUNT(DISTINCT tool) AS n_tools,
+                string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools_used
+         FROM sess_g GROUP BY "user", sid)"""
+ORACLE["sessions"] = "WITH " + EV + " " + final("SELECT * FROM sess", ["total_seconds"],
+                                                ['"user"', "session_start", "session_end", "n_events", "n_tools",
+                                                 "tools_used"])
+ORACLE["session_summary"] = "WITH " + EV + " " + final("""
+    SELECT s."user", COUNT(*) AS n_sessions, SUM(total_seconds) AS total_seconds, MAX(session_end) AS ended_at,
+           CAST(SUM(n_events) AS BIGINT) AS n_events, MAX(t.n_tools) AS n_tools
+    FROM sess s JOIN (SELECT "user", COUNT(DISTINCT tool) AS n_tools FROM ev GROUP BY 1) t USING ("user")
+    GROUP BY s."user\"""", ["total_seconds"], ['"user"', "n_sessions", "ended_at", "n_events", "n_tools"])
+ORACLE["tool_dwell"] = "WITH " + EV + """,
+    tf AS (SELECT *, CASE WHEN LAG(tool) OVER w IS NULL OR tool <> LAG(tool) OVER w THEN 1 ELSE 0 END AS nw
+           FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY ts, tool)),
+    tg AS (SELECT *, SUM(nw) OVER (PARTITION BY "user" ORDER BY ts, tool ROWS UNBOUNDED PRECEDING) AS vid FROM tf),
+    tv AS (SELECT "user", vid, MIN(tool) AS tool, MIN(ts) AS started, MAX(ts) AS last FROM tg GROUP BY 1, 2)
+    """ + final("""SELECT "user", tool, started,
+        (epoch_us(COALESCE(LEAD(started) OVER (PARTITION BY "user" ORDER BY vid), last)) - epoch_us(started)) / 1e6
+            AS seconds FROM tv""", ["seconds"], ['"user"', "tool", "started"])

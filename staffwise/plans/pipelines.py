@@ -9,6 +9,7 @@ from staffwise.functions.clean import convert_fte, convert_hybrid, convert_occ
 from staffwise.operators import fte as fte_ops
 from staffwise.operators import planner as pl
 from staffwise.operators.datamart import assumption_daily, build_datamart
+from staffwise.session import materialize
 from staffwise.sources import adapters as ad
 
 # fixed test parameters
@@ -16,19 +17,19 @@ WEEK_START = "2001-06-03"
 REFERENCE_YEAR = 2001
 
 
-def calls(spark: SparkSession, sf: str) -> DataFrame:
-    return ad.calls_day(spark, sf)
+def calls(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+    return ad.calls_day(spark, sf, stats)
 
 
-def fte_clean(spark: SparkSession, sf: str) -> DataFrame:
+def fte_clean(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
     """T2 through its converter (typed export written as text, then cleaned)."""
-    raw = ad.fte_day(spark, sf).withColumn("date_text", F.col("date").cast("string")) \
+    raw = ad.fte_day(spark, sf, stats).withColumn("date_text", F.col("date").cast("string")) \
         .withColumn("weekly_ftes", F.col("weekly_ftes").cast("string"))
     return convert_fte(raw)
 
 
-def occ_clean(spark: SparkSession, sf: str) -> DataFrame:
-    raw = ad.occ_day(spark, sf).withColumn("date_text", F.col("date").cast("string")) \
+def occ_clean(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+    raw = ad.occ_day(spark, sf, stats).withColumn("date_text", F.col("date").cast("string")) \
         .withColumn("occ", F.col("occ").cast("string"))
     return convert_occ(raw)
 
@@ -37,8 +38,8 @@ def hybrid_clean(spark: SparkSession, sf: str) -> DataFrame:
     return convert_hybrid(ad.hybrid_shares(spark, sf))
 
 
-def fte_pivoted(spark: SparkSession, sf: str) -> DataFrame:
-    return fte_ops.fte_pivot(fte_clean(spark, sf))
+def fte_pivoted(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+    return fte_ops.fte_pivot(fte_clean(spark, sf, stats))
 
 
 def language_shares(spark: SparkSession, sf: str, pivoted: DataFrame) -> DataFrame:
@@ -46,13 +47,13 @@ def language_shares(spark: SparkSession, sf: str, pivoted: DataFrame) -> DataFra
     return m.select(F.col("code").alias("language"), "l4_hybrid_pct", "l5_hybrid_pct")
 
 
-def fte_totals(spark: SparkSession, sf: str, shared: bool = False) -> DataFrame:
-    p = fte_pivoted(spark, sf)
+def fte_totals(spark: SparkSession, sf: str, shared: bool = False, stats: DataFrame | None = None) -> DataFrame:
+    p = fte_pivoted(spark, sf, stats)
     return fte_ops.hybrid_split(p, language_shares(spark, sf, p), shared=shared)
 
 
-def fte_comb(spark: SparkSession, sf: str) -> DataFrame:
-    return fte_ops.fte_combined(fte_totals(spark, sf))
+def fte_comb(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+    return fte_ops.fte_combined(fte_totals(spark, sf, stats=stats))
 
 
 def planner_facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,5 +65,8 @@ def occ_combined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def datamart_day(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
-    return build_datamart(calls(spark, sf), fte_comb(spark, sf), assumption_daily(occ_combined(spark, sf)),
-                          occ_clean(spark, sf), media=media)
+    """The three exports come from one pass over lineitem: its per-day statistics (a table of
+    days x groups, far smaller than lineitem) are checkpointed once and read three times."""
+    stats = materialize(ad.line_stats(spark, sf))
+    return build_datamart(calls(spark, sf, stats), fte_comb(spark, sf, stats),
+                          assumption_daily(occ_combined(spark, sf)), occ_clean(spark, sf, stats), media=media)

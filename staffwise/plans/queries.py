@@ -214,3 +214,259 @@ def q_rollup_staffing(spark, sf):
 def q_rollup_site(spark, sf):
     """AGG12: volume-weighted combination of four families across sites."""
     return ru.rollup_site(pp.planner_facts(spark, sf))
+
+
+# --- cleaning, dates, text ------------------------------------------------------------------------------
+
+
+from staffwise.constants import ABN_LABELS, Q2_EDGES, Q2_LABELS  # noqa: E402
+from staffwise.functions import clean as cl  # noqa: E402
+from staffwise.functions import dates as dt  # noqa: E402
+from staffwise.functions.text import contains_match, language_alias, level_of_text  # noqa: E402
+from staffwise.operators import activity as act  # noqa: E402
+from staffwise.operators import features as fe  # noqa: E402
+from staffwise.operators import models as mo  # noqa: E402
+from staffwise.operators.fte import match_languages  # noqa: E402
+from staffwise.sources import adapters as ad  # noqa: E402
+
+GK = ["language", "req_media", "usd", "level"]
+
+
+def _clean_calls(spark, sf):
+    return cl.convert_calls(ad.calls_text(spark, sf))
+
+
+@query("clean_numeric")
+def q_clean_numeric(spark, sf):
+    """CLN1-CLN3 + DAT1: the calls export cleaned (mixed dates, '%' and commas, junk -> NULL)."""
+    return _clean_calls(spark, sf)
+
+
+@query("clean_fte")
+def q_clean_fte(spark, sf):
+    """CLN4 + STR3: the FTE export cleaned (level code, location / product mapping)."""
+    f = cl.convert_fte(ad.fte_text(spark, sf))
+    return f.withColumn("level", level_of_text("level_ix"))
+
+
+@query("clean_occ")
+def q_clean_occ(spark, sf):
+    """CLN5 + CLN7: the occupancy export cleaned, 'Video' -> 'VIDEO'."""
+    return cl.convert_occ(ad.occ_text(spark, sf))
+
+
+MINUTE_TEXT = ["dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm"]
+
+
+@query("lenient_minute")
+def q_lenient_minute(spark, sf):
+    """DAT2: event times written in four formats parsed back in priority order (day first), to the minute."""
+    from staffwise.sources.tables import read_table
+    e = read_table(spark, sf, "events", ["event_id", "ts"])
+    k = F.col("event_id") % 4
+    txt = F.when(k == 0, F.date_format("ts", MINUTE_TEXT[0])).when(k == 1, F.date_format("ts", MINUTE_TEXT[1])) \
+        .when(k == 2, F.date_format("ts", MINUTE_TEXT[2])).otherwise(F.date_format("ts", MINUTE_TEXT[3]))
+    return e.select("event_id", txt.alias("ts_text")).select("event_id", "ts_text",
+                                                             dt.lenient_minute("ts_text").alias("minute"))
+
+
+@query("impute_mean")
+def q_impute_mean(spark, sf):
+    """CLN10: NULL calls / AHT replaced by the column mean over all rows."""
+    return cl.impute_mean(_clean_calls(spark, sf), ["calls", "aht"])
+
+
+@query("fill_zero")
+def q_fill_zero(spark, sf):
+    """CLN9: NULL calls / AHT replaced by 0."""
+    return cl.fill_zero(_clean_calls(spark, sf), ["calls", "aht"])
+
+
+@query("drop_incomplete")
+def q_drop_incomplete(spark, sf):
+    """CLN11: rows with a NULL calls or AHT dropped."""
+    return cl.drop_incomplete(_clean_calls(spark, sf), ["calls", "aht"])
+
+
+@query("sundays")
+def q_sundays(spark, sf):
+    """DAT6-DAT8 + AGG24: per group the latest Sunday present, the Sunday on/before and strictly before the last date."""
+    c = pp.calls(spark, sf)
+    g = c.groupBy(*GK).agg(dt.latest_sunday(F.col("date")).alias("latest_sunday"), F.max("date").alias("max_date"),
+                           F.min("date").alias("min_date"), F.count(F.lit(1)).alias("n_days"))
+    return g.withColumns({"sunday_on_or_before": dt.sunday_on_or_before(F.col("max_date")),
+                          "sunday_before": dt.sunday_strictly_before(F.col("max_date"))})
+
+
+@query("week_of_year_sunday")
+def q_week_of_year(spark, sf):
+    """DAT3-DAT5 + DAT9: every distinct day with its Sunday-based week number, year and ISO text."""
+    d = pp.calls(spark, sf).select("date").distinct()
+    return d.select("date", dt.week_of_year_sunday(F.col("date")).alias("week_of_year"),
+                    F.year("date").alias("year"), F.date_format("date", "yyyy-MM-dd").alias("date_text"))
+
+
+@query("day_spine")
+def q_day_spine(spark, sf):
+    """DAT10 + AGG22: the 7 days from the week start for every group, with the daily mean demand and requirement."""
+    dm = pp.datamart_day(spark, sf)
+    groups = dm.select(*GK).distinct()
+    days = groups.select(*GK, F.explode(dt.week_days(F.to_date(F.lit(pp.WEEK_START)))).alias("date"))
+    daily = dm.groupBy(*GK, "date").agg(F.avg("demand").alias("demand"), F.avg("requirement").alias("requirement"))
+    return days.join(daily, [*GK, "date"], "left")
+
+
+@query("language_match")
+def q_language_match(spark, sf):
+    """STR5-STR7: three-letter codes matched to the hybrid table by prefix (first row wins), containment count, alias."""
+    hyb = pp.hybrid_clean(spark, sf)
+    codes = pp.calls(spark, sf).select(F.upper(F.substring("language", 1, 3)).alias("language")).distinct()
+    m = match_languages(codes, hyb)
+    cnt = codes.join(hyb.withColumnRenamed("language", "h"), contains_match(F.col("language"), F.col("h"))) \
+        .groupBy(F.col("language").alias("code")).agg(F.count(F.lit(1)).alias("n_contains"))
+    return m.join(cnt, "code", "left").withColumn("alias", language_alias(F.col("matched_language")))
+
+
+# --- features, splits ------------------------------------------------------------------------------------
+
+def _dm(spark, sf):
+    return pp.datamart_day(spark, sf)
+
+
+@query("bucket_abn_q2")
+def q_bucket(spark, sf):
+    """RSH5: ABN % (percent points) and Q2 buckets, left-closed, last open."""
+    dm = _dm(spark, sf)
+    return dm.select(*GK, "date", "abn_pct", "q2",
+                     fe.bucketize(F.col("abn_pct"), fe.abn_edges(), ABN_LABELS).alias("abn_bucket"),
+                     fe.bucketize(F.col("q2"), [float(e) for e in Q2_EDGES], Q2_LABELS).alias("q2_bucket"))
+
+
+@query("onehot")
+def q_onehot(spark, sf):
+    """RSH6 + ML10: prepared features with one-hot buckets (first label dropped)."""
+    x = fe.prepare_features(_dm(spark, sf))
+    return x.select(*GK, "date", *fe.onehot_names(ABN_LABELS, "abn"), *fe.onehot_names(Q2_LABELS, "q2"))
+
+
+@query("ratios")
+def q_ratios(spark, sf):
+    """PRJ13: calls and demand per FTE, abandon demand."""
+    return fe.ratios(_dm(spark, sf)).select(*GK, "date", "calls_per_fte", "demand_per_fte", "abandon_demand")
+
+
+@query("trim_quantile")
+def q_trim(spark, sf):
+    """FLT6: positive staffing within the group's 5-95 % quantiles."""
+    return fe.trim_quantiles(_dm(spark, sf).select(*GK, "date", "staffing"), GK)
+
+
+@query("time_split")
+def q_time_split(spark, sf):
+    """WIN3: positional 70/30 time split per group."""
+    return fe.time_split(_dm(spark, sf).select(*GK, "date"), GK)
+
+
+@query("hash_split")
+def q_hash_split(spark, sf):
+    """ML1: repeatable 80/20 split by md5 of the row key."""
+    return fe.hash_split(_dm(spark, sf).select(*GK, "date"), [*GK, "date"])
+
+
+@query("folds")
+def q_folds(spark, sf):
+    """WIN5: five contiguous folds in date order per group."""
+    return fe.folds(_dm(spark, sf).select(*GK, "date"), GK)
+
+
+@query("ols_two_feature")
+def q_ols2(spark, sf):
+    """ML2 + ML11: per group service level ~ Q2 + ABN % on the train part, MAE / R2 on the test part."""
+    dm = fe.hash_split(_dm(spark, sf).select(*GK, "date", "q2", "abn_pct", F.col("met").alias("sl")),
+                       [*GK, "date"])
+    g = mo.gram(dm.where(F.col("part") == "train"), GK, ["q2", "abn_pct"], "sl")
+    coef = g.select(*GK, F.col("n").cast("long").alias("n_train"), *mo.ols2_closed_form(g, "q2", "abn_pct", "sl"))
+    test = dm.where(F.col("part") == "test").join(coef, GK).withColumn("pred", mo.predict(["q2", "abn_pct"]))
+    return coef.join(mo.metrics(test, GK, "sl"), GK, "left")
+
+
+# --- activity ----------------------------------------------------------------------------------------------
+
+@query("sessions")
+def q_sessions(spark, sf):
+    """ACT1: inactivity sessions (gap 195 s) per user."""
+    return act.sessions(ad.activity(spark, sf))
+
+
+@query("session_summary")
+def q_session_summary(spark, sf):
+    """ACT2: per-user session totals."""
+    return act.session_summary(act.sessions(ad.activity(spark, sf)))
+
+
+@query("tool_dwell")
+def q_tool_dwell(spark, sf):
+    """ACT3: one row per tool visit with its dwell time."""
+    return act.tool_dwell(ad.activity(spark, sf))
+
+
+@query("sessions_stream")
+def q_sessions_stream(spark, sf):
+    """ACT5: the sessions of ACT1 on Structured Streaming (watermark + session_window, closed sessions)."""
+    from staffwise.streaming.sessions_stream import run_sessions_stream
+    return run_sessions_stream(spark, sf)
+
+
+# --- models (rows-only check: fitted per group from Gram sums, solved with numpy per group) ----------
+
+def _week_means(dm):
+    ws = F.to_date(F.lit(pp.WEEK_START))
+    return dm.where(F.col("date").between(ws, F.date_add(ws, 6))).groupBy(*GK).agg(
+        F.avg("q2").alias("m_q2"), F.avg("abn_pct").alias("m_abn_pct"), F.avg("occ_assumption").alias("m_occ_assumption"),
+        F.avg("staffing").alias("m_staffing"), F.avg("occupancy_rate").alias("m_occupancy_rate"),
+        (F.sum("demand") / 7.0).alias("m_demand"))
+
+
+@query("sl_sensitivity")
+def q_sl_sensitivity(spark, sf):
+    """ML2 + SCN9: service level predicted at the week's Q2 shifted by -2..+2 seconds, per group."""
+    from staffwise.constants import SL_Q2_OFFSETS
+    dm = _dm(spark, sf).withColumnRenamed("met", "sl")
+    coef = mo.fit_ols(dm, GK, ["q2", "abn_pct"], "sl")
+    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in SL_Q2_OFFSETS], "q2_change double"))
+    x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
+        *GK, "q2_change", (F.col("m_q2") + F.col("q2_change")).alias("q2"), F.col("m_abn_pct").alias("abn_pct"),
+        "intercept", "b_q2", "b_abn_pct")
+    return x.select(*GK, "q2_change", "q2", "abn_pct", F.round(mo.predict(["q2", "abn_pct"]), 4).alias("predicted_sl"))
+
+
+REQ_FEATURES = ["occ_assumption", "staffing", "demand", "occupancy_rate"]
+
+
+@query("fte_demand_grid")
+def q_fte_demand_grid(spark, sf):
+    """ML3 + SCN10 + SCN11: FTE requirement predicted with daily demand changed by -25..+25 %, per group."""
+    from staffwise.constants import PERCENT_STEPS_15
+    dm = _dm(spark, sf)
+    coef = mo.fit_ols(dm, GK, REQ_FEATURES, "requirement")
+    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in PERCENT_STEPS_15], "demand_change double"))
+    x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
+        *GK, "demand_change", F.col("m_occ_assumption").alias("occ_assumption"), F.col("m_staffing").alias("staffing"),
+        (F.col("m_demand") * (1 + F.col("demand_change") / 100.0)).alias("demand"),
+        F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
+    return x.select(*GK, "demand_change", "demand", mo.predict(REQ_FEATURES).cast("long").alias("fte"))
+
+
+@query("fte_occ_grid")
+def q_fte_occ_grid(spark, sf):
+    """ML3 + SCN12: FTE requirement predicted with the occupancy assumption moved -10..+10 points, clamped to [0, 1]."""
+    from staffwise.constants import OCC_ASSUMPTION_POINT_STEPS
+    from staffwise.functions.mathx import clamp
+    dm = _dm(spark, sf)
+    coef = mo.fit_ols(dm, GK, REQ_FEATURES, "requirement")
+    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in OCC_ASSUMPTION_POINT_STEPS], "occ_change double"))
+    x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
+        *GK, "occ_change", clamp(F.col("m_occ_assumption") + F.col("occ_change") / 100.0, 0.0, 1.0).alias("occ_assumption"),
+        F.col("m_staffing").alias("staffing"), F.col("m_demand").alias("demand"),
+        F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
+    return x.select(*GK, "occ_change", "occ_assumption", mo.predict(REQ_FEATURES).cast("long").alias("fte"))

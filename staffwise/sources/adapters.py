@@ -79,14 +79,15 @@ def line_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- T1 calls (day) -----------------------------------------------------------------------------
 
-def calls_day(spark: SparkSession, sf: str) -> DataFrame:
+def calls_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
     """T1: one row per (date, language, usd, level, req_media).
 
     Money and rates are summed as whole cents / hundredths (exact in any order), so every measure is
     one division of exact sums and identical in Spark and in the oracle.
     """
     media = F.when(F.col("l_linestatus") == "F", F.lit("OPI")).otherwise(F.lit("VIDEO"))
-    g = line_stats(spark, sf).groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
+    st = stats if stats is not None else line_stats(spark, sf)
+    g = st.groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
         F.sum("qty").alias("calls"),
         F.sum("ext_cents").cast("double").alias("_ext"),
         F.sum("disc_q").cast("double").alias("_disc"),
@@ -117,7 +118,7 @@ def dyadic(x: Column, bits: int = 8) -> Column:
     return F.round(x * F.lit(k)) / F.lit(k)
 
 
-def fte_day(spark: SparkSession, sf: str) -> DataFrame:
+def fte_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
     """T2 typed: (date, language, location, agent_type, product, weekly_ftes)."""
     agent = F.lit(None).cast("string")
     for k, v in AGENT_SUFFIX.items():
@@ -126,15 +127,17 @@ def fte_day(spark: SparkSession, sf: str) -> DataFrame:
     for k, v in PRODUCT_OF_FLAG.items():
         product = F.when(F.col("l_returnflag") == k, F.lit(v)).otherwise(product)
     location = F.when(F.col("usd") == "USD", F.lit("USD")).otherwise(F.lit("Non-USD"))
-    return line_stats(spark, sf).groupBy(
+    st = stats if stats is not None else line_stats(spark, sf)
+    return st.groupBy(
         "date", "language", location.alias("location"), agent.alias("agent_type"), product.alias("product")
     ).agg((F.sum("qty") / 8.0).alias("weekly_ftes"))
 
 
-def occ_day(spark: SparkSession, sf: str) -> DataFrame:
+def occ_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
     """T3 typed: (date, language, usd, level, req_media ['OPI'|'Video'], occ)."""
     media = F.when(F.col("l_linestatus") == "F", F.lit("OPI")).otherwise(F.lit("Video"))
-    g = line_stats(spark, sf).groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
+    st = stats if stats is not None else line_stats(spark, sf)
+    g = st.groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
         F.sum("tax_q").cast("double").alias("_t"), F.sum("qty").alias("_q"))
     return g.select("date", "language", "usd", "level", "req_media",
                     dyadic(F.lit(0.6) + F.lit(0.03) * F.col("_t") / F.col("_q"), 12).alias("occ"))
@@ -188,7 +191,7 @@ def fte_text(spark: SparkSession, sf: str) -> DataFrame:
     t = fte_day(spark, sf)
     k = F.datediff(F.col("date"), F.lit(DAY0)) + F.length("agent_type") + F.length("product")
     return t.select(_day_text(F.col("date")).alias("date_text"), "language", "location", "agent_type", "product",
-                    _junk(k, F.format_number("weekly_ftes", 1)).alias("weekly_ftes"))
+                    _junk(k, F.format_number("weekly_ftes", 3)).alias("weekly_ftes"))
 
 
 def occ_text(spark: SparkSession, sf: str) -> DataFrame:
