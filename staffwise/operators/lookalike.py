@@ -150,7 +150,7 @@ def _band_stats(hist: DataFrame, tgt: DataFrame, how: str, reference_year: int |
     return tgt.join(stats, sk, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
 
 
-def evaluate(hist: DataFrame, week_start: str, changes: DataFrame, how: str = "weighted",
+def evaluate(hist: DataFrame, week_start: str | None, changes: DataFrame, how: str = "weighted",
              reference_year: int | None = None) -> DataFrame:
     """SCN3 / SCN4 / SCN5 for every scenario in ``changes`` and every group with data in the week.
 
@@ -160,6 +160,10 @@ def evaluate(hist: DataFrame, week_start: str, changes: DataFrame, how: str = "w
     unweighted (SCN4): plain band means, safe relative change, no caps (no service level).
     direct     (SCN5): the call-weighted mean of the target band is the new KPI.
     """
+    if week_start is None:
+        # DAT6 default, as the reference: the latest Sunday present in the history (one small action)
+        from staffwise.functions.dates import latest_sunday
+        week_start = str(hist.agg(latest_sunday(F.col("date"))).first()[0])
     if how == "weighted" and reference_year is None:
         reference_year = hist.agg(F.max("year")).first()[0]  # Q14 default: latest year in the data
     base = baseline(hist, week_start)

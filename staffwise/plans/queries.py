@@ -106,6 +106,11 @@ def q_lookalike_direct(spark, sf):
     return la.evaluate(_hist(spark, sf), pp.WEEK_START, _single(spark), "direct")
 
 
+def scenario_double_latest(spark, sf):
+    """SCN8 on the latest Sunday week of the history (the reference's default week); used by entry()."""
+    return finish(la.evaluate(_hist(spark, sf), None, la.change_table(spark, "double"), "weighted"))
+
+
 @query("scenario_demand")
 def q_scenario_demand(spark, sf):
     """SCN6: demand +-1..25 %, staffing unchanged, every group."""

@@ -16,7 +16,8 @@ def _hist(spark, rows):
 def test_band_join_matches_brute_force(spark):
     rows = []
     d0 = dt.date(2001, 5, 1)
-    for i, (d, s) in enumerate(itertools.product([0.0, 50, 90, 100, 105, 110, 111, 130], [8.0, 9, 10, 11, 12])):
+    for i, (d, s) in enumerate(itertools.product([0.0, 50.0, 90.0, 100.0, 105.0, 110.0, 111.0, 130.0],
+                                                 [8.0, 9.0, 10.0, 11.0, 12.0])):
         rows.append(("A", "OPI", "USD", "L3", d0 + dt.timedelta(days=i), 2001, d, s * 1.4, s, 1.4, 10.0,
                      20.0 + i, 0.8, 2.0, 0.9, 0.75))
     h = _hist(spark, rows)
