@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffwise.constants import DAYS_PER_WEEK, PRODUCTIVE_MINUTES_PER_WEEK
-from staffwise.functions.clean import impute_mean
 
 GROUP_KEYS = ["language", "usd", "req_media", "level"]
 DATAMART_COLUMNS = ["language", "usd", "req_media", "level", "abns", "calls", "q2", "aht", "abn_pct", "met",
@@ -33,7 +32,11 @@ def build_datamart(calls: DataFrame, fte_comb: DataFrame, assumption: DataFrame,
     j = calls.join(fte_comb, [t, "usd", "language", "level"], "left")                       # JN1
     j = j.join(assumption, [t, "level", "usd", "language"], assumption_join)                # JN2 / JN3
     j = j.join(occ, [t, "language", "usd", "level", "req_media"], "inner")                  # JN4
-    j = impute_mean(j, ["occ_assumption", "occ"], by=["language"])                           # CLN10
+    # CLN10 per language. A window mean, not an aggregate joined back: the join would run the whole
+    # upstream plan twice. Each language holds one row per (period, group), so the window partition
+    # is bounded by the history length.
+    wl = Window.partitionBy("language")
+    j = j.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(wl)) for c in ["occ_assumption", "occ"]})
     staffing = F.col("total_opi") if media == "OPI" else F.col("total_vri")
     demand = F.col("calls") * F.col("aht")
     w = Window.partitionBy(*GROUP_KEYS).orderBy(t)
