@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, tidy
+
 CHUNK = 25_000  # words or runs in one DuckDB query
-MEMORY = 400_000  # words in each of the two generations a worker remembers
+MEMORY = 150_000  # words in each of the two generations a worker remembers
 STEP = 1 << 20  # positions in a word are below this
 MAX_VOCABULARY = 8 << 20  # bytes; the vocabulary is sent to every task
 
@@ -91,7 +93,7 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.execute("SET preserve_insertion_order = false")
         pairs = pa.table({"pair": np.array(left, np.int64) * 16777216 + np.array(right, np.int64),
                           "merged": np.array(merged, np.int32)})
@@ -99,11 +101,12 @@ class Codec:
         for name, table in (("merges", pairs), ("pieces", pieces)):
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.n)]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of non-empty words that are no vocabulary entry themselves."""
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (packed int32) of non-empty words that are no vocabulary entry themselves."""
         out = []
         for lo in range(0, len(words), CHUNK):
             part = words[lo:lo + CHUNK]
@@ -120,11 +123,12 @@ class Codec:
                 "pos": ragged(np.zeros(len(part), np.int64), lengths).astype(np.int32), "id": ids, "nid": nid}))
             got = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
             flat, off = got.values.to_numpy().astype(np.int32), got.offsets.to_numpy()
-            out += np.split(flat, off[1:-1] - off[0]) if len(off) > 2 else [flat]
+            packed, at = flat.tobytes(), ((off - off[0]) * 4).tolist()
+            out += [packed[a:b] for a, b in zip(at[:-1], at[1:])]
         return out
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of distinct words."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Token ids (packed int32) of distinct words."""
         out: list = [None] * len(words)
         new = []
         young, old, whole = self.young, self.old, self.ranks
@@ -138,10 +142,10 @@ class Codec:
                 if rank is None:
                     new.append((i, w, b))
                 else:
-                    young[w] = got = np.array([rank], np.int32)
+                    young[w] = got = self.packed[rank]
             out[i] = got
         for (i, w, _), ids in zip(new, self.contract([b for _, _, b in new]), strict=True):
-            out[i] = young[w] = ids.copy()
+            out[i] = young[w] = ids
         if len(young) > MEMORY:
             self.young, self.old = {}, young
         return out
@@ -154,8 +158,8 @@ class Codec:
         ids = self.words(coded.dictionary.to_pylist())
         if not ids:
             return np.empty(0, np.int32), np.zeros(len(off), np.int64)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, starts = np.concatenate(ids), np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(lengths) - lengths
         per_word = lengths[index]
         ends = np.concatenate(([0], np.cumsum(per_word)))
         return flat[ragged(starts[index], per_word)], ends[off - off[0]]
@@ -200,7 +204,7 @@ def split_words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
-ROWS = 2_000  # rows whose words are coded together
+ROWS = 1_000  # rows whose words are coded together
 
 
 def encode(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,6 +212,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id
 
     A null or empty text has no ids. Other columns are ignored, whatever their names.
     """
+    bounded_batches(df.sparkSession)
     slim = df.select(F.col(id_col).alias("id"), split_words(F.col(text_col), pattern).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,6 +221,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id
             ids, off = codec.encode(b.column(1))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))], ["id", "ids"])
+        tidy()
 
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, ids array<int>")
 
@@ -225,6 +231,7 @@ def decode(df: DataFrame, vocabulary: bytes, id_col: str = "id", ids_col: str =
 
     An id that the vocabulary lacks, or a null id, is an error.
     """
+    bounded_batches(df.sparkSession)
     slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +243,7 @@ def decode(df: DataFrame, vocabulary: bytes, id_col: str = "id", ids_col: str =
                 raise ValueError("an id outside the vocabulary")
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(codec.decode(values.to_numpy(), off - off[0]), pa.binary())], ["id", "bytes"])
+        tidy()
 
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, bytes binary")
 
@@ -243,6 +251,7 @@ def decode(df: DataFrame, vocabulary: bytes, id_col: str = "id", ids_col: str =
 def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode in one pass, as digests."""
+    bounded_batches(df.sparkSession)
     slim = df.select(F.col(id_col).alias("id"), split_words(F.col(text_col), pattern).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +264,7 @@ def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(off)), pa.array(joined), pa.array(list(map(sha, codec.decode(ids, off))))],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
 
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long, "
                                 "ids_sha256 string, decoded_sha256 string")

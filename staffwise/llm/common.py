@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only, whatever the locale and script of the rest."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+BATCH_ROWS = 1_000  # rows that a Python worker gets at once
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of BATCH_ROWS rows, unless the session asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

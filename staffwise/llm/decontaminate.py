@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, tidy
+
 SPAN, PARTS, LEFT_OUT = 12, 4, 2
 MIN_TOKENS = 13  # of a verified overlap; items with fewer must match as a whole
 MIN_EQUAL = 0.8  # share of equal tokens in an overlap
@@ -146,6 +148,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shorter than a seed's window without substitutions.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where(
         "item IS NOT NULL AND length(text) > 0").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
@@ -171,6 +174,7 @@ def _search(sent, at: int):
                 spans.append((old.as_py() or []) + new)
             kind = b.schema.field(b.num_columns - 1).type
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, kind)], schema=b.schema)
+        tidy()
 
     return run
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored, tidy
 from .components import components
 
 SEED = 42
@@ -48,12 +48,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` with fp as a signed long, one row per input row; a null text counts as empty."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), "<u8", b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view("<i8"))], ["id", "fp"])
+        tidy()
 
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long")
 

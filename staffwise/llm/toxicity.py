@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, tidy
+
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœßúùûüÿý"  # symbol 0 is any non-letter
 SIZE = 64
 OTHER = len(ALPHABET)  # letters of other scripts share one symbol
@@ -43,7 +45,7 @@ PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 Z = 1.96
 FLUSH = 400_000  # features a task holds before it passes them on
-BLOCK = 1 << 22  # characters whose trigrams are counted at once
+BLOCK = 1 << 20  # characters whose trigrams are counted at once
 REMEMBER = 50_000  # decoded spans that a worker remembers
 
 LETTER, SIGN, SEPARATOR = 1, 2, 4
@@ -83,6 +85,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     block, held = [], 0
             count(block)
         at = np.flatnonzero(total)
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
     rows = (docs.select(text_col).mapInArrow(run, "gram long, n long")
@@ -243,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels that are not 0 or 1 and null ids are ignored; of contradicting labels of an id the larger
     counts. With no toxic row the model knows no words and every text gets the same low score.
     """
+    bounded_batches(docs.sparkSession)
     cost = log_model(trigram_counts(docs, text_col))
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
@@ -270,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if len(n[0]) + len(n[1]) > FLUSH:
                     yield rows()
         yield rows()
+        tidy()
 
     sums = known.mapInArrow(counted, "feature string, n1 long, n0 long").groupBy("feature").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
@@ -310,6 +315,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
     With ``keep`` the rows that are not predicted toxic come back whole, as the input's columns.
     Ids may be null or repeat; other columns are ignored, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) if not keep else docs
     at = slim.columns.index(text_col if keep else "text")
 
@@ -324,6 +330,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "
                     [b.column(0), pa.array([s for s, _ in got], pa.float64()),
                      pa.array([int(s >= threshold) for s, _ in got], pa.int32()),
                      pa.array([c for _, c in got], pa.int64())], ["id", "score", "predicted", "n_restored"])
+        tidy()
 
     return slim.mapInArrow(run, slim.schema if keep else
                            f"id {slim.schema['id'].dataType.simpleString()}, score double, predicted int, n_restored long")
