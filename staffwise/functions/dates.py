@@ -17,9 +17,9 @@ def _c(c) -> Column:
 
 
 def lenient_day(c) -> Column:
-    """DAT1 + DAT3: mixed-format text (day first) -> DATE; unparseable -> NULL."""
+    """DAT1 + DAT3: mixed-format text (day first), then a general parse -> DATE; unparseable -> NULL."""
     s = F.trim(_c(c).cast("string"))
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DAY_FORMATS]))
+    return F.to_date(F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DAY_FORMATS], s.try_cast("timestamp")))
 
 
 def lenient_minute(c) -> Column:

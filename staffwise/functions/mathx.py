@@ -32,27 +32,17 @@ def clamp(c, lo: float, hi: float) -> Column:
     return cap(floor_at(c, lo), hi)
 
 
-def stable(c, digits: int | None = None) -> Column:
-    """Round for exact comparison: to ``digits`` decimals, or by magnitude (8 decimals below 100,
-    6 below 1e5, else 4) so that neither float noise nor short decimal ties flip the last digit.
-    Same arithmetic as ``stable_sql`` (ties away from zero in Spark and DuckDB); + 0.0 drops -0.0."""
-    x = _c(c).cast("double")
-
-    def r(d):
-        k = float(10 ** d)
-        return F.round(x * F.lit(k)) / F.lit(k) + F.lit(0.0)
-    if digits is not None:
-        return r(digits).cast("double")
-    a = F.abs(x)
-    return F.when(a < 100.0, r(8)).when(a < 100000.0, r(6)).otherwise(r(4)).cast("double")
-
-
-def stable_sql(expr: str, digits: int | None = None) -> str:
+DIGITS = 6  # decimals that results are compared at
+
+
+def stable(c, digits: int = DIGITS) -> Column:
+    """Round to a fixed number of decimals, so that the noise of float sums does not show when results
+    are compared. Same arithmetic as ``stable_sql`` (ties away from zero); + 0.0 drops -0.0."""
+    k = float(10 ** digits)
+    return (F.round(_c(c).cast("double") * F.lit(k)) / F.lit(k) + F.lit(0.0)).cast("double")
+
+
+def stable_sql(expr: str, digits: int = DIGITS) -> str:
     """The same rounding as ``stable`` written as SQL text, for the oracle."""
-    def r(d):
-        k = f"{float(10 ** d):.1f}"
-        return f"(ROUND(CAST({expr} AS DOUBLE) * {k}) / {k} + CAST(0.0 AS DOUBLE))"
-    if digits is not None:
-        return f"CAST({r(digits)} AS DOUBLE)"
-    a = f"ABS(CAST({expr} AS DOUBLE))"
-    return f"CAST(CASE WHEN {a} < 100.0 THEN {r(8)} WHEN {a} < 100000.0 THEN {r(6)} ELSE {r(4)} END AS DOUBLE)"
+    k = f"{float(10 ** digits):.1f}"
+    return f"CAST((ROUND(CAST({expr} AS DOUBLE) * {k}) / {k} + CAST(0.0 AS DOUBLE)) AS DOUBLE)"

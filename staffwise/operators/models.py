@@ -1,9 +1,9 @@
 """Regression models per group (ML2-ML5, ML8, ML11, SCN9-SCN15).
 
-One model per (language, req_media, usd, level) group, fitted from Gram sums: a single partial
-aggregation computes n, sum(x), sum(x x'), sum(x y) per group (map-side combine, so a hot group
-costs no more than any other), and the tiny k x k systems are solved per group with numpy in an
-Arrow-batched ``applyInPandas`` over the Gram table (one row per group). Scenario grids are joined
+One model per (language, req_media, usd, level) group, fitted from moments: a single partial
+aggregation computes counts, means and covariances per group (map-side combine, so a hot group
+costs no more than any other), and the small k x k systems of a batch of groups are solved together
+with numpy in ``mapInPandas`` over the moments (one row per group). Scenario grids are joined
 to the coefficients and predicted with column arithmetic.
 """
 
@@ -30,45 +30,56 @@ def gram(df: DataFrame, keys: list[str], features: list[str], label: str) -> Dat
     return x.groupBy(*keys).agg(*aggs)
 
 
-def solve(g: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
-    """Normal equations per group -> intercept and coefficients (NULL when the system is singular)."""
-    k = len(features)
-    names = ["intercept", *[f"b_{f}" for f in features]]
-    schema = ", ".join([*(f"{c} string" for c in keys), "n double", *(f"{c} double" for c in names)])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():      # one row per group: the Gram table is tiny
-            A = np.empty((k + 1, k + 1))
-            b = np.empty(k + 1)
-            cols = ["1", *features]
-
-            def s(u, v):
-                if u == "1" and v == "1":
-                    return r["n"]
-                if u == "1":
-                    return r[f"s_{v}"]
-                if v == "1":
-                    return r[f"s_{u}"]
-                i, j = features.index(u), features.index(v)
-                a_, b_ = (u, v) if i <= j else (v, u)
-                return r[f"s_{a_}_{b_}"]
-            for i, u in enumerate(cols):
-                b[i] = r[f"s_{label}"] if u == "1" else r[f"s_{u}_{label}"]
-                for j, v in enumerate(cols):
-                    A[i, j] = s(u, v)
-            try:
-                coef = np.linalg.solve(A, b) if np.linalg.cond(A) < 1e12 else [np.nan] * (k + 1)
-            except np.linalg.LinAlgError:
-                coef = [np.nan] * (k + 1)
-            out.append([*(r[c] for c in keys), r["n"], *coef])
-        return pd.DataFrame(out, columns=[*keys, "n", *names])
-
-    return g.groupBy(*keys).applyInPandas(fit, schema)
+def moments(df: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
+    """Means and covariances per group, by the built-in streaming aggregates: unlike sums of squares
+    they don't cancel where the mean is large against the spread. Rows with a NULL are dropped."""
+    x = df.na.drop(subset=[*features, label])
+    names = [*features, label]
+    return x.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *(F.avg(a).alias(f"m_{a}") for a in names),
+        *(F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[i:]))
+
+
+#: Least eigenvalue of a correlation matrix that counts as regular, whatever the scale of the features.
+REGULAR = 1e-10
+
+
+def solve(m: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
+    """Least squares per group from its moments -> intercept and coefficients.
+
+    The system is that of the standardised features, so their magnitude does not matter. A feature
+    that is constant in a group gets coefficient 0; collinear features give NULL coefficients.
+    """
+    k, names = len(features), ["intercept", *(f"b_{f}" for f in features)]
+    kinds = dict(m.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "n double", *(f"{c} double" for c in names)])
+
+    def fit(batches):
+        for p in batches:  # one row per group, all groups of a batch at once
+            mean = p[[f"m_{f}" for f in features]].to_numpy(float)
+            cov = np.empty((len(p), k, k))
+            for i, a in enumerate(features):
+                for j, b in enumerate(features[i:], i):
+                    cov[:, i, j] = cov[:, j, i] = p[f"c_{a}_{b}"]
+            to_label = p[[f"c_{f}_{label}" for f in features]].to_numpy(float)
+            spread = np.sqrt(np.einsum("gii->gi", cov))
+            fixed = spread <= 1e-12 * np.maximum(np.abs(mean), 1e-300)
+            scale = np.where(fixed, 1.0, spread)
+            corr = cov / scale[:, :, None] / scale[:, None, :]
+            corr = np.where(fixed[:, :, None] | fixed[:, None, :], np.eye(k), corr)
+            right = np.where(fixed, 0.0, to_label / scale)
+            regular = np.linalg.eigvalsh(corr)[:, 0] > REGULAR
+            coef = np.full((len(p), k), np.nan)
+            coef[regular] = np.linalg.solve(corr[regular], right[regular][:, :, None])[:, :, 0] / scale[regular]
+            first = p[f"m_{label}"].to_numpy(float) - (coef * mean).sum(1)
+            yield pd.concat([p[[*keys, "n"]].reset_index(drop=True),
+                             pd.DataFrame(np.column_stack([first, coef]), columns=names)], axis=1)
+
+    return m.mapInPandas(fit, schema)
 
 
 def fit_ols(df: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
-    return solve(gram(df, keys, features, label), keys, features, label)
+    return solve(moments(df, keys, features, label), keys, features, label)
 
 
 def predict(features: list[str]) -> Column:

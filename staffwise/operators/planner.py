@@ -57,6 +57,7 @@ def shape_planner(cells: DataFrame, sheets: list[str] | None = None) -> DataFram
     """
     c = cells.where((F.col("row") >= 3) & (F.col("col") >= 3))
     if sheets:
+        require_sheets(cells, sheets)
         c = c.where(F.col("sheet").isin(sheets))
     hdr = c.where(F.col("col").isin(3, 4, 5)).groupBy(*SHEET_KEYS, "row").agg(
         header_text(F.max(F.when(F.col("col") == 3, F.col("value"))),

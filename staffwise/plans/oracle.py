@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from staffwise.constants import (BAND_HIGH, BAND_LOW, CHANGE_STEPS, DAYS_PER_WEEK, PRODUCTIVE_MINUTES_PER_WEEK,
                                  STAFFING_UPLIFT, YEAR_WEIGHTS)
-from staffwise.functions.mathx import stable_sql
+from staffwise.functions.mathx import DIGITS, stable_sql
 from staffwise.plans.pipelines import REFERENCE_YEAR, WEEK_START
 
 ORACLE: dict[str, str] = {}
 
 
-def R(expr: str, d: int | None = None) -> str:
+def R(expr: str, d: int = DIGITS) -> str:
     return stable_sql(expr, d)
 
 
@@ -133,7 +133,7 @@ dm_all AS (SELECT date, language, usd, req_media, level, abns, calls, q2, aht, a
                   total_opi - LAG(total_opi) OVER (PARTITION BY language, usd, req_media, level ORDER BY date)
                       AS staffing_diff
            FROM dm_i),
-datamart AS (SELECT * FROM dm_all WHERE req_media = 'OPI'),
+datamart AS MATERIALIZED (SELECT * FROM dm_all WHERE req_media = 'OPI'),
 hist AS (SELECT language, req_media, usd, level, date, year(date) AS year, demand,
                 staffing * {STAFFING_UPLIFT} AS staffing, staffing AS staffing_raw, calls, q2, occupancy_rate, abn_pct,
                 met AS service_level, occ_assumption FROM datamart)
@@ -565,3 +565,4 @@ ORACLE["tool_dwell"] = "WITH " + EV + """,
     """ + final("""SELECT "user", tool, started,
         (epoch_us(COALESCE(LEAD(started) OVER (PARTITION BY "user" ORDER BY vid), last)) - epoch_us(started)) / 1e6
             AS seconds FROM tv""", ["seconds"], ['"user"', "tool", "started"])
+ORACLE["sessions_stream"] = ORACLE["sessions"]  # the stream gives the sessions of the batch

@@ -48,16 +48,17 @@ def language_shares(spark: SparkSession, sf: str, pivoted: DataFrame) -> DataFra
 
 
 def fte_totals(spark: SparkSession, sf: str, shared: bool = False, stats: DataFrame | None = None) -> DataFrame:
-    p = fte_pivoted(spark, sf, stats)
+    p = materialize(fte_pivoted(spark, sf, stats))  # the languages and the split read it, lineitem is read once
     return fte_ops.hybrid_split(p, language_shares(spark, sf, p), shared=shared)
 
 
 def fte_comb(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
-    return fte_ops.fte_combined(fte_totals(spark, sf, stats=stats))
+    return fte_ops.fte_combined(materialize(fte_totals(spark, sf, stats=stats)))
 
 
 def planner_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return pl.shape_planner(ad.planner_cells(spark, sf))
+    """Weekly facts, stored: one pass over orders however many branches read them."""
+    return materialize(pl.shape_planner(materialize(ad.planner_cells(spark, sf))))
 
 
 def occ_combined(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,5 +69,6 @@ def datamart_day(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
     """The three exports come from one pass over lineitem: its per-day statistics (a table of
     days x groups, far smaller than lineitem) are checkpointed once and read three times."""
     stats = materialize(ad.line_stats(spark, sf))
-    return build_datamart(calls(spark, sf, stats), fte_comb(spark, sf, stats),
-                          assumption_daily(occ_combined(spark, sf)), occ_clean(spark, sf, stats), media=media)
+    dm = build_datamart(calls(spark, sf, stats), fte_comb(spark, sf, stats),
+                        assumption_daily(occ_combined(spark, sf)), occ_clean(spark, sf, stats), media=media)
+    return materialize(dm)  # what reads it (features, models, scenarios) prunes its columns

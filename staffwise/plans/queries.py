@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from staffwise.functions.mathx import stable
+from staffwise.functions.mathx import DIGITS, stable
 from staffwise.constants import DETAIL_LEVELS
 from staffwise.functions.text import category_of_label, level_in_parens
 from staffwise.operators import lookalike as la
@@ -25,7 +25,7 @@ from staffwise.session import materialize
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def finish(df: DataFrame, digits: int | None = None) -> DataFrame:
+def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     cols = [stable(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
             else F.col(f.name) for f in df.schema.fields]
     return df.select(*cols)
@@ -442,7 +442,7 @@ def q_sl_sensitivity(spark, sf):
     x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
         *GK, "q2_change", (F.col("m_q2") + F.col("q2_change")).alias("q2"), F.col("m_abn_pct").alias("abn_pct"),
         "intercept", "b_q2", "b_abn_pct")
-    return x.select(*GK, "q2_change", "q2", "abn_pct", F.round(mo.predict(["q2", "abn_pct"]), 4).alias("predicted_sl"))
+    return x.select(*GK, "q2_change", "q2", "abn_pct", F.bround(mo.predict(["q2", "abn_pct"]), 4).alias("predicted_sl"))
 
 
 REQ_FEATURES = ["occ_assumption", "staffing", "demand", "occupancy_rate"]
@@ -459,7 +459,8 @@ def q_fte_demand_grid(spark, sf):
         *GK, "demand_change", F.col("m_occ_assumption").alias("occ_assumption"), F.col("m_staffing").alias("staffing"),
         (F.col("m_demand") * (1 + F.col("demand_change") / 100.0)).alias("demand"),
         F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
-    return x.select(*GK, "demand_change", "demand", mo.predict(REQ_FEATURES).cast("long").alias("fte"))
+    return x.select(*GK, "demand_change", "demand", mo.predict(REQ_FEATURES).alias("prediction"),
+                    mo.predict(REQ_FEATURES).cast("long").alias("fte"))
 
 
 @query("fte_occ_grid")
@@ -474,4 +475,5 @@ def q_fte_occ_grid(spark, sf):
         *GK, "occ_change", clamp(F.col("m_occ_assumption") + F.col("occ_change") / 100.0, 0.0, 1.0).alias("occ_assumption"),
         F.col("m_staffing").alias("staffing"), F.col("m_demand").alias("demand"),
         F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
-    return x.select(*GK, "occ_change", "occ_assumption", mo.predict(REQ_FEATURES).cast("long").alias("fte"))
+    return x.select(*GK, "occ_change", "occ_assumption", mo.predict(REQ_FEATURES).alias("prediction"),
+                    mo.predict(REQ_FEATURES).cast("long").alias("fte"))

@@ -1,13 +1,15 @@
 """Spark session helpers.
 
-The cluster names a shared folder in ``spark.checkpoint.dir``; we read it from the session and only
-pick our own (a fresh temp folder) when it is unset, as in local tests.
+The cluster names a shared folder in ``spark.checkpoint.dir``; we read it from the session. Only a
+local master may leave it unset (as in tests): it gets a fresh temp folder, anything else an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="staffwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,12 +58,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique folder under the shared checkpoint dir (for stream sinks and state)."""
     base = checkpoint_dir(spark)
-    sub = tempfile.mktemp(prefix=f"{name}-", dir="")  # name only, nothing created locally
-    return os.path.join(base, "staffwise", sub)
+    return os.path.join(base, "staffwise", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df):
-    """Cut a lineage that several branches reuse: a reliable checkpoint into the shared
-    ``spark.checkpoint.dir`` (never a local checkpoint), so a lost executor cannot lose it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut a lineage that several branches reuse: a Parquet table in the shared folder, so a lost
+    executor cannot lose it and every reader prunes columns and pushes its filters down."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffwise.functions.dates import sunday_on_or_before
+from staffwise.session import materialize
 from staffwise.sources.tables import read_table
 
 # fixed values of the adapter (test-data conventions)
@@ -238,7 +239,7 @@ def planner_cells(spark: SparkSession, sf: str) -> DataFrame:
     Rows 0-2 / columns 0-2 hold titles and labels; columns 3-5 the three header cells of each row;
     row 3 the week dates; one column per week from column 6.
     """
-    facts = planner_facts_raw(spark, sf)
+    facts = materialize(planner_facts_raw(spark, sf))  # one row per (language, week, usd, level), read four times
     layout = F.broadcast(_metric_rows(spark))  # fixed 42-row layout
     col = (F.lit(6) + F.datediff(F.col("week"), F.lit(WEEK0)) / 7).cast("int")
     aht128 = F.floor(F.col("cents") / F.col("cnt") / 78.125)            # average price / 10000 in 1/128
