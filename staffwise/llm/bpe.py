@@ -8,7 +8,8 @@ vocabulary and concatenates the pieces by an ordered aggregation, once per disti
 
 Both work on distinct words and runs, in chunks of fixed size, so a task's memory is bounded by its
 batch; the word memory of a Python worker only saves time and is replaced in two generations of
-``MEMORY`` words. There is no shuffle, and nothing but the vocabulary leaves the driver.
+``MEMORY`` words. A word takes one step per merge, so a single unbroken word costs time with the square
+of its length; one of ``STEP`` bytes or more is an error. There is no shuffle, and nothing but the vocabulary leaves the driver.
 """
 
 from __future__ import annotations
