@@ -7,6 +7,7 @@ everywhere else by name.
 # --- Fixed values (domain constants) ---------------------------------------------------------
 PRODUCTIVE_MINUTES_PER_WEEK = 2250          # productive minutes of one FTE per week
 DAYS_PER_WEEK = 7                           # daily minutes = 2250 / 7
+HOURS_PER_DAY = 24
 STAFFING_UPLIFT = 1.4                       # staffing multiplier applied before analysis
 BAND_LOW = 0.9                              # look-alike band, lower factor
 BAND_HIGH = 1.1                             # look-alike band, upper factor

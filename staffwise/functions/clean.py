@@ -66,10 +66,10 @@ def impute_mean(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
 
 # --- converters for the four CSV exports (CLN3-CLN7) -------------------------------------------
 
-def convert_calls(df: DataFrame, date_col: str = "date_text") -> DataFrame:
-    """CLN3: calls export: lenient date, numeric on five columns, percent on two."""
+def convert_calls(df: DataFrame, date_col: str = "date_text", parse=lenient_day) -> DataFrame:
+    """CLN3: calls export: lenient date (``parse``: day or minute), numeric on five columns, percent on two."""
     return df.select(
-        lenient_day(date_col).alias("date"),
+        parse(date_col).alias("date"),
         "language", "usd", "req_media", "level",
         numeric("abns").alias("abns"),
         numeric("calls").alias("calls"),
@@ -81,7 +81,7 @@ def convert_calls(df: DataFrame, date_col: str = "date_text") -> DataFrame:
     )
 
 
-def convert_fte(df: DataFrame, date_col: str = "date_text") -> DataFrame:
+def convert_fte(df: DataFrame, date_col: str = "date_text", parse=lenient_day) -> DataFrame:
     """CLN4: fte export: level_ix = first two chars of agent type, location/product renamed and mapped."""
     from staffwise.constants import FTE_LOCATION_MAP, FTE_PRODUCT_MAP
     loc = F.col("location")
@@ -91,7 +91,7 @@ def convert_fte(df: DataFrame, date_col: str = "date_text") -> DataFrame:
     for k, v in FTE_PRODUCT_MAP.items():
         prod = F.when(F.col("product") == k, F.lit(v)).otherwise(prod)
     return df.select(
-        lenient_day(date_col).alias("date"),
+        parse(date_col).alias("date"),
         "language",
         loc.alias("usd"),
         F.substring(F.col("agent_type").cast("string"), 1, 2).alias("level_ix"),
@@ -100,13 +100,13 @@ def convert_fte(df: DataFrame, date_col: str = "date_text") -> DataFrame:
     )
 
 
-def convert_occ(df: DataFrame, date_col: str = "date_text") -> DataFrame:
+def convert_occ(df: DataFrame, date_col: str = "date_text", parse=lenient_day) -> DataFrame:
     """CLN5 + CLN7: occ export: numeric OCC (no /100), media 'Video' -> 'VIDEO'."""
     from staffwise.constants import OCC_MEDIA_MAP
     media = F.col("req_media")
     for k, v in OCC_MEDIA_MAP.items():
         media = F.when(F.col("req_media") == k, F.lit(v)).otherwise(media)
-    return df.select(lenient_day(date_col).alias("date"), "language", "usd", "level",
+    return df.select(parse(date_col).alias("date"), "language", "usd", "level",
                      media.alias("req_media"), numeric("occ").alias("occ"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffwise.constants import DAYS_PER_WEEK, PRODUCTIVE_MINUTES_PER_WEEK
+from staffwise.functions.clean import impute_mean
+from staffwise.session import materialize
 
 GROUP_KEYS = ["language", "usd", "req_media", "level"]
 DATAMART_COLUMNS = ["language", "usd", "req_media", "level", "abns", "calls", "q2", "aht", "abn_pct", "met",
@@ -20,7 +22,8 @@ DATAMART_COLUMNS = ["language", "usd", "req_media", "level", "abns", "calls", "q
 
 def build_datamart(calls: DataFrame, fte_comb: DataFrame, assumption: DataFrame, occ: DataFrame,
                    media: str = "OPI", time_col: str = "date", assumption_join: str = "inner",
-                   minutes_per_period: float = PRODUCTIVE_MINUTES_PER_WEEK / DAYS_PER_WEEK) -> DataFrame:
+                   minutes_per_period: float = PRODUCTIVE_MINUTES_PER_WEEK / DAYS_PER_WEEK,
+                   uplift: float = 1.0) -> DataFrame:
     """The datamart of one planner kind (``media`` 'OPI' or 'VIDEO').
 
     calls:      (time, language, usd, req_media, level, abns, calls, q2, aht, abn_pct, met, missed)
@@ -32,11 +35,9 @@ def build_datamart(calls: DataFrame, fte_comb: DataFrame, assumption: DataFrame,
     j = calls.join(fte_comb, [t, "usd", "language", "level"], "left")                       # JN1
     j = j.join(assumption, [t, "level", "usd", "language"], assumption_join)                # JN2 / JN3
     j = j.join(occ, [t, "language", "usd", "level", "req_media"], "inner")                  # JN4
-    # CLN10 per language. A window mean, not an aggregate joined back: the join would run the whole
-    # upstream plan twice. Each language holds one row per (period, group), so the window partition
-    # is bounded by the history length.
-    wl = Window.partitionBy("language")
-    j = j.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(wl)) for c in ["occ_assumption", "occ"]})
+    # CLN10 per language. The joined rows are stored, so the means (partial sums, one row per language)
+    # are joined back without a second run of the plan, and no task holds a whole language.
+    j = impute_mean(materialize(j), ["occ_assumption", "occ"], by=["language"])
     staffing = F.col("total_opi") if media == "OPI" else F.col("total_vri")
     demand = F.col("calls") * F.col("aht")
     w = Window.partitionBy(*GROUP_KEYS).orderBy(t)
@@ -48,6 +49,7 @@ def build_datamart(calls: DataFrame, fte_comb: DataFrame, assumption: DataFrame,
         staffing.alias("staffing"),
         F.col("occ").alias("occupancy_rate"),
     ).withColumn("staffing_diff", F.col("staffing") - F.lag("staffing").over(w))           # WIN1
+    out = out.withColumn("staffing", F.col("staffing") * uplift)  # hour-wise only; the difference is of plain staffing
     return out.where(F.col("req_media") == media)                                            # FLT5
 
 

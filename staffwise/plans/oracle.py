@@ -566,3 +566,22 @@ ORACLE["tool_dwell"] = "WITH " + EV + """,
         (epoch_us(COALESCE(LEAD(started) OVER (PARTITION BY "user" ORDER BY vid), last)) - epoch_us(started)) / 1e6
             AS seconds FROM tv""", ["seconds"], ['"user"', "tool", "started"])
 ORACLE["sessions_stream"] = ORACLE["sessions"]  # the stream gives the sessions of the batch
+
+# the hour-wise datamart: the same chain by hour, its assumptions joined left
+HOUR = BASE
+for _day, _hour in [
+    ("CAST(l_shipdate AS DATE) AS date", "CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + to_hours(CAST(l_orderkey % 24 AS BIGINT)) AS date"),
+    ("CAST(week + CAST(i AS INTEGER) AS DATE) AS date", "CAST(week AS TIMESTAMP) + to_hours(CAST(i AS BIGINT)) AS date"),
+    ("CROSS JOIN range(7) t(i)", "CROSS JOIN range(168) t(i)"),
+    ("         JOIN assump a", "         LEFT JOIN assump a"),
+]:
+    assert HOUR.count(_day) == 1
+    HOUR = HOUR.replace(_day, _hour)
+ORACLE["datamart_hour"] = "WITH " + HOUR + " " + final(
+    f"SELECT * REPLACE (staffing * {STAFFING_UPLIFT} AS staffing), date AS ts FROM datamart", DM_DOUBLES,
+    ["ts", "language", "usd", "req_media", "level"])
+
+# results that go through a file and back are those of the query that wrote them
+for _stored, _of in [("calls_csv", "clean_numeric"), ("fte_csv", "clean_fte"), ("occ_csv", "clean_occ"),
+                     ("datamart_stored", "datamart_day"), ("report_csv", "scenario_double"), ("usage_log", "tool_dwell")]:
+    ORACLE[_stored] = ORACLE[_of]

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staffwise.constants import STAFFING_UPLIFT
 from staffwise.functions.clean import convert_fte, convert_hybrid, convert_occ
+from staffwise.functions.dates import lenient_day, lenient_minute
 from staffwise.operators import fte as fte_ops
 from staffwise.operators import planner as pl
-from staffwise.operators.datamart import assumption_daily, build_datamart
+from staffwise.operators.datamart import assumption_daily, assumption_hourly, build_datamart
 from staffwise.session import materialize
 from staffwise.sources import adapters as ad
 
@@ -21,17 +23,17 @@ def calls(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataF
     return ad.calls_day(spark, sf, stats)
 
 
-def fte_clean(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+def fte_clean(spark: SparkSession, sf: str, stats: DataFrame | None = None, parse=lenient_day) -> DataFrame:
     """T2 through its converter (typed export written as text, then cleaned)."""
     raw = ad.fte_day(spark, sf, stats).withColumn("date_text", F.col("date").cast("string")) \
         .withColumn("weekly_ftes", F.col("weekly_ftes").cast("string"))
-    return convert_fte(raw)
+    return convert_fte(raw, parse=parse)
 
 
-def occ_clean(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
+def occ_clean(spark: SparkSession, sf: str, stats: DataFrame | None = None, parse=lenient_day) -> DataFrame:
     raw = ad.occ_day(spark, sf, stats).withColumn("date_text", F.col("date").cast("string")) \
         .withColumn("occ", F.col("occ").cast("string"))
-    return convert_occ(raw)
+    return convert_occ(raw, parse=parse)
 
 
 def hybrid_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,3 +74,16 @@ def datamart_day(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
     dm = build_datamart(calls(spark, sf, stats), fte_comb(spark, sf, stats),
                         assumption_daily(occ_combined(spark, sf)), occ_clean(spark, sf, stats), media=media)
     return materialize(dm)  # what reads it (features, models, scenarios) prunes its columns
+
+
+def datamart_hour(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
+    """The hour-wise datamart: the same parts by hour, assumptions over 168 hours joined left, missing
+    ones imputed per language, and the staffing lifted at the end."""
+    stats = materialize(ad.line_stats(spark, sf, hourly=True))
+    pivoted = materialize(fte_ops.fte_pivot(fte_clean(spark, sf, stats, lenient_minute)))
+    totals = materialize(fte_ops.hybrid_split(pivoted, language_shares(spark, sf, pivoted)))
+    assumption = assumption_hourly(occ_combined(spark, sf)).withColumnRenamed("ts", "date")
+    dm = build_datamart(calls(spark, sf, stats), fte_ops.fte_combined(totals), assumption,
+                        occ_clean(spark, sf, stats, lenient_minute), media=media, assumption_join="left",
+                        uplift=STAFFING_UPLIFT)
+    return materialize(dm.withColumnRenamed("date", "ts"))

@@ -73,6 +73,12 @@ def q_datamart_day(spark, sf):
 
 # --- scenario analysis --------------------------------------------------------------------------------
 
+@query("datamart_hour")
+def q_datamart_hour(spark, sf):
+    """JN3, RSH3, DAT2, CLN10: the hour-wise OPI datamart; assumptions join left, staffing x 1.4 at the end."""
+    return pp.datamart_hour(spark, sf)
+
+
 def _hist(spark, sf):
     """The analysis history, checkpointed once: baseline, band join and report all read it."""
     return materialize(la.analysis_input(pp.datamart_day(spark, sf)))
@@ -232,7 +238,10 @@ from staffwise.operators import activity as act  # noqa: E402
 from staffwise.operators import features as fe  # noqa: E402
 from staffwise.operators import models as mo  # noqa: E402
 from staffwise.operators.fte import match_languages  # noqa: E402
+from staffwise.session import scratch_path  # noqa: E402
 from staffwise.sources import adapters as ad  # noqa: E402
+from staffwise.sources import exports as ex  # noqa: E402
+from staffwise.sources import sinks as sk  # noqa: E402
 
 GK = ["language", "req_media", "usd", "level"]
 
@@ -260,6 +269,56 @@ def q_clean_occ(spark, sf):
     return cl.convert_occ(ad.occ_text(spark, sf))
 
 
+def _exported(spark, df, prefix):
+    """``df`` written as a CSV export below the shared folder and scanned again by its prefix."""
+    folder = scratch_path(spark, "exports")
+    sk.write_report(df, f"{folder}/{prefix}-1.csv")
+    return ex.read_exports(spark, folder, {prefix: df.columns})[prefix]
+
+
+@query("calls_csv")
+def q_calls_csv(spark, sf):
+    """SNK2, SRC1, SRC5, SRC6, CLN3: the calls export through CSV files."""
+    return cl.convert_calls(_exported(spark, ad.calls_text(spark, sf), "HMO-Calls"))
+
+
+@query("fte_csv")
+def q_fte_csv(spark, sf):
+    """SNK2, SRC1, SRC5, CLN4: the FTE export through CSV files."""
+    return cl.convert_fte(_exported(spark, ad.fte_text(spark, sf), "HMO-FTE")).withColumn("level", level_of_text("level_ix"))
+
+
+@query("occ_csv")
+def q_occ_csv(spark, sf):
+    """SNK2, SRC1, SRC5, CLN5, CLN7: the occupancy export through CSV files."""
+    return cl.convert_occ(_exported(spark, ad.occ_text(spark, sf), "HMO-OCC"))
+
+
+@query("datamart_stored")
+def q_datamart_stored(spark, sf):
+    """SNK1 + SRC2: the day-wise datamart written by language and read again."""
+    path = scratch_path(spark, "datamart")
+    sk.write_datamart(pp.datamart_day(spark, sf), path)
+    return sk.read_datamart(spark, path)
+
+
+@query("report_csv")
+def q_report_csv(spark, sf):
+    """SNK2: the demand x staffing report of every group as CSV, read again with its types."""
+    report, path = q_scenario_double(spark, sf), scratch_path(spark, "report")
+    sk.write_report(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+@query("usage_log")
+def q_usage_log(spark, sf):
+    """SNK6: tool visits appended to the usage log in two batches (by user), and the log read again."""
+    visits, path = q_tool_dwell(spark, sf), scratch_path(spark, "usage")
+    for half in (0, 1):
+        sk.append_log(visits.where(F.abs(F.col("user").cast("long")) % 2 == half), path)
+    return spark.read.schema(visits.schema).parquet(path)
+
+
 MINUTE_TEXT = ["dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm"]
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staffwise.constants import HOURS_PER_DAY
 from staffwise.functions.dates import sunday_on_or_before
 from staffwise.session import materialize
 from staffwise.sources.tables import read_table
@@ -24,7 +25,6 @@ WEEK0 = "1991-12-29"           # a Sunday; planner column = 6 + weeks since WEEK
 JUNK_EVERY = 50                # one junk value in 50 in the dirty exports
 AGENT_SUFFIX = {"L3": "L3 - Core", "L4": "L4 - MSI", "L5": "L5 - All Call"}
 PRODUCT_OF_FLAG = {"A": "OPI", "N": "Hybrid", "R": "Video Dedicated"}
-LEVEL_OF_EVENT = {"click": "L3", "view": "L3", "signup": "L4", "purchase": "L5", "error": "L5"}
 
 
 def usd_of_nation(c: Column) -> Column:
@@ -55,20 +55,23 @@ def order_keys(spark: SparkSession, sf: str) -> DataFrame:
         level_of_priority(F.col("o_orderpriority")).alias("level"))
 
 
-def line_facts(spark: SparkSession, sf: str) -> DataFrame:
+def line_facts(spark: SparkSession, sf: str, hourly: bool = False) -> DataFrame:
+    """Lineitem with its group keys; ``hourly`` puts every order's lines into one hour of their day."""
+    day = F.to_date("l_shipdate")
+    hour = F.timestamp_add("HOUR", (F.col("l_orderkey") % HOURS_PER_DAY).cast("int"), day.cast("timestamp"))
     li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount",
                                              "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"])
     ok = order_keys(spark, sf).select("o_orderkey", "language", "usd", "level")
     return li.join(ok, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.to_date("l_shipdate").alias("date"), "language", "usd", "level",
+        (hour if hourly else day).alias("date"), "language", "usd", "level",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-def line_stats(spark: SparkSession, sf: str) -> DataFrame:
+def line_stats(spark: SparkSession, sf: str, hourly: bool = False) -> DataFrame:
     """The one pass over lineitem: exact sums at the finest grain the three exports need
     (date, language, usd, level, linestatus, returnflag). Calls, FTE and occupancy are all
     re-aggregated from this much smaller table, so the big join and scan happen once."""
-    return line_facts(spark, sf).groupBy("date", "language", "usd", "level", "l_linestatus", "l_returnflag").agg(
+    return line_facts(spark, sf, hourly).groupBy("date", "language", "usd", "level", "l_linestatus", "l_returnflag").agg(
         F.sum("l_quantity").alias("qty"),
         F.sum(_hundredths("l_extendedprice")).alias("ext_cents"),
         F.sum(_hundredths("l_discount") * F.col("l_quantity").cast("long")).alias("disc_q"),
@@ -279,19 +282,3 @@ def activity(spark: SparkSession, sf: str) -> DataFrame:
     """T7: (user, tool, ts) from the events table."""
     e = read_table(spark, sf, "events", ["user_id", "event_type", "ts"])
     return e.select(F.col("user_id").alias("user"), F.col("event_type").alias("tool"), "ts")
-
-
-def calls_hour(spark: SparkSession, sf: str) -> DataFrame:
-    """Hour-wise T1 from events: (ts hour, language, usd, level, req_media, calls, aht, q2, abn_pct, met)."""
-    e = read_table(spark, sf, "events", ["ts", "user_id", "event_type", "value"])
-    lvl = F.lit("L5")
-    for k, v in LEVEL_OF_EVENT.items():
-        lvl = F.when(F.col("event_type") == k, F.lit(v)).otherwise(lvl)
-    g = e.groupBy(F.date_trunc("hour", "ts").alias("ts"),
-                  F.when(F.col("user_id") % 2 == 0, F.lit("USD")).otherwise(F.lit("Global")).alias("usd"),
-                  lvl.alias("level")).agg(
-        F.count(F.lit(1)).cast("double").alias("calls"), F.sum(_hundredths("value")).cast("double").alias("_v"),
-        F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("_err"))
-    return g.select("ts", F.lit("EVENTS").alias("language"), "usd", F.lit("OPI").alias("req_media"), "level",
-                    "calls", dyadic(F.col("_v") / F.col("calls") / 100.0).alias("aht"),
-                    dyadic(F.lit(100.0) * F.col("_err") / F.col("calls")).alias("abn_pct"))
