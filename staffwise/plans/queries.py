@@ -237,6 +237,7 @@ from staffwise.functions.text import contains_match, language_alias, level_of_te
 from staffwise.operators import activity as act  # noqa: E402
 from staffwise.operators import features as fe  # noqa: E402
 from staffwise.operators import models as mo  # noqa: E402
+from staffwise.operators import whatif as wi  # noqa: E402
 from staffwise.operators.fte import match_languages  # noqa: E402
 from staffwise.session import scratch_path  # noqa: E402
 from staffwise.sources import adapters as ad  # noqa: E402
@@ -536,3 +537,20 @@ def q_fte_occ_grid(spark, sf):
         F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
     return x.select(*GK, "occ_change", "occ_assumption", mo.predict(REQ_FEATURES).alias("prediction"),
                     mo.predict(REQ_FEATURES).cast("long").alias("fte"))
+
+
+@query("accuracy_log")
+def q_accuracy_log(spark, sf):
+    """ML4 + ML11 + SNK5: train and test errors of the requirement model, appended to the accuracy log and read again."""
+    records, path = wi.requirement_accuracy(_dm(spark, sf), GK), scratch_path(spark, "accuracy")
+    sk.append_log(records, path)
+    return spark.read.schema(records.schema).parquet(path)
+
+
+@query("kpi_per_fte")
+def q_kpi_per_fte(spark, sf):
+    """ML5 + SCN15: requirement and calls per FTE with the week's KPIs moved by -25..+25 %, per group."""
+    from staffwise.constants import PERCENT_STEPS_15, STAFFING_UPLIFT
+    dm = _dm(spark, sf).withColumn("staffing", F.col("staffing") * STAFFING_UPLIFT)
+    week = dm.where(F.col("date").between(F.to_date(F.lit(pp.WEEK_START)), F.date_add(F.to_date(F.lit(pp.WEEK_START)), 6)))
+    return wi.kpi_per_fte(dm, week, GK, PERCENT_STEPS_15)
