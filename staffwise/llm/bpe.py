@@ -8,15 +8,19 @@ vocabulary and concatenates the pieces by an ordered aggregation, once per disti
 
 Both work on distinct words and runs, in chunks of fixed size, so a task's memory is bounded by its
 batch; the word memory of a Python worker only saves time and is replaced in two generations of
-``MEMORY`` words. A word takes one step per merge, so a single unbroken word costs time with the square
-of its length; one of ``STEP`` bytes or more is an error. There is no shuffle, and nothing but the vocabulary leaves the driver.
+``MEMORY`` words. A word takes one step of the query per merge, and a step rewrites the word, so the query
+costs time and memory with the square of a word's length. An unbroken word of ``LONG`` bytes or more is
+therefore contracted by a heap of its pairs, to the same fixpoint. There is no shuffle, and nothing but
+the vocabulary leaves the driver.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import duckdb
 import numpy as np
@@ -28,7 +32,7 @@ from .common import bounded_batches, tidy
 
 CHUNK = 25_000  # words or runs in one DuckDB query
 MEMORY = 150_000  # words in each of the two generations a worker remembers
-STEP = 1 << 20  # positions in a word are below this
+LONG = 1024  # bytes; longer words do not go through the recursive query
 MAX_VOCABULARY = 8 << 20  # bytes; the vocabulary is sent to every task
 
 ENCODE = """
@@ -106,14 +110,41 @@ class Codec:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def contract_long(self, word: bytes) -> bytes:
+        """The fixpoint of ``contract`` for one word, by a heap of its pairs instead of a step per merge.
+
+        A heap entry is rank and start in one number; it counts only while the pair that starts there
+        still has that rank, so of equal ranks the leftmost goes first.
+        """
+        n, rank_of = len(word), self.ranks.get
+        end_of, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        live = bytearray(b"\1") * n
+        heap = [r << 40 | i for i in range(n - 1) if (r := rank_of(word[i:i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            entry = heappop(heap)
+            rank, i = entry >> 40, entry & (1 << 40) - 1
+            if not live[i] or (mid := end_of[i]) == n or rank_of(word[i:(end := end_of[mid])]) != rank:
+                continue
+            live[mid], end_of[i] = 0, end
+            if end < n:
+                before[end] = i
+                if (r := rank_of(word[i:end_of[end]])) is not None:
+                    heappush(heap, r << 40 | i)
+            if (p := before[i]) >= 0 and (r := rank_of(word[p:end])) is not None:
+                heappush(heap, r << 40 | p)
+        out, i = [], 0
+        while i < n:
+            out.append(self.packed[self.ranks[word[i:end_of[i]]]])
+            i = end_of[i]
+        return b"".join(out)
+
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Token ids (packed int32) of non-empty words that are no vocabulary entry themselves."""
         out = []
         for lo in range(0, len(words), CHUNK):
             part = words[lo:lo + CHUNK]
             lengths = np.fromiter(map(len, part), np.int64, len(part))
-            if lengths.max() >= STEP:
-                raise ValueError("a word of 2^20 bytes or more")
             ids = self.base[np.frombuffer(b"".join(part), np.uint8)]
             ends = np.cumsum(lengths)
             nid = np.empty_like(ids)
@@ -145,8 +176,12 @@ class Codec:
                 else:
                     young[w] = got = self.packed[rank]
             out[i] = got
-        for (i, w, _), ids in zip(new, self.contract([b for _, _, b in new]), strict=True):
+        short = [x for x in new if len(x[2]) < LONG]
+        for (i, w, _), ids in zip(short, self.contract([b for _, _, b in short]), strict=True):
             out[i] = young[w] = ids
+        for i, _, b in new:
+            if len(b) >= LONG:  # not remembered: the memory counts words, not bytes
+                out[i] = self.contract_long(b)
         if len(young) > MEMORY:
             self.young, self.old = {}, young
         return out
