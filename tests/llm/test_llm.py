@@ -120,6 +120,18 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs, odd, nothing):
         ((i, len(e := enc.encode_ordinary(t or "")), sha(",".join(map(str, e))), sha(t or "")) for i, t, *_ in ODD), key=key)
 
 
+def test_bpe_of_long_unbroken_words(spark):
+    enc, vocabulary = encoding(), bpe.read_vocabulary(queries.VOCABULARY)
+    rng, codec = random.Random(11), bpe.Codec.of(vocabulary)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    short = [word(n, letters).encode() for n in (2, 3, 9, 90, 400) for letters in ("a", "ab", "etaoinshr", "éß漢字т")]
+    assert codec.contract(short) == list(map(codec.contract_long, short))
+    texts = [(1, word(bpe.LONG - 1, "abc")), (2, word(bpe.LONG, "abc")), (3, word(20_000, "etaoin") + " x"), (4, "z" * 1_200_000)]
+    got = {r[0]: list(r[1]) for r in rows(bpe.encode(spark.createDataFrame(texts, DOCS), vocabulary, public_tokenizers.PATTERN))}
+    assert all(got[i] == enc.encode_ordinary(t) for i, t in texts[:3])
+    assert b"".join(enc.decode_single_token_bytes(x) for x in got[4]).decode() == texts[3][1]
+
+
 def test_bpe_rejects_unknown_ids(spark):
     bad = spark.createDataFrame([(1, [70_000])], "id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):
@@ -251,6 +263,9 @@ def test_line_windows(spark, odd, nothing):
     again = line_dedup.dedup_lines(odd).collect()
     assert len(again) == len(ODD) and [r.text for r in again if r.doc_id == 2] == [None]
     assert [r.text for r in again if r.doc_id == 3].count("one two three four") == 2
+    many = "\n".join(map(str, range(60_000)))  # all lines covered but the last of the later copy
+    cut = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame([(1, many), (2, many + "\nend")], DOCS)).collect()}
+    assert cut[1].text == many and cut[2].text == "end" and cut[2]._removed == 60_000
     assert rows(line_dedup.dedup_lines(nothing)) == []
 
 
