@@ -45,7 +45,7 @@ ok AS (SELECT o_orderkey, o_orderdate, o_totalprice, g.language, g.usd,
 lf AS (SELECT CAST(l_shipdate AS DATE) AS date, language, usd, level, l_quantity, l_extendedprice,
               l_discount, l_tax, l_returnflag, l_linestatus
        FROM lineitem JOIN ok ON l_orderkey = o_orderkey),
-calls_g AS (SELECT date, language, usd, level,
+calls_g AS (SELECT date, language, COALESCE(lf.usd, 'Combined') AS usd, COALESCE(lf.level, 'Combined') AS level,
                    CASE WHEN l_linestatus = 'F' THEN 'OPI' ELSE 'VIDEO' END AS req_media,
                    SUM(l_quantity) AS calls,
                    CAST(SUM(CAST(ROUND(l_extendedprice * 100.0) AS BIGINT)) AS DOUBLE) AS ext,
@@ -53,7 +53,7 @@ calls_g AS (SELECT date, language, usd, level,
                    SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE CAST(0.0 AS DOUBLE) END) AS ret,
                    CAST(SUM(CASE WHEN l_tax <= 0.06 THEN 1 ELSE 0 END) AS DOUBLE) AS okn,
                    CAST(COUNT(*) AS DOUBLE) AS n
-            FROM lf GROUP BY 1, 2, 3, 4, 5),
+            FROM lf GROUP BY 1, 2, 5, CUBE (lf.usd, lf.level)),
 calls AS (SELECT date, language, usd, req_media, level, ret / 8.0 AS abns, calls,
                  {D('4.0 * disc / calls')} AS q2, {D('ext / calls / 10000.0')} AS aht,
                  {D('12.5 * ret / calls')} AS abn_pct, {D('okn / n', 12)} AS met,
@@ -114,9 +114,9 @@ occ_comb AS (
         (SELECT language, week, usd, AVG(occ_assumption) AS m FROM occ_w GROUP BY 1, 2, 3) GROUP BY 1, 2),
 assump AS (SELECT language, CAST(week + CAST(i AS INTEGER) AS DATE) AS date, usd, level, occ_assumption
            FROM occ_comb CROSS JOIN range(7) t(i)),
-occ_g AS (SELECT date, language, usd, level, CASE WHEN l_linestatus = 'F' THEN 'OPI' ELSE 'VIDEO' END AS req_media,
+occ_g AS (SELECT date, language, COALESCE(lf.usd, 'Combined') AS usd, COALESCE(lf.level, 'Combined') AS level, CASE WHEN l_linestatus = 'F' THEN 'OPI' ELSE 'VIDEO' END AS req_media,
                  {D('0.6 + 0.03 * CAST(SUM(CAST(ROUND(l_tax * 100.0) AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE) / SUM(l_quantity)', 12)} AS occ
-          FROM lf GROUP BY 1, 2, 3, 4, 5),
+          FROM lf GROUP BY 1, 2, 5, CUBE (lf.usd, lf.level)),
 dm_j AS (SELECT c.*, f.total_opi, f.total_vri, a.occ_assumption, o.occ
          FROM calls c
          LEFT JOIN fte_comb f ON c.date = f.date AND c.usd = f.usd AND c.language = f.language AND c.level = f.level

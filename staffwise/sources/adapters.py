@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffwise.constants import HOURS_PER_DAY
+from staffwise.constants import COMBINED, HOURS_PER_DAY
 from staffwise.functions.dates import sunday_on_or_before
 from staffwise.session import materialize
 from staffwise.sources.tables import read_table
@@ -81,24 +81,36 @@ def line_stats(spark: SparkSession, sf: str, hourly: bool = False) -> DataFrame:
     )
 
 
+def _with_combined(stats: DataFrame, media: Column):
+    """The exports' groups: every (usd, level) and its Combined levels, as grouping sets of one aggregation."""
+    period = ["date", "language", "req_media"]
+    sets = [[*period, "usd", "level"], [*period, "usd"], [*period, "level"], period]
+    return stats.withColumn("req_media", media).groupingSets(sets, *period, "usd", "level")
+
+
+def _combined_names() -> dict[str, Column]:
+    """Names of the rolled-up levels; the adapter's usd and level are never null themselves."""
+    return {c: F.coalesce(c, F.lit(COMBINED)) for c in ("usd", "level")}
+
+
 # --- T1 calls (day) -----------------------------------------------------------------------------
 
 def calls_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
-    """T1: one row per (date, language, usd, level, req_media).
+    """T1: one row per (date, language, usd, level, req_media), Combined usd and level included.
 
     Money and rates are summed as whole cents / hundredths (exact in any order), so every measure is
     one division of exact sums and identical in Spark and in the oracle.
     """
     media = F.when(F.col("l_linestatus") == "F", F.lit("OPI")).otherwise(F.lit("VIDEO"))
     st = stats if stats is not None else line_stats(spark, sf)
-    g = st.groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
+    g = _with_combined(st, media).agg(
         F.sum("qty").alias("calls"),
         F.sum("ext_cents").cast("double").alias("_ext"),
         F.sum("disc_q").cast("double").alias("_disc"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("qty")).otherwise(F.lit(0.0))).alias("_ret"),
         F.sum("tax_ok").cast("double").alias("_ok"),
         F.sum("n").cast("double").alias("_n"),
-    )
+    ).withColumns(_combined_names())
     met = dyadic(F.col("_ok") / F.col("_n"), 12)
     return g.select(
         "date", "language", "usd", "req_media", "level",
@@ -138,11 +150,11 @@ def fte_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> Dat
 
 
 def occ_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> DataFrame:
-    """T3 typed: (date, language, usd, level, req_media ['OPI'|'Video'], occ)."""
+    """T3 typed: (date, language, usd, level, req_media ['OPI'|'Video'], occ), Combined rows included."""
     media = F.when(F.col("l_linestatus") == "F", F.lit("OPI")).otherwise(F.lit("Video"))
     st = stats if stats is not None else line_stats(spark, sf)
-    g = st.groupBy("date", "language", "usd", "level", media.alias("req_media")).agg(
-        F.sum("tax_q").cast("double").alias("_t"), F.sum("qty").alias("_q"))
+    g = _with_combined(st, media).agg(
+        F.sum("tax_q").cast("double").alias("_t"), F.sum("qty").alias("_q")).withColumns(_combined_names())
     return g.select("date", "language", "usd", "level", "req_media",
                     dyadic(F.lit(0.6) + F.lit(0.03) * F.col("_t") / F.col("_q"), 12).alias("occ"))
 
