@@ -27,6 +27,7 @@ from staffwise.functions.mathx import cap
 
 KEYS = ["language", "req_media", "usd", "level"]
 KPIS = ["q2", "occupancy_rate", "abn_pct", "service_level"]
+ABSOLUTE_STEPS = (1, -1, 5, -5, -1_000_000)  # FTE; the last one is floored at 0
 ZERO_BUCKET = -(1 << 30)   # demand exactly 0 (only a zero target can match it)
 
 
@@ -80,18 +81,22 @@ def change_table(spark: SparkSession, mode: str, steps=CHANGE_STEPS) -> DataFram
     return spark.createDataFrame(rows, "demand_change double, staffing_change double")
 
 
-def targets(base: DataFrame, changes: DataFrame) -> DataFrame:
+def targets(base: DataFrame, changes: DataFrame, absolute: bool = False) -> DataFrame:
     """SCN2: per group and scenario the target demand / staffing; scenario (0, 0) is the origin.
 
-    ``changes`` is a fixed-size literal grid (at most 196 rows), broadcast on purpose.
+    Changes are percentages; with ``absolute`` the staffing change is a number of FTE, and the target
+    is 0 at least. ``changes`` is a fixed-size literal grid (at most 196 rows), broadcast on purpose.
     """
+    staffing = F.col("staffing")
+    moved = F.when(staffing.isNotNull(), F.greatest(F.lit(0.0), staffing + F.col("staffing_change"))) if absolute \
+        else staffing * (F.lit(1.0) + F.col("staffing_change") / 100.0)
     origin = base.sparkSession.createDataFrame([(0.0, 0.0)], "demand_change double, staffing_change double")
     grid = changes.withColumn("requested", F.lit(True)).unionByName(origin.withColumn("requested", F.lit(False))) \
         .groupBy("demand_change", "staffing_change").agg(F.max("requested").alias("requested"))
     t = base.crossJoin(F.broadcast(grid))
     return t.withColumns({
         "new_demand": F.col("daily_demand") * (F.lit(1.0) + F.col("demand_change") / 100.0),
-        "new_staffing": F.col("staffing") * (F.lit(1.0) + F.col("staffing_change") / 100.0),
+        "new_staffing": moved,
     }).withColumn("valid", F.col("new_demand") > 0)
 
 
@@ -151,7 +156,7 @@ def _band_stats(hist: DataFrame, tgt: DataFrame, how: str, reference_year: int |
 
 
 def evaluate(hist: DataFrame, week_start: str | None, changes: DataFrame, how: str = "weighted",
-             reference_year: int | None = None) -> DataFrame:
+             reference_year: int | None = None, absolute: bool = False) -> DataFrame:
     """SCN3 / SCN4 / SCN5 for every scenario in ``changes`` and every group with data in the week.
 
     weighted   (SCN3): year-weighted band means; KPI moves by the relative change between the
@@ -163,11 +168,14 @@ def evaluate(hist: DataFrame, week_start: str | None, changes: DataFrame, how: s
     if week_start is None:
         # DAT6 default, as the reference: the latest Sunday present in the history (one small action)
         from staffwise.functions.dates import latest_sunday
-        week_start = str(hist.agg(latest_sunday(F.col("date"))).first()[0])
+        latest = hist.agg(latest_sunday(F.col("date"))).first()[0]
+        if latest is None:
+            raise ValueError("the history holds no Sunday: name a week")
+        week_start = str(latest)
     if how == "weighted" and reference_year is None:
         reference_year = hist.agg(F.max("year")).first()[0]  # Q14 default: latest year in the data
     base = baseline(hist, week_start)
-    tgt = targets(base, changes)
+    tgt = targets(base, changes, absolute)
     st = _band_stats(hist, tgt, how, reference_year)
     report_keys = [*KEYS, "demand_change", "staffing_change"]
     if how == "direct":

@@ -1,4 +1,4 @@
-"""What-if models with held-out accuracy (ML4, ML5, SCN15, SNK5's records).
+"""What-if models with held-out accuracy (ML4, ML5, SCN13-SCN15, SNK5's records).
 
 Both fit one model per group from moments of the train part; the datamart's grain (one row per group
 and day) bounds what a group's split window and medians hold.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staffwise.functions.dates import week_days
 from staffwise.operators import features as fe
 from staffwise.operators import models as mo
 
@@ -27,6 +28,39 @@ def requirement_accuracy(hist: DataFrame, keys: list[str]) -> DataFrame:
     return mo.metrics(scored, [*keys, "part"], "requirement")
 
 
+def fte_week(hist: DataFrame, week_start: str, keys: list[str], changes: list[float]) -> DataFrame:
+    """ML4 + SCN13: the requirement of each day of a week with that day's demand changed by percentages.
+
+    The model is that of ``requirement_accuracy``; the other features are the week's means. A day without
+    rows has demand 0 and no actual requirement. Groups without rows in the week are left out.
+    """
+    rows = hist.select(*keys, "date", *WEEK_FEATURES, "requirement")
+    train = fe.time_split(rows.na.drop(), keys).where("part = 'train'")
+    coef = mo.fit_ols(train, keys, WEEK_FEATURES, "requirement")
+    start = F.to_date(F.lit(week_start))
+    week = rows.where(F.col("date").between(start, F.date_add(start, 6)))
+    daily = week.groupBy(*keys, "date").agg(F.avg("demand").alias("demand"), F.avg("requirement").alias("actual"))
+    means = week.groupBy(*keys).agg(*(F.avg(f).alias(f) for f in WEEK_FEATURES if f != "demand"))
+    grid = hist.sparkSession.createDataFrame([(float(c),) for c in changes], "change double")
+    days = (means.withColumn("date", F.explode(week_days(start))).join(daily, [*keys, "date"], "left")
+            .withColumn("day_demand", F.coalesce("demand", F.lit(0.0))).join(coef, keys)
+            .crossJoin(F.broadcast(grid))  # the grid is the caller's list
+            .withColumn("demand", F.col("day_demand") * (1 + F.col("change") / 100.0)))
+    return days.select(*keys, "change", "date", "day_demand", F.col("demand").alias("new_demand"), "actual",
+                       mo.predict(WEEK_FEATURES).alias("prediction"))
+
+
+def fte_week_totals(days: DataFrame, keys: list[str]) -> DataFrame:
+    """SCN13's summary of ``fte_week``: daily means, weekly totals and the change of the requirement in percent.
+
+    Days without an actual requirement don't count in its mean."""
+    actual, predicted = F.avg("actual"), F.avg("prediction")
+    return days.groupBy(*keys, "change").agg(
+        F.avg("day_demand").alias("daily_demand"), actual.alias("daily_actual"), predicted.alias("daily_predicted"),
+        (actual * 7).alias("weekly_actual"), (predicted * 7).alias("weekly_predicted"),
+        (F.try_divide(predicted - actual, actual) * 100).alias("change_pct"))
+
+
 def kpi_per_fte(hist: DataFrame, week: DataFrame, keys: list[str], changes: list[float]) -> DataFrame:
     """ML5 + SCN15: all KPIs of the week moved by the same percentage, per group.
 

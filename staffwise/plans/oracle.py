@@ -11,6 +11,7 @@ from __future__ import annotations
 from staffwise.constants import (BAND_HIGH, BAND_LOW, CHANGE_STEPS, DAYS_PER_WEEK, PRODUCTIVE_MINUTES_PER_WEEK,
                                  STAFFING_UPLIFT, YEAR_WEIGHTS)
 from staffwise.functions.mathx import DIGITS, stable_sql
+from staffwise.operators.lookalike import ABSOLUTE_STEPS
 from staffwise.plans.pipelines import REFERENCE_YEAR, WEEK_START
 
 ORACLE: dict[str, str] = {}
@@ -164,6 +165,14 @@ ORACLE["fte_combined"] = "WITH " + BASE + " " + final(
 ORACLE["datamart_day"] = "WITH " + BASE + " " + final(
     "SELECT * FROM datamart", DM_DOUBLES, ["date", "language", "usd", "req_media", "level"])
 
+VIDEO = BASE
+for _opi, _video in [("total_opi - LAG(total_opi)", "total_vri - LAG(total_vri)"), ("total_opi AS staffing", "total_vri AS staffing"),
+                     ("FROM dm_all WHERE req_media = 'OPI'", "FROM dm_all WHERE req_media = 'VIDEO'")]:
+    assert VIDEO.count(_opi) == 1
+    VIDEO = VIDEO.replace(_opi, _video)
+ORACLE["datamart_day_video"] = "WITH " + VIDEO + " " + final(
+    "SELECT * FROM datamart", DM_DOUBLES, ["date", "language", "usd", "req_media", "level"])
+
 ORACLE["weekly_kpi"] = "WITH " + BASE + " " + final(f"""
     SELECT {KEYS}, CAST(date - CAST(dayofweek(date) AS INTEGER) AS DATE) AS week,
            COALESCE(SUM(demand), 0.0) AS weekly_demand, COALESCE(SUM(demand), 0.0) / {float(DAYS_PER_WEEK)} AS daily_demand,
@@ -185,6 +194,8 @@ def _grid(mode: str) -> str:
         rows = [(0, s) for s in signed]
     elif mode == "double":
         rows = [(d, s) for d in signed for s in signed]
+    elif mode == "absolute":
+        rows = [(10, s) for s in ABSOLUTE_STEPS]
     else:
         rows = [(10, 5)]
     vals = ", ".join(f"({float(d)}, {float(s)})" for d, s in rows)
@@ -221,7 +232,8 @@ def scenario_sql(mode: str, how: str) -> str:
                  SELECT *, TRUE AS req FROM grid UNION ALL SELECT 0.0, 0.0, FALSE) GROUP BY 1, 2),
     tgt AS (SELECT b.*, g.demand_change, g.staffing_change, g.requested,
                    b.daily_demand * (1.0 + g.demand_change / 100.0) AS new_demand,
-                   b.staffing * (1.0 + g.staffing_change / 100.0) AS new_staffing
+                   {"CASE WHEN b.staffing + g.staffing_change < 0 THEN 0.0 ELSE b.staffing + g.staffing_change END"
+                    if mode == "absolute" else "b.staffing * (1.0 + g.staffing_change / 100.0)"} AS new_staffing
             FROM base b CROSS JOIN gridall g),
     st AS (SELECT t.language, t.req_media, t.usd, t.level, t.demand_change, t.staffing_change,
                   COUNT(h.demand) AS n_matches, {aggs}
@@ -268,6 +280,7 @@ def scenario_sql(mode: str, how: str) -> str:
 ORACLE["lookalike_weighted"] = scenario_sql("single", "weighted")
 ORACLE["lookalike_unweighted"] = scenario_sql("single", "unweighted")
 ORACLE["lookalike_direct"] = scenario_sql("single", "direct")
+ORACLE["lookalike_absolute"] = scenario_sql("absolute", "weighted")
 ORACLE["scenario_demand"] = scenario_sql("demand", "weighted")
 ORACLE["scenario_staffing"] = scenario_sql("staffing", "weighted")
 ORACLE["scenario_double"] = scenario_sql("double", "weighted")

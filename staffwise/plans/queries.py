@@ -71,6 +71,12 @@ def q_datamart_day(spark, sf):
     return pp.datamart_day(spark, sf)
 
 
+@query("datamart_day_video")
+def q_datamart_day_video(spark, sf):
+    """The day-wise datamart of the video medium: video staffing and calls, same joins."""
+    return pp.datamart_day(spark, sf, media="VIDEO")
+
+
 # --- scenario analysis --------------------------------------------------------------------------------
 
 @query("datamart_hour")
@@ -106,6 +112,13 @@ def q_lookalike_unweighted(spark, sf):
     return la.evaluate(_hist(spark, sf), pp.WEEK_START, _single(spark), "unweighted")
 
 
+@query("lookalike_absolute")
+def q_lookalike_absolute(spark, sf):
+    """SCN2: staffing changed by a number of FTE, 0 at least, with demand +10 %, for every group."""
+    changes = spark.createDataFrame([(10.0, float(s)) for s in la.ABSOLUTE_STEPS], "demand_change double, staffing_change double")
+    return la.evaluate(_hist(spark, sf), pp.WEEK_START, changes, "weighted", pp.REFERENCE_YEAR, absolute=True)
+
+
 @query("lookalike_direct")
 def q_lookalike_direct(spark, sf):
     """SCN5: call-weighted KPIs of the target band."""
@@ -236,6 +249,7 @@ from staffwise.functions import dates as dt  # noqa: E402
 from staffwise.functions.text import contains_match, language_alias, level_of_text  # noqa: E402
 from staffwise.operators import activity as act  # noqa: E402
 from staffwise.operators import features as fe  # noqa: E402
+from staffwise.operators import lasso as lo  # noqa: E402
 from staffwise.operators import models as mo  # noqa: E402
 from staffwise.operators import whatif as wi  # noqa: E402
 from staffwise.operators.fte import match_languages  # noqa: E402
@@ -547,6 +561,33 @@ def q_accuracy_log(spark, sf):
     return spark.read.schema(records.schema).parquet(path)
 
 
+@query("fte_week")
+def q_fte_week(spark, sf):
+    """ML4 + SCN13: requirement of each day of the week with demand changed by -25..+25 %, per group."""
+    from staffwise.constants import PERCENT_STEPS_15
+    return wi.fte_week(_dm(spark, sf), pp.WEEK_START, GK, PERCENT_STEPS_15)
+
+
+@query("fte_week_totals")
+def q_fte_week_totals(spark, sf):
+    """SCN13: the week's means and totals of fte_week and the change of the requirement."""
+    from staffwise.constants import PERCENT_STEPS_15
+    return wi.fte_week_totals(wi.fte_week(_dm(spark, sf), pp.WEEK_START, GK, PERCENT_STEPS_15), GK)
+
+
+@query("lasso_cv")
+def q_lasso_cv(spark, sf):
+    """ML6 + ML7 + ML11: lasso of the requirement on six features per group, five-fold R2."""
+    return lo.fit_lasso(_dm(spark, sf), GK)
+
+
+@query("lasso_demand")
+def q_lasso_demand(spark, sf):
+    """SCN17 + SRT3 + MTH4: requirement by the lasso with calls raised by 5..25 %, per group."""
+    dm = _dm(spark, sf)
+    return lo.demand_effect(dm, lo.fit_lasso(dm, GK), GK)
+
+
 @query("kpi_per_fte")
 def q_kpi_per_fte(spark, sf):
     """ML5 + SCN15: requirement and calls per FTE with the week's KPIs moved by -25..+25 %, per group."""

@@ -54,3 +54,31 @@ def test_requirement_accuracy_by_brute_force(spark):
             r = got[g, part]
             assert (r.n_eval, r.mse, r.mae) == (len(e), pytest.approx((e * e).mean()), pytest.approx(np.abs(e).mean()))
             assert r.r2 == pytest.approx(1 - (e * e).sum() / ((true - true.mean()) ** 2).sum())
+
+
+def test_fte_week_by_brute_force(spark):
+    rows, x, noise = _hist(2.0)
+    y = 5 + 0.001 * x[:, 1] - 0.3 * x[:, 2] + 9 * x[:, 6] + noise
+    rows = [(*r, float(v)) for r, v in zip(rows, y) if r[1] != dt.date(2025, 1, 14)]
+    hist = spark.createDataFrame(rows, SCHEMA)
+    days = whatif.fte_week(hist, "2025-01-12", ["g"], [-10, 20])
+    got = {(r.g, r.change, r.date): r for r in days.collect()}
+    assert len(got) == 2 * 2 * 7
+    totals = {(r.g, r.change): r for r in whatif.fte_week_totals(days, ["g"]).collect()}
+    for g in ("a", "b"):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        f = np.array([[r[3], r[4], r[8], r[6]] for r in mine])
+        n = int(0.7 * len(mine)) + 1
+        b = np.linalg.lstsq(np.column_stack([np.ones(n), f[:n]]), np.array([r[9] for r in mine[:n]]), rcond=None)[0]
+        week = [i for i, r in enumerate(mine) if dt.date(2025, 1, 12) <= r[1] <= dt.date(2025, 1, 18)]
+        demand = {mine[i][1]: f[i, 0] for i in week}
+        mean = f[week].mean(0)
+        want = []
+        for k in range(7):
+            d = dt.date(2025, 1, 12) + dt.timedelta(k)
+            want.append(b[0] + b[1] * demand.get(d, 0.0) * 1.2 + b[2:] @ mean[1:])
+            assert got[g, 20.0, d].prediction == pytest.approx(want[-1], rel=1e-6)
+        assert got[g, 20.0, dt.date(2025, 1, 14)].actual is None
+        actual = np.mean([mine[i][9] for i in week])
+        t = totals[g, 20.0]
+        assert (t.weekly_predicted, t.change_pct) == (pytest.approx(sum(want)), pytest.approx((np.mean(want) / actual - 1) * 100))
