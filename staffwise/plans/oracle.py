@@ -518,7 +518,7 @@ ORACLE["time_split"] = dm_q(f"""
         SELECT {GKS}, date AS split_date FROM (
             SELECT {GKS}, date, ROW_NUMBER() OVER (PARTITION BY {GKS} ORDER BY date) - 1 AS idx,
                    COUNT(*) OVER (PARTITION BY {GKS}) AS n FROM datamart)
-        WHERE idx = CAST(floor(n * 0.7) AS BIGINT)) s USING (language, req_media, usd, level)""", [],
+        WHERE idx = CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)) s USING (language, req_media, usd, level)""", [],
     ["language", "req_media", "usd", "level", "date", "split_date", "part"])
 HB = "CAST(CAST(('0x' || substr(md5(concat_ws('|', language, req_media, usd, level, CAST(date AS VARCHAR))), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
 ORACLE["hash_split"] = dm_q(f"""SELECT {GKS}, date, {HB} AS bucket,
