@@ -6,6 +6,15 @@ letters it may stand for, or nothing (a separator, a repeat), each at a channel
 decoding finds the cheapest path under a character trigram model whose counts come from all
 documents; a boundary is a symbol of the model, so decoded words start and end like words.
 
+Two things open a lattice. Signs beside letters, letters written three times and runs of single letters
+are suspicious in any text, whatever the words; the classifier is fitted on the text that they give. A
+doubled letter or a single separator stands in many plain words and gaps. There a lattice is opened
+wherever one of its paths can spell a word of the classifier: texts and words are reduced to skeletons
+(separators dropped, repeats collapsed, look-alikes folded), and the words' skeletons are searched for in
+the text's. Only such words change a score, so no other doubled letter or gap needs a lattice. A word
+that plain neighbours often spell by chance ("los ta") is no evidence then: clean labelled rows in which
+it is decoded from such a place count against it there.
+
 The classifier is learnt from labelled rows: words and word beginnings whose rate in toxic rows is
 high by the lower end of a Wilson interval. Support counts distinct neighbour pairs, not documents,
 so that copies of one text count once. A document's score is that of its strongest word.
@@ -49,6 +58,7 @@ BLOCK = 1 << 20  # characters whose trigrams are counted at once
 REMEMBER = 50_000  # decoded spans that a worker remembers
 
 LETTER, SIGN, SEPARATOR = 1, 2, 4
+BARRIER = "\n"  # in a skeleton: any sign that is no letter, look-alike or separator
 
 
 def _table(value, dtype) -> np.ndarray:
@@ -58,6 +68,11 @@ def _table(value, dtype) -> np.ndarray:
 SYMBOL = _table(lambda c: ALPHABET.find(c) if c in ALPHABET else OTHER * c.isalpha(), np.uint8)
 KIND = _table(lambda c: LETTER * c.isalpha() | SIGN * (c in LOOKALIKES) | SEPARATOR * (c in SEPARATORS), np.uint8)
 
+#: Skeleton letter of each character, 0 for separators; l and i are one letter, since signs stand for both.
+FOLDED = _table(lambda c: 0 if c in SEPARATORS else ord("i" if c == "l" else c) if c.isalpha()
+                else ord(LOOKALIKES[c][0]) if c in LOOKALIKES else ord(BARRIER), np.uint16)
+FOLDED[0] = ord(BARRIER)
+
 
 def codes(text: str) -> np.ndarray:
     """Code points, those beyond the basic plane as zero."""
@@ -107,14 +122,16 @@ def log_model(cube: np.ndarray, k: float = 5.0) -> np.ndarray:
 
 @dataclass
 class Model:
-    """cost: the character model; weights: word -> score, or "beginning*" -> score; base: no word found."""
+    """cost: the character model; weights: word -> score, or "beginning*" -> score; base: no word found;
+    hidden: the weights of words decoded from places that only a known word makes suspicious."""
     cost: np.ndarray
     weights: dict[str, float]
     base: float
+    hidden: dict[str, float] | None = None
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Where a lower-case text looks disguised: signs inside words, letters repeated or set apart."""
+    """Where a lower-case text looks disguised: signs inside words, letters written three times or set apart."""
     a = codes(text)
     if len(a) < 3:
         return []
@@ -128,13 +145,12 @@ def spans(text: str) -> list[tuple[int, int]]:
     alone = letter.copy()
     alone[1:] &= ~letter[:-1]
     alone[:-1] &= ~letter[1:]
-    set_apart = np.empty(0, int)
-    if len(a) >= 7:
-        gap = (kind & SEPARATOR) > 0
-        n = len(a) - 6
-        run = alone[:n] & gap[1:n + 1] & alone[2:n + 2] & gap[3:n + 3] & alone[4:n + 4] & gap[5:n + 5] & alone[6:]
-        set_apart = np.flatnonzero(run)
-    if not sum(map(len, marks)) and not len(set_apart):
+    # runs of three or more single letters, with gaps of any length: nothing but separators between them
+    solid = np.flatnonzero((kind & SEPARATOR) == 0)
+    single = np.concatenate(([False], alone[solid], [False])).astype(np.int8)
+    first, last = np.flatnonzero(np.diff(single) == 1), np.flatnonzero(np.diff(single) == -1) - 1
+    set_apart = [(int(solid[i]), int(solid[j]) + 1) for i, j in zip(first, last) if j - i >= 2]
+    if not sum(map(len, marks)) and not set_apart:
         return []
     blank = np.flatnonzero(~(letter | sign | ((kind & SEPARATOR) > 0)) | (a == 32))
     found = []
@@ -142,7 +158,7 @@ def spans(text: str) -> list[tuple[int, int]]:
     left = np.searchsorted(blank, at)
     for p, i in zip(at, left):
         found.append((int(blank[i - 1]) + 1 if i else 0, int(blank[i]) if i < len(blank) else len(a)))
-    found += [(int(p), int(p) + 7) for p in set_apart]
+    found += set_apart
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(set(found)):
         if out and lo < out[-1][1]:
@@ -152,11 +168,27 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def restore_span(span: str, cost: np.ndarray) -> str:
-    """Viterbi path through the lattice of one span; states are the last two symbols put out."""
+def skeleton(text: str) -> tuple[str, np.ndarray]:
+    """The skeleton of a lower-case text, and where in the text each of its characters stands."""
+    folded = FOLDED[codes(text)]
+    at = np.flatnonzero(folded)
+    folded = folded[at]
+    if len(at):
+        new = np.concatenate(([True], folded[1:] != folded[:-1]))
+        at, folded = at[new], folded[new]
+    return folded.astype("<u2").tobytes().decode("utf-16-le"), at
+
+
+def restore_span(span: str, cost: np.ndarray, plain: bool = False) -> str:
+    """Viterbi path through the lattice of one span; states are the last two symbols put out.
+
+    In a ``plain`` span, which nothing but a known word makes suspicious, blanks and signs without a
+    letter beside them are usual and cost nothing to keep.
+    """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for ch in span:
+    for i, ch in enumerate(span):
+        usual = plain and not ch.isalpha() and (ch == " " or not any(c.isalpha() for c in span[max(0, i - 1):i + 2]))
         options: list[tuple[str, float]] = []
         if ch.isalpha():
             options.append((ch, 0.0))
@@ -166,9 +198,9 @@ def restore_span(span: str, cost: np.ndarray) -> str:
             options += [(c, SWAP) for c in LOOKALIKES.get(ch, "")]
             if ch in SEPARATORS:
                 options.append(("", DROP))
-                options.append((ch, BREAK))
+                options.append((ch, 0.0 if usual else BREAK))
             else:
-                options.append((ch, KEEP_SIGN))
+                options.append((ch, 0.0 if usual else KEEP_SIGN))
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (x, y), (c, path) in states.items():
             for out, extra in options:
@@ -199,33 +231,90 @@ class Scorer:
             part = key.rstrip("*")
             old = self.words.get(part, (len(part), 0.0, 0.0))
             self.words.add_word(part, (len(part), old[1] if key != part else weight, weight if key != part else old[2]))
+        self.skeletons, self.aliases = ahocorasick.Automaton(), {}
+        for key, weight in model.weights.items():
+            part = key.rstrip("*")
+            bones = skeleton(part)[0]
+            n, forms = self.skeletons.get(bones, (len(bones), set()))
+            self.skeletons.add_word(bones, (n, forms | {part}))
+            if key == part and (clear := restore_span(part, model.cost)) != part:  # its own double letters
+                self.aliases.setdefault(clear, []).append(key)
         if self.words is not None:
             self.words.make_automaton()
+            self.skeletons.make_automaton()
+
+    def clear(self, span: str, plain: bool = False) -> str:
+        if (clear := self.seen.get((span, plain))) is None:
+            clear = restore_span(span, self.model.cost, plain)
+            if len(self.seen) >= REMEMBER:
+                self.seen.clear()
+            self.seen[span, plain] = clear
+        return clear
 
     def restore(self, text: str) -> tuple[str, int]:
-        """The lower-case text with its disguised spans decoded, and how many of them changed."""
+        """The lower-case text with its suspicious spans decoded, and how many of them changed."""
         text = text.lower()
         out, last, changed = [], 0, 0
         for lo, hi in spans(text):
             span = text[lo:hi]
-            if (clear := self.seen.get(span)) is None:
-                clear = restore_span(span, self.model.cost)
-                if len(self.seen) >= REMEMBER:
-                    self.seen.clear()
-                self.seen[span] = clear
+            clear = self.clear(span)
             out += [text[last:lo], clear]
             last, changed = hi, changed + (clear != span)
         return "".join([*out, text[last:]]), changed
 
-    def score(self, text: str | None) -> tuple[float, int]:
-        clear, changed = self.restore(text or "")
-        best = self.model.base
+    def hidden(self, text: str) -> list[str]:
+        """Parts of a lower-case text that a path of the lattice may turn into a known word, those spelled plainly left out."""
+        if self.words is None:
+            return []
+        bones, at = skeleton(text)
+        found = set()
+        for end, (n, forms) in self.skeletons.iter(bones):
+            lo, hi = int(at[end - n + 1]), int(at[end]) + 1
+            if lo and text[lo - 1].isalpha():
+                continue
+            single = not text[lo + 1:lo + 2].isalpha()
+            before = text[max(0, lo - 64):lo].rstrip(SEPARATORS) if single else ""
+            if before and before[-1].isalpha() and not before[-2:-1].isalpha():
+                continue  # inside a run of single letters, which has a lattice of its own
+            while hi < len(text) and text[hi].isalpha():
+                hi += 1
+            span = text[lo:hi]
+            if not any(span.startswith(f) for f in forms):
+                found.add((lo, hi))
+        return [text[lo:hi] for lo, hi in sorted(found)]
+
+    def known(self, clear: str) -> Iterator[str]:
+        """The words and beginnings of the classifier that stand in a clear text."""
         for end, (n, whole, start) in self.words.iter(clear) if self.words is not None and clear else ():
             lo = end - n + 1
             if lo and clear[lo - 1].isalpha():
                 continue
             more = end + 1 < len(clear) and clear[end + 1].isalpha()
-            best = max(best, start if more else whole)
+            if start if more else whole:
+                yield clear[lo:end + 1] + "*" * more
+
+    def decoded(self, text: str) -> list[tuple[str, list[str]]]:
+        """The hidden parts of a lower-case text that decode to known words, with those words."""
+        out = []
+        for span in self.hidden(text):
+            clear = self.clear(span, plain=True)
+            if clear != span:
+                keys = {*self.known(clear), *(k for w in WORD.findall(clear) for k in self.aliases.get(w, ()))}
+                if keys:
+                    out.append((span, sorted(keys)))
+        return out
+
+    def score(self, text: str | None) -> tuple[float, int]:
+        text = (text or "").lower()
+        clear, changed = self.restore(text)
+        weights = self.model.weights
+        best = max([self.model.base, *(weights[k] for k in self.known(clear))])
+        if self.model.hidden is not None:
+            weights = self.model.hidden
+        for span, keys in self.decoded(text):
+            got = max(weights.get(k, 0.0) for k in keys)
+            changed += got > 0 and not spans(span)
+            best = max(best, got)
         return best, changed
 
 
@@ -255,6 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .join(F.broadcast(chosen), "id").select("text", F.col("y").cast("int")))  # at most ``sample`` ids
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(cost, {}, 0.0))
         n: tuple[Counter, Counter] = (Counter(), Counter())
 
         def rows() -> pa.RecordBatch:
@@ -268,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             for text, y in zip(b.column(0), b.column(1).to_pylist()):
-                got = {f for w in set(WORD.findall(text.as_py().lower())) for f in features(w)}
+                got = {f for w in set(WORD.findall(scorer.restore(text.as_py())[0])) for f in features(w)}
                 n[y].update(got)
                 n[y][""] += 1
                 if len(n[0]) + len(n[1]) > FLUSH:
@@ -284,10 +374,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     candidates = frozenset(got)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(cost, {}, 0.0))
         for b in batches:
             seen = set()
             for text in b.column(0):
-                words = ["", *WORD.findall(text.as_py().lower()), ""]
+                words = ["", *WORD.findall(scorer.restore(text.as_py())[0]), ""]
                 for i in range(1, len(words) - 1):
                     for f in features(words[i]):
                         if f in candidates:
@@ -296,7 +387,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
                                               pa.array([r[1] for r in rows], pa.int64())], ["feature", "context"])
 
-    weights = {}
+    weights, support, hidden = {}, {}, {}
     if candidates:
         varied = (known.where("y = 1").select("text").mapInArrow(contexts, "feature string, context long").distinct()
                   .groupBy("feature").count().collect())
@@ -304,8 +395,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             k = min(r["count"], got[r.feature][0])
             least = BEGINNING_RATE if r.feature.endswith("*") else MIN_RATE
             if k >= MIN_SUPPORT and (w := wilson(k, k + got[r.feature][1])) >= least:
-                weights[r.feature] = w
-    return Model(cost, weights, 0.1 * (n1 + 0.5) / (n1 + n0 + 1))
+                weights[r.feature], support[r.feature] = w, k
+
+    def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, n = Scorer(Model(cost, weights, 0.0)), Counter()
+        for b in batches:
+            for text in b.column(0):
+                n.update({k for _, keys in scorer.decoded(text.as_py().lower()) for k in keys})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
+        tidy()
+
+    if weights:
+        by_chance = {r.feature: r.n for r in known.where("y = 0").select("text").mapInArrow(chances, "feature string, n long")
+                     .groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # bounded by the weights
+        for f, k in support.items():
+            w = wilson(k, k + got[f][1] + by_chance.get(f, 0))
+            if w >= (BEGINNING_RATE if f.endswith("*") else MIN_RATE):
+                hidden[f] = w
+    return Model(cost, weights, 0.1 * (n1 + 0.5) / (n1 + n0 + 1), hidden)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text",

@@ -152,6 +152,19 @@ def test_viterbi_restores_disguised_words():
         assert scorer.score(t)[0] == want, t
 
 
+def test_viterbi_reaches_every_form_of_the_channel():
+    text = " the idiot and the loser are stupid worthless morons in this of on " * 50
+    cube = np.zeros(toxicity.SIZE ** 3)
+    s = toxicity.SYMBOL[toxicity.codes(text)].astype(int)
+    np.add.at(cube, s[:-2] * 4096 + s[1:-1] * 64 + s[2:], 1)
+    weights = {"idiot": 0.9, "loser": 0.8, "stupid": 0.85, "are": 0.7, "moron*": 0.95}
+    scorer = toxicity.Scorer(toxicity.Model(toxicity.log_model(cube), weights, 0.01))
+    for t, want in [("idiiot", 0.9), ("an id-iot.", 0.9), ("st.upid", 0.85), ("a los er", 0.8), ("i  d  i  o  t", 0.9),
+                    ("i - d - i - o - t", 0.9), ("a r e", 0.7), ("l0s er", 0.8), ("mor-ons", 0.95), ("lloosseerr", 0.8),
+                    ("stupid-loser", 0.85), ("closer", 0.01), ("los, er", 0.01), ("loss of the", 0.01), ("los\ner", 0.01)]:
+        assert scorer.score(t)[0] == want, t
+
+
 def test_toxicity_held_out(spark, odd, nothing):
     rng = random.Random(1)
     words = ["".join(rng.choice(["an", "ter", "on", "es", "li", "mo"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
