@@ -7,6 +7,11 @@ tokens at least one mask sees only equal tokens. Hashes of masked windows of bot
 each hit fixes an alignment of text and item, and is verified there: around the hit, the overlap
 grows while the share of equal tokens stays high, and must reach a minimum length.
 
+Items shorter than a window are cut into one piece more than the substitutions that the share of
+equal tokens allows, so one piece is always intact; the first ``PIECE`` tokens of the pieces are
+joined, and the whole item is compared at each hit. Tokens are words, and single characters in scripts
+that are written without blanks; such a character counts as the part of a word that it is on average.
+
 The benchmark is a stated query set. It is cut into blocks of bounded size, and each block is sent
 to all tasks, which join its hashes with those of their texts in sorted arrays. Texts are neither
 shuffled nor cut; the blocks follow each other over the same rows.
@@ -15,6 +20,9 @@ shuffled nor cut; the blocks follow each other over the same rows.
 from __future__ import annotations
 
 import math
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +34,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, tidy
 
 SPAN, PARTS, LEFT_OUT = 12, 4, 2
-MIN_TOKENS = 13  # of a verified overlap; items with fewer must match as a whole
+PIECE = 3
+MIN_TOKENS = 13  # words of a verified overlap; items with fewer must be there as a whole
+MIN_WORDS = 3  # of an item; one with fewer is found only in a text that consists of it
+MIN_SURE = 5  # words that are equal in an overlap with substitutions
+CANDIDATES = 1 << 18  # short items compared at once
 MIN_EQUAL = 0.8  # share of equal tokens in an overlap
 BLOCK_CHARS = 16 << 20  # characters of the benchmark in one block
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -43,9 +55,40 @@ def masks(span: int = SPAN, parts: int = PARTS, left_out: int = LEFT_OUT) -> lis
 PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
+#: Scripts without blanks between words, as character ranges; those of Han stand for half a word, the others for a quarter.
+HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{HAN}\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f]")
+IDEOGRAPH = re.compile(f"[{HAN}]")
+
+
+def _signs() -> re.Pattern:
+    """Characters beyond ASCII that separate: punctuation, symbols, blanks and controls."""
+    ranges: list[list[int]] = []
+    for c in range(128, sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PSZ" or kind in ("Cc", "Cf"):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]+")
+
+
+SIGNS = _signs()
+
+
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-case tokens; ASCII signs and blanks separate, all other characters belong to a token."""
-    return (text or "").lower().encode("utf-8", "replace").translate(PLAIN).split()
+    """Lower-case tokens: runs of letters, marks and digits; single characters in scripts without blanks."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = UNSPACED.sub(r" \g<0> ", SIGNS.sub(" ", low))
+    return low.encode("utf-8", "replace").translate(PLAIN).split()
+
+
+def worth(token: bytes) -> float:
+    """The part of a word that a token stands for."""
+    c = token.decode("utf-8", "replace")
+    return (0.5 if IDEOGRAPH.match(c) else 0.25) if UNSPACED.match(c) else 1.0
 
 
 class Block:
@@ -68,10 +111,32 @@ class Block:
         self.hash, self.item, self.pos = (f[order] for f in flat)
         self.table = np.zeros(1 << BITS, bool)
         self.table[self.hash >> np.uint64(64 - BITS)] = True
-        self.short = {}  # items too short for a window, by their tokens
+        value = np.array([0.0, *(worth(w) for w in self.vocabulary)])
+        self.value = [value[ids] for ids in self.ids]
+        self.tiny: dict[tuple, list[int]] = {}  # items that say too little to be looked for inside a text
+        pieces, short = [], []
         for n, ids in enumerate(self.ids):
-            if 0 < len(ids) < SPAN:
-                self.short.setdefault(len(ids), {}).setdefault(tuple(ids.tolist()), []).append(n)
+            if len(ids) and self.value[n].sum() < MIN_WORDS:
+                self.tiny.setdefault(tuple(ids.tolist()), []).append(n)
+            elif 0 < len(ids) < SPAN:
+                gone = max(0, min(int((1 - min_equal) * len(ids) + 1e-9), len(ids) // PIECE - 1))
+                pieces += [(len(short), len(ids) * k // (gone + 1)) for k in range(gone + 1)]
+                short.append((n, len(ids) - gone))
+        self.short = np.array([n for n, _ in short], np.int64)
+        self.least = np.array([k for _, k in short], np.int64)  # tokens of a short item that must be equal
+        self.length = np.array([len(self.ids[n]) for n, _ in short], np.int64)
+        self.padded = np.full((len(short), SPAN), -1, np.int64)
+        self.worths = np.zeros((len(short), SPAN))
+        for k, (n, _) in enumerate(short):
+            self.padded[k, :len(self.ids[n])] = self.ids[n]
+            self.worths[k, :len(self.ids[n])] = self.value[n]
+        heads = np.array([self.padded[k, o:o + PIECE] for k, o in pieces], np.int64).reshape(-1, PIECE)
+        key = grams(heads.ravel())[::PIECE] if len(heads) else np.empty(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.piece = key[order]
+        self.piece_item, self.piece_at = (np.array([x[i] for x in pieces], np.int64)[order] for i in range(2))
+        self.piece_table = np.zeros(1 << BITS, bool)
+        self.piece_table[self.piece >> np.uint64(64 - BITS)] = True
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int]]:
         """Verified ``(item, start, end)`` in tokens of the text, sorted, merged per item."""
@@ -91,11 +156,36 @@ class Block:
         out = []
         for (n, shift) in sorted(found):
             out += [(n, a + shift, b + shift) for a, b in self.verify(n, ids, shift)]
-        for size, known in self.short.items():
-            for p in np.flatnonzero(np.convolve(ids > 0, np.ones(size), "valid") >= size) if len(ids) >= size else ():
-                for n in known.get(tuple(ids[p:p + size].tolist()), ()):
-                    out.append((n, int(p), int(p) + size))
-        return sorted(set(out))
+        out += [(n, 0, len(ids)) for n in self.tiny.get(tuple(ids.tolist()), ())] if len(ids) < SPAN * 4 else []
+        return sorted({*out, *self.whole(ids)})
+
+    def whole(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
+        """Short items that the text holds as a whole, but for the substitutions that the share allows."""
+        if not len(self.piece) or len(ids) < PIECE:
+            return set()
+        key = grams(ids)
+        at = np.flatnonzero(self.piece_table[key >> np.uint64(64 - BITS)])
+        lo = np.searchsorted(self.piece, key[at], "left")
+        n = np.searchsorted(self.piece, key[at], "right") - lo
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        ends = np.cumsum(n)
+        found: set[tuple[int, int, int]] = set()
+        total = int(ends[-1]) if len(ends) else 0
+        for first in range(0, total, CANDIDATES):
+            k = np.arange(first, min(total, first + CANDIDATES))
+            hit = np.searchsorted(ends, k, "right")
+            row = lo[hit] + k - (ends[hit] - n[hit])
+            item = self.piece_item[row]
+            start = at[hit] - self.piece_at[row]
+            ok = (start >= 0) & (start + self.length[item] <= len(ids))
+            item, start = item[ok], start[ok]
+            seen = ids[np.minimum(start[:, None] + np.arange(SPAN), len(ids) - 1)]
+            same = seen == self.padded[item]
+            equal = same.sum(1)
+            ok = (equal == self.length[item]) | (
+                (equal >= self.least[item]) & ((same * self.worths[item]).sum(1) >= MIN_SURE))
+            found.update(zip(self.short[item[ok]].tolist(), start[ok].tolist(), (start + self.length[item])[ok].tolist()))
+        return found
 
     def verify(self, n: int, ids: np.ndarray, shift: int) -> list[tuple[int, int]]:
         """Stretches of item ``n`` aligned at ``shift`` whose tokens are equal but for substitutions."""
@@ -106,17 +196,20 @@ class Block:
         same = item[lo:hi] == ids[lo + shift:hi + shift]
         gain = np.where(same, 1.0 - self.min_equal, -self.min_equal)
         total = np.concatenate(([0.0], np.cumsum(gain)))
-        # the longest stretch with enough equal tokens that starts and ends at an equal token
-        ends = np.flatnonzero(same) + 1
-        starts = ends - 1
+        # the longest stretch with enough equal tokens that starts and ends at an equal token or the item's edge
+        starts = np.flatnonzero(same | (np.arange(lo, hi) == 0))
+        ends = np.flatnonzero(same | (np.arange(lo, hi) == len(item) - 1)) + 1
         least = np.minimum.accumulate(total[starts]) if len(starts) else total[:0]
         best = (0, 0)
         for e in ends:
             k = int(np.searchsorted(-least, -(total[e] + 1e-9)))
             if k < len(starts) and starts[k] < e and e - starts[k] > best[1] - best[0]:
                 best = (int(starts[k]), int(e))
-        need = min(self.min_tokens, len(item))
-        return [(lo + best[0], lo + best[1])] if best[1] - best[0] >= need else []
+        value, kept = self.value[n][lo + best[0]:lo + best[1]], same[best[0]:best[1]]
+        need = min(self.min_tokens, self.value[n].sum())
+        if len(value) == 0 or value.sum() < need or not (kept.all() or value[kept].sum() >= MIN_SURE):
+            return []
+        return [(lo + best[0], lo + best[1])]
 
 
 MASKS = masks()
@@ -137,6 +230,17 @@ def hashes(ids: np.ndarray, mask: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def grams(ids: np.ndarray) -> np.ndarray:
+    """Hash of every ``PIECE`` adjacent token ids."""
+    u = ids.astype(np.uint64)
+    h = np.zeros(max(0, len(ids) - PIECE + 1), np.uint64)
+    for i in range(PIECE):
+        h += u[i:i + len(h)] * WEIGHTS[i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = MIN_TOKENS,
                   min_equal: float = MIN_EQUAL, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -144,8 +248,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (structs item, start, end in tokens). One row per input row.
 
     Null and empty texts contain nothing; items with a null id or without tokens are ignored; items
-    that repeat are compared once each. An item shorter than ``min_tokens`` must match as a whole, one
-    shorter than a seed's window without substitutions.
+    that repeat are compared once each. An item shorter than ``min_tokens`` words must be there as a whole,
+    with at least ``min_equal`` of its tokens equal and, unless all are, ``MIN_SURE`` words of them. An item
+    of fewer than ``MIN_WORDS`` words is found only in a text that consists of it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

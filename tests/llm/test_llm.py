@@ -369,6 +369,33 @@ def test_decontamination(spark, odd, nothing):
     assert all(not r._items for r in decontaminate.find_overlaps(odd, bench.limit(0)).collect())
 
 
+def test_decontamination_of_short_items_edges_and_scripts():
+    def found(item, text):
+        block = decontaminate.Block([(1, item)], decontaminate.MIN_TOKENS, decontaminate.MIN_EQUAL)
+        return [s[1:] for s in block.overlaps(text)]
+
+    w = [f"w{i}" for i in range(40)]
+    for size in range(6, 15):
+        for gone in range(size):  # one substitution anywhere
+            part = [*w[:size]]
+            part[gone] = "zzz"
+            assert found(" ".join(w[:size]), " ".join(["a", "b", *part, "c"])) == [(2, 2 + size)], (size, gone)
+    for a in range(11):  # two of eleven tokens are 82 % equal, three are not
+        for b in range(a):
+            part = [x if i not in (a, b) else "zzz" for i, x in enumerate(w[:11])]
+            assert found(" ".join(w[:11]), "a " + " ".join(part) + " b") == [(1, 12)], (a, b)
+    assert found(" ".join(w[:11]), " ".join(["z", "z", "z", *w[3:11]])) == []
+    assert found("the capital of france is", "the capital of spain is big") == []  # four equal words say little
+    assert found("w1 w2 w3", "a w1 w2 w3") == [(1, 4)] and found("w1 w2 w3", "a w1 zz w3") == []
+    assert found("yes", "she said yes to it") == [] and found("no idea", "No idea!") == [(0, 2)]
+    item = "中国的首都是哪一个城市，请回答。"
+    assert found(item, "他问我：" + item + "我不知道") == [(3, 17)]
+    assert found(item, "我不知道，中国很大") == []
+    thai = "เมืองหลวงของประเทศไทยคือเมืองอะไรในปัจจุบัน"
+    assert found(thai, "ถามว่า" + thai + "ตอบ") == [(6, 6 + len(thai))]
+    assert found("«Où est la gare — à Paris ou à Lyon ?»", "dit‑il: “où est la gare… à Paris ou à Lyon”")
+
+
 # 10 secrets
 
 def test_secrets_against_plain_patterns(spark, docs, odd, nothing):
