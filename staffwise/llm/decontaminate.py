@@ -4,8 +4,8 @@ Test items and training texts are lists of tokens. A seed looks at a window of `
 ignores some positions of it: the window falls into ``PARTS`` equal parts, and each mask leaves out
 two of them. Two substitutions lie in at most two parts, so for any window with up to two substituted
 tokens at least one mask sees only equal tokens. Hashes of masked windows of both sides are joined;
-each hit fixes an alignment of text and item, and is verified there: around the hit, the overlap
-grows while the share of equal tokens stays high, and must reach a minimum length.
+each hit fixes an alignment of text and item, and is verified there: the longest stretch with a high
+share of equal tokens, then the longest ones left and right of it, must each reach a minimum length.
 
 Items shorter than a window are cut into one piece more than the substitutions that the share of
 equal tokens allows, so one piece is always intact; the first ``PIECE`` tokens of the pieces are
@@ -196,20 +196,35 @@ class Block:
         same = item[lo:hi] == ids[lo + shift:hi + shift]
         gain = np.where(same, 1.0 - self.min_equal, -self.min_equal)
         total = np.concatenate(([0.0], np.cumsum(gain)))
-        # the longest stretch with enough equal tokens that starts and ends at an equal token or the item's edge
         starts = np.flatnonzero(same | (np.arange(lo, hi) == 0))
         ends = np.flatnonzero(same | (np.arange(lo, hi) == len(item) - 1)) + 1
-        least = np.minimum.accumulate(total[starts]) if len(starts) else total[:0]
-        best = (0, 0)
-        for e in ends:
-            k = int(np.searchsorted(-least, -(total[e] + 1e-9)))
-            if k < len(starts) and starts[k] < e and e - starts[k] > best[1] - best[0]:
-                best = (int(starts[k]), int(e))
-        value, kept = self.value[n][lo + best[0]:lo + best[1]], same[best[0]:best[1]]
+        value = np.concatenate(([0.0], np.cumsum(self.value[n][lo:hi])))
+        sure = np.concatenate(([0.0], np.cumsum(self.value[n][lo:hi] * same)))
         need = min(self.min_tokens, self.value[n].sum())
-        if len(value) == 0 or value.sum() < need or not (kept.all() or value[kept].sum() >= MIN_SURE):
-            return []
-        return [(lo + best[0], lo + best[1])]
+        out, open_parts = [], [(0, hi - lo)]
+        while open_parts:  # the longest stretch of a part, then the parts left and right of it
+            left, right = open_parts.pop()
+            if value[right] - value[left] < need:
+                continue
+            a, b = longest(total, starts[(starts >= left) & (starts < right)], ends[(ends > left) & (ends <= right)])
+            if a == b:
+                continue
+            gone = b - a - int(round((total[b] - total[a]) + self.min_equal * (b - a)))
+            if value[b] - value[a] >= need and (not gone or sure[b] - sure[a] >= MIN_SURE):
+                out.append((lo + a, lo + b))
+            open_parts += [(left, a), (b, right)]
+        return sorted(out)
+
+
+def longest(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int]:
+    """The longest stretch from one of ``starts`` to one of ``ends`` whose running ``total`` does not fall."""
+    least = np.minimum.accumulate(total[starts]) if len(starts) else total[:0]
+    best = (0, 0)
+    for e in ends.tolist():
+        k = int(np.searchsorted(-least, -(total[e] + 1e-9)))
+        if k < len(starts) and starts[k] < e and e - starts[k] > best[1] - best[0]:
+            best = (int(starts[k]), e)
+    return best
 
 
 MASKS = masks()

@@ -396,6 +396,13 @@ def test_decontamination_of_short_items_edges_and_scripts():
     assert found("«Où est la gare — à Paris ou à Lyon ?»", "dit‑il: “où est la gare… à Paris ou à Lyon”")
 
 
+def test_decontamination_returns_every_stretch():
+    w = [f"w{i}" for i in range(100)]
+    block = decontaminate.Block([(1, " ".join(w))], decontaminate.MIN_TOKENS, decontaminate.MIN_EQUAL)
+    text = ["a", *w[:30], *["x"] * 20, *w[50:63], *["x"] * 17, *w[80:], "b"]
+    assert block.overlaps(" ".join(text)) == [(0, 1, 31), (0, 51, 64), (0, 81, 101)]
+
+
 # 10 secrets
 
 def test_secrets_against_plain_patterns(spark, docs, odd, nothing):
