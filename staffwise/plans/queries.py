@@ -325,12 +325,17 @@ def q_report_csv(spark, sf):
     return spark.read.schema(report.schema).option("header", True).csv(path)
 
 
+def in_batch(key: str, k: int, n: int = 2):
+    """Whether a row falls into batch ``k`` of ``n`` by its key; every row falls into exactly one, nulls too."""
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(n)), F.lit(0)) == k
+
+
 @query("usage_log")
 def q_usage_log(spark, sf):
     """SNK6: tool visits appended to the usage log in two batches (by user), and the log read again."""
     visits, path = q_tool_dwell(spark, sf), scratch_path(spark, "usage")
     for half in (0, 1):
-        sk.append_log(visits.where(F.abs(F.col("user").cast("long")) % 2 == half), path)
+        sk.append_log(visits.where(in_batch("user", half)), path)
     return spark.read.schema(visits.schema).parquet(path)
 
 

@@ -46,3 +46,10 @@ def test_stream_equals_batch_on_closed_sessions(spark):
     # every streamed (closed) session is exactly a batch session
     missing = s.select("user", "session_start", "n_events").exceptAll(b.select("user", "session_start", "n_events"))
     assert missing.count() == 0
+
+
+def test_usage_log_holds_every_visit(spark, monkeypatch):
+    from staffwise.plans import queries as q
+    visits = spark.createDataFrame([("1", 1), ("2", 2), (None, 3), ("no number", 4)], "user string, n long")
+    monkeypatch.setattr(q, "q_tool_dwell", lambda *_: visits)
+    assert sorted(r.n for r in q.q_usage_log(spark, SF_SMALL).collect()) == [1, 2, 3, 4]
