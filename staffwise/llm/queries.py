@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, embedding_dedup, licenses, line_dedup, secrets_scan, simhash, token_rollup,
-               toxicity, warc)
-from .common import new_path, read, stored
+from . import (bpe, decontaminate, embedding_dedup, licenses, line_dedup, maxent_lm, merkle, secrets_scan, simhash,
+               token_rollup, toxicity, warc, whitening)
+from .common import lower_ascii, new_path, read, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -124,8 +124,47 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digests(secrets_scan.find_secrets(read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened along the eight leading principal components, a row per vector and component.
+
+    ``deviation`` is null where it doesn't fit a long; ``deviation_exact`` has its digits then."""
+    out = whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=8)
+    fits = F.col("deviation") <= F.lit(2 ** 63 - 1)
+    return out.select(
+        F.col("id").alias("vec_id"), "n", F.when(fits, F.col("deviation")).cast("long").alias("deviation"),
+        F.when(~fits, F.col("deviation").cast("string")).alias("deviation_exact"), "identity_error",
+        F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "c")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error", "deviation_exact")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents`` by source, and whether each row still leads to the root after
+    the texts of every fifth id (by CRC-32) were lower-cased."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(text):
+        return merkle.leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(hit, leaf(lower_ascii(F.col("text")))).alias("altered"))
+    out = merkle.manifest(leaves, group="source", order="doc_id", digest="leaf")
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("witness"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"),
+                      folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text under a maximum-entropy model and a unigram base, learnt without the held-out rows."""
+    out_of_training = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
+    out = maxent_lm.score(read(spark, sf_dir, "documents", "doc_id", "text"), ~out_of_training)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_bpe, op3_toxicity, op4_warc_revisits, op5_embedding_dedup, op6_line_dedup,
-    op7_simhash_dedup, op8_license_scan, op9_decontaminate, op10_secret_scan)}
+    op7_simhash_dedup, op8_license_scan, op9_decontaminate, op10_secret_scan, op11_whitening,
+    op12_merkle_manifest, op13_lm_score)}
 
-ORACLE = {"op1_token_counts": ORACLE_OP1, "op4_warc_revisits": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op1_token_counts": ORACLE_OP1, "op4_warc_revisits": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE,
+          "op12_merkle_manifest": merkle.ORACLE}
