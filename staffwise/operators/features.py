@@ -90,6 +90,15 @@ def folds(df: DataFrame, keys: list[str], k: int = 5, date_col: str = "date") ->
     return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(*keys).orderBy(date_col)))
 
 
+def fill_means(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """ML10: missing and infinite values as the mean of the group's finite ones; NULL where it has none."""
+    finite = {c: F.when(F.abs(F.col(c)) < F.lit(float("inf")), F.col(c)) for c in cols}  # NaN is above infinity
+    means = df.groupBy(*keys).agg(*(F.avg(finite[c]).alias(f"_mean_{c}") for c in cols))
+    return (df.join(means.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(f"_mean_{c}" for c in cols)),
+                    [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+            .withColumns({c: F.coalesce(finite[c], F.col(f"_mean_{c}")) for c in cols}).select(df.columns))
+
+
 def prepare_features(df: DataFrame, abn_scale: float = 100.0) -> DataFrame:
     """ML10: ratios, buckets, one-hot (first dropped), +-inf -> NULL on the ratios."""
     from staffwise.functions.clean import inf_to_null

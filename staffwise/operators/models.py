@@ -9,25 +9,17 @@ to the coefficients and predicted with column arithmetic.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GKEYS = ["language", "req_media", "usd", "level"]
-
+from staffwise.operators import features as fe
 
-def gram(df: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
-    """Sufficient statistics of least squares per group (rows with a NULL feature or label are dropped)."""
-    x = df.na.drop(subset=[*features, label])
-    aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(label).alias(f"s_{label}"),
-            F.sum(F.col(label) * F.col(label)).alias(f"s_{label}_{label}")]
-    for i, a in enumerate(features):
-        aggs.append(F.sum(a).alias(f"s_{a}"))
-        aggs.append(F.sum(F.col(a) * F.col(label)).alias(f"s_{a}_{label}"))
-        for b in features[i:]:
-            aggs.append(F.sum(F.col(a) * F.col(b)).alias(f"s_{a}_{b}"))
-    return x.groupBy(*keys).agg(*aggs)
+GKEYS = ["language", "req_media", "usd", "level"]
 
 
 def moments(df: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
@@ -90,33 +82,59 @@ def predict(features: list[str]) -> Column:
 
 
 def metrics(scored: DataFrame, keys: list[str], label: str, pred: str = "pred") -> DataFrame:
-    """ML11: MAE, MSE and R2 per group in one aggregate."""
+    """ML11: MAE, MSE and R2 per group in one aggregate; a label without spread has no R2."""
     e = F.col(label) - F.col(pred)
     return scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_eval"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
-        (F.lit(1.0) - F.try_divide(F.sum(e * e), F.sum(F.col(label) * F.col(label))
-                                   - F.sum(label) * F.sum(label) / F.count(F.lit(1)))).alias("r2"))
-
+        (F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop(label))).alias("r2"))
 
-def ols2_closed_form(g: DataFrame, x1: str, x2: str, y: str) -> list[Column]:
-    """ML2 exactly: two-feature least squares by Cramer's rule on centred Gram sums (SQL-expressible)."""
-    n = F.col("n")
 
+def ols2_closed_form(x1: str, x2: str, y: str) -> list[Column]:
+    """ML2: two-feature least squares by Cramer's rule on the covariances of ``moments`` (also written in SQL).
+    Constant or collinear features have no solution: NULL."""
     def c(a, b):
-        return F.col(f"s_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n
-    c11, c22, c12 = c(x1, x1), c(x2, x2), c(x1, x2)
-    c1y, c2y = c(x1, y), c(x2, y)
-    det = c11 * c22 - c12 * c12
-    b1 = F.try_divide(c1y * c22 - c2y * c12, det)
-    b2 = F.try_divide(c2y * c11 - c1y * c12, det)
-    b0 = (F.col(f"s_{y}") - b1 * F.col(f"s_{x1}") - b2 * F.col(f"s_{x2}")) / n
-    return [b0.alias("intercept"), b1.alias(f"b_{x1}"), b2.alias(f"b_{x2}")]
-
-
-def standardize(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """ML8: (x - mean) / population std per group (sklearn's scaler, not Spark ML's sample std)."""
-    st = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols],
-                               *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    j = df.join(st, keys)
-    return j.withColumns({f"z_{c}": F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols}) \
-        .drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+        return F.col(f"c_{a}_{b}")
+    det = c(x1, x1) * c(x2, x2) - c(x1, x2) * c(x1, x2)
+    b1 = F.try_divide(c(x1, y) * c(x2, x2) - c(x2, y) * c(x1, x2), det)
+    b2 = F.try_divide(c(x2, y) * c(x1, x1) - c(x1, y) * c(x1, x2), det)
+    return [(F.col(f"m_{y}") - b1 * F.col(f"m_{x1}") - b2 * F.col(f"m_{x2}")).alias("intercept"),
+            b1.alias(f"b_{x1}"), b2.alias(f"b_{x2}")]
+
+
+def held_out_fit(hist: DataFrame, keys: list[str], features: list[str], label: str, row_keys: list[str]) -> DataFrame:
+    """ML2, ML3 + ML11: least squares per group on the 80 % of its rows that their hash deals to training, with
+    the rows, MAE and R2 of the other part. Rows with a missing feature or label are left out."""
+    rows = fe.hash_split(hist.na.drop(subset=[*features, label]).select(*dict.fromkeys([*keys, *row_keys, *features, label])), row_keys)
+    coef = fit_ols(rows.where("part = 'train'"), keys, features, label)
+    test = rows.where("part = 'test'").join(coef, keys).withColumn("pred", predict(features))
+    return coef.join(metrics(test, keys, label).drop("mse"), keys, "left")
+
+
+@dataclass
+class Scaled:
+    """ML4 + ML8: a scaler (means and population deviations per group) and a model of the scaled features."""
+    scaler: DataFrame
+    model: DataFrame
+
+    @staticmethod
+    def fit(train: DataFrame, keys: list[str], features: list[str], label: str) -> "Scaled":
+        rows = train.na.drop(subset=[*features, label])
+        scaler = rows.groupBy(*keys).agg(*(F.avg(f).alias(f"mean_{f}") for f in features),
+                                         *(F.stddev_pop(f).alias(f"std_{f}") for f in features))
+        return Scaled(scaler, fit_ols(scale(rows, scaler, keys, features), keys, features, label))
+
+    def predict(self, rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+        """``rows`` with ``pred``; the features themselves stay as they are."""
+        z = [scaled(f) * F.col(f"b_{f}") for f in features]
+        return rows.join(self.scaler, keys).join(self.model, keys).withColumn(
+            "pred", reduce(lambda a, b: a + b, z, F.col("intercept"))).select(*rows.columns, "pred")
+
+
+def scaled(f: str) -> Column:
+    """(x - mean) / deviation; a feature without spread is 0, as scalers leave it."""
+    return F.coalesce(F.try_divide(F.col(f) - F.col(f"mean_{f}"), F.col(f"std_{f}")), F.lit(0.0))
+
+
+def scale(rows: DataFrame, scaler: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """ML8: ``rows`` with their features scaled by their group's scaler."""
+    return rows.join(scaler, keys).withColumns({f: scaled(f) for f in features}).select(rows.columns)

@@ -8,9 +8,10 @@ exactly as ``queries.finish`` does.
 
 from __future__ import annotations
 
-from staffwise.constants import (BAND_HIGH, BAND_LOW, CHANGE_STEPS, DAYS_PER_WEEK, PRODUCTIVE_MINUTES_PER_WEEK,
-                                 STAFFING_UPLIFT, YEAR_WEIGHTS)
+from staffwise.constants import (BAND_HIGH, BAND_LOW, CHANGE_STEPS, DAYS_PER_WEEK, OCC_ASSUMPTION_POINT_STEPS,
+                                 PERCENT_STEPS_15, PRODUCTIVE_MINUTES_PER_WEEK, SL_Q2_OFFSETS, STAFFING_UPLIFT, YEAR_WEIGHTS)
 from staffwise.functions.mathx import DIGITS, stable_sql
+from staffwise.operators.forest import MEASURES
 from staffwise.operators.lookalike import ABSOLUTE_STEPS
 from staffwise.plans.pipelines import REFERENCE_YEAR, WEEK_START
 
@@ -515,10 +516,8 @@ ORACLE["trim_quantile"] = dm_q(f"""
 ORACLE["time_split"] = dm_q(f"""
     SELECT x.*, s.split_date, CASE WHEN x.date <= s.split_date THEN 'train' ELSE 'test' END AS part
     FROM (SELECT {GKS}, date FROM datamart) x JOIN (
-        SELECT {GKS}, date AS split_date FROM (
-            SELECT {GKS}, date, ROW_NUMBER() OVER (PARTITION BY {GKS} ORDER BY date) - 1 AS idx,
-                   COUNT(*) OVER (PARTITION BY {GKS}) AS n FROM datamart)
-        WHERE idx = CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT)) s USING (language, req_media, usd, level)""", [],
+        SELECT {GKS}, list(date ORDER BY date)[CAST(floor(COUNT(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) + 1] AS split_date
+        FROM datamart GROUP BY ALL) s USING (language, req_media, usd, level)""", [],
     ["language", "req_media", "usd", "level", "date", "split_date", "part"])
 HB = "CAST(CAST(('0x' || substr(md5(concat_ws('|', language, req_media, usd, level, CAST(date AS VARCHAR))), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
 ORACLE["hash_split"] = dm_q(f"""SELECT {GKS}, date, {HB} AS bucket,
@@ -528,29 +527,195 @@ ORACLE["folds"] = dm_q(f"""SELECT {GKS}, date, CAST(ntile(5) OVER (PARTITION BY
     FROM datamart""", [], ["language", "req_media", "usd", "level", "date", "fold"])
 
 
-def _c(a, b):
-    return f"(s_{a}_{b} - s_{a} * s_{b} / n)"
-
-
-_det = f"({_c('q2','q2')} * {_c('abn_pct','abn_pct')} - {_c('q2','abn_pct')} * {_c('q2','abn_pct')})"
-_b1 = f"(({_c('q2','sl')} * {_c('abn_pct','abn_pct')} - {_c('abn_pct','sl')} * {_c('q2','abn_pct')}) / NULLIF({_det}, 0))"
-_b2 = f"(({_c('abn_pct','sl')} * {_c('q2','q2')} - {_c('q2','sl')} * {_c('q2','abn_pct')}) / NULLIF({_det}, 0))"
+def finalm(body: str, doubles: list[str], others: list[str], digits: int = 4) -> str:
+    """Results of solved systems: fewer decimals."""
+    return "SELECT " + ", ".join([*others, *[f"{R(c, digits)} AS {c}" for c in doubles]]) + f" FROM ({body}) q"
+
+
+def ols_ctes(p: str, train: str, features: list[str], label: str) -> str:
+    """Least squares per group as CTEs ending in ``{p}coef``: moments, the system of the standardised features,
+    elimination column by column (the matrix is positive definite), and substitution from the last one back.
+    A feature without spread has coefficient 0; a vanishing pivot (collinear features) gives NULL."""
+    k, names = len(features), [*features, label]
+    out = [f"{p}mom AS (SELECT {GKS}, CAST(COUNT(*) AS DOUBLE) AS n, " + ", ".join(
+        [f"AVG({a}) AS m_{a}" for a in names] +
+        [f"COVAR_POP({a}, {b}) AS c_{a}_{b}" for i, a in enumerate(names) for b in names[i:]]) +
+        f" FROM ({train}) t WHERE " + " AND ".join(f"{a} IS NOT NULL" for a in names) + " GROUP BY ALL)"]
+    out.append(f"{p}sd AS (SELECT *, " + ", ".join(
+        f"CASE WHEN sqrt(c_{a}_{a}) <= 1e-12 * greatest(abs(m_{a}), 1e-300) THEN NULL ELSE sqrt(c_{a}_{a}) END AS s_{a}"
+        for a in features) + f" FROM {p}mom)")
+    cells = [f"COALESCE(c_{features[min(i, j)]}_{features[max(i, j)]} / s_{features[i]} / s_{features[j]}, {1.0 if i == j else 0.0}) AS a_{i}_{j}"
+             for i in range(k) for j in range(k)]
+    right = [f"COALESCE(c_{a}_{label} / s_{a}, 0.0) AS r_{i}" for i, a in enumerate(features)]
+    out.append(f"{p}e0 AS (SELECT *, {', '.join(cells + right)} FROM {p}sd)")
+    for t in range(k - 1):
+        pivot = f"CASE WHEN a_{t}_{t} > 1e-10 THEN a_{t}_{t} END"
+        new = [f"a_{i}_{j} - a_{i}_{t} / ({pivot}) * a_{t}_{j} AS a_{i}_{j}" for i in range(t + 1, k) for j in range(t + 1, k)]
+        new += [f"r_{i} - a_{i}_{t} / ({pivot}) * r_{t} AS r_{i}" for i in range(t + 1, k)]
+        out.append(f"{p}e{t + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM {p}e{t})")
+    for i in reversed(range(k)):
+        rest = "".join(f" - a_{i}_{j} * x_{j}" for j in range(i + 1, k))
+        out.append(f"{p}x{i} AS (SELECT *, (r_{i}{rest}) / CASE WHEN a_{i}_{i} > 1e-10 THEN a_{i}_{i} END AS x_{i} "
+                   f"FROM {p}{f'x{i + 1}' if i + 1 < k else f'e{k - 1}'})")
+    bs = [f"x_{i} / COALESCE(s_{a}, 1.0) AS b_{a}" for i, a in enumerate(features)]
+    out.append(f"{p}coef AS (SELECT {GKS}, n, {', '.join(bs)}, m_{label}" + "".join(
+        f" - x_{i} / COALESCE(s_{a}, 1.0) * m_{a}" for i, a in enumerate(features)) + f" AS intercept FROM {p}x0)")
+    return ",\n".join(out)
+
+
+def pred(features: list[str], value=lambda f: f) -> str:
+    return "intercept" + "".join(f" + b_{f} * ({value(f)})" for f in features)
+
+
+def half_even(expr: str, digits: int) -> str:
+    """Ties of the decimal text of a double go to the even digit, as the query's rounding does."""
+    x = f"(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)) * {10 ** digits})"
+    up = f"CASE WHEN {x} - floor({x}) > 0.5 OR ({x} - floor({x}) = 0.5 AND floor({x}) % 2 <> 0) THEN 1 ELSE 0 END"
+    return f"(CAST(floor({x}) + {up} AS DOUBLE) / {10.0 ** digits})"
+
+
+def errors(label: str, p: str = "pred") -> str:
+    return (f"COUNT(*) AS n_eval, AVG(abs({label} - {p})) AS mae, AVG(({label} - {p}) * ({label} - {p})) AS mse, "
+            f"1.0 - AVG(({label} - {p}) * ({label} - {p})) / NULLIF(VAR_POP({label}), 0) AS r2")
+
+
+_det = "(c_q2_q2 * c_abn_pct_abn_pct - c_q2_abn_pct * c_q2_abn_pct)"
+_b1 = f"((c_q2_sl * c_abn_pct_abn_pct - c_abn_pct_sl * c_q2_abn_pct) / NULLIF({_det}, 0))"
+_b2 = f"((c_abn_pct_sl * c_q2_q2 - c_q2_sl * c_q2_abn_pct) / NULLIF({_det}, 0))"
 ORACLE["ols_two_feature"] = dm_q(f"""
     WITH hs AS (SELECT {GKS}, date, q2, abn_pct, met AS sl, {HB} AS bucket FROM datamart),
-    g AS (SELECT {GKS}, CAST(COUNT(*) AS DOUBLE) AS n, SUM(q2) AS s_q2, SUM(abn_pct) AS s_abn_pct, SUM(sl) AS s_sl,
-                 SUM(q2 * q2) AS s_q2_q2, SUM(q2 * abn_pct) AS s_q2_abn_pct, SUM(abn_pct * abn_pct) AS s_abn_pct_abn_pct,
-                 SUM(q2 * sl) AS s_q2_sl, SUM(abn_pct * sl) AS s_abn_pct_sl
+    g AS (SELECT {GKS}, COUNT(*) AS n, AVG(q2) AS m_q2, AVG(abn_pct) AS m_abn_pct, AVG(sl) AS m_sl,
+                 COVAR_POP(q2, q2) AS c_q2_q2, COVAR_POP(q2, abn_pct) AS c_q2_abn_pct,
+                 COVAR_POP(abn_pct, abn_pct) AS c_abn_pct_abn_pct, COVAR_POP(q2, sl) AS c_q2_sl, COVAR_POP(abn_pct, sl) AS c_abn_pct_sl
           FROM hs WHERE bucket <> 0 AND q2 IS NOT NULL AND abn_pct IS NOT NULL AND sl IS NOT NULL GROUP BY ALL),
     coef AS (SELECT {GKS}, CAST(n AS BIGINT) AS n_train,
-                    (s_sl - {_b1} * s_q2 - {_b2} * s_abn_pct) / n AS intercept, {_b1} AS b_q2, {_b2} AS b_abn_pct FROM g),
+                    m_sl - {_b1} * m_q2 - {_b2} * m_abn_pct AS intercept, {_b1} AS b_q2, {_b2} AS b_abn_pct FROM g),
     t AS (SELECT h.*, c.intercept + c.b_q2 * h.q2 + c.b_abn_pct * h.abn_pct AS pred
           FROM hs h JOIN coef c USING (language, req_media, usd, level) WHERE h.bucket = 0),
-    m AS (SELECT {GKS}, COUNT(*) AS n_eval, AVG(abs(sl - pred)) AS mae, AVG((sl - pred) * (sl - pred)) AS mse,
-                 1.0 - SUM((sl - pred) * (sl - pred)) / NULLIF(SUM(sl * sl) - SUM(sl) * SUM(sl) / COUNT(*), 0) AS r2
-          FROM t GROUP BY ALL)
+    m AS (SELECT {GKS}, {errors('sl')} FROM t GROUP BY ALL)
     SELECT * FROM coef LEFT JOIN m USING (language, req_media, usd, level)""",
     ["intercept", "b_q2", "b_abn_pct", "mae", "mse", "r2"], ["language", "req_media", "usd", "level", "n_train", "n_eval"])
 
+GK = ["language", "req_media", "usd", "level"]
+USING = f"USING ({GKS})"
+WEEK = f"date BETWEEN DATE '{WEEK_START}' AND DATE '{WEEK_START}' + 6"
+
+
+def held_out(rows: str, features: list[str], label: str) -> str:
+    """CTEs ``coef`` (with the accuracy on the held-out part) of a model fitted on the 80 % of ``rows`` by hash."""
+    return f"""hs AS (SELECT *, {HB} AS bucket FROM ({rows}) r),
+    {ols_ctes('f', 'SELECT * FROM hs WHERE bucket <> 0', features, label)},
+    scored AS (SELECT h.*, {pred(features, lambda f: 'h.' + f)} AS pred FROM hs h JOIN fcoef {USING} WHERE bucket = 0),
+    coef AS (SELECT * FROM fcoef LEFT JOIN (SELECT {GKS}, {errors(label)} FROM scored GROUP BY ALL) {USING})"""
+
+
+def model_q(ctes: str, body: str, doubles: list[str], others: list[str]) -> str:
+    return "WITH " + BASE + ", " + ctes + " " + finalm(body, doubles, others)
+
+
+def steps(name: str, values: list[int]) -> str:
+    return f"(VALUES {', '.join(f'({float(v)})' for v in values)}) grid({name})"
+
+
+_SL = held_out(f"SELECT {GKS}, date, COALESCE(q2, 0.0) AS q2, COALESCE(abn_pct, 0.0) AS abn_pct, COALESCE(met, 0.0) AS sl FROM datamart",
+               ["q2", "abn_pct"], "sl")
+ORACLE["sl_sensitivity"] = model_q(_SL, f"""
+    SELECT {GKS}, q2_change, w_q2 + q2_change AS q2, w_abn AS abn_pct,
+           {half_even('(intercept + b_q2 * (w_q2 + q2_change) + b_abn_pct * w_abn)', 4)} AS predicted_sl, n_eval, mae, r2
+    FROM (SELECT {GKS}, AVG(q2) AS w_q2, AVG(abn_pct) AS w_abn FROM datamart WHERE {WEEK} GROUP BY ALL) JOIN coef {USING}
+    CROSS JOIN (SELECT CAST(q2_change AS DOUBLE) AS q2_change FROM {steps('q2_change', SL_Q2_OFFSETS)})""",
+    ["q2_change", "q2", "abn_pct", "predicted_sl", "mae", "r2"], [*GK, "n_eval"])
+
+_REQ = ["occ_assumption", "staffing", "demand", "occupancy_rate"]
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ["date", "met", "q2", "aht", "demand", "occ_assumption", "requirement", "staffing",
+                                                       "occupancy_rate", "staffing_diff", "abn_pct", "calls"])
+_LIFTED = f"SELECT * REPLACE (staffing * {STAFFING_UPLIFT} AS staffing) FROM datamart"
+_REQMODEL = held_out(f"SELECT * FROM ({_LIFTED}) WHERE {_COMPLETE}", _REQ, "requirement") + f""",
+    w AS (SELECT {GKS}, AVG(occ_assumption) AS w_occ, AVG(staffing) AS w_staff, SUM(demand) / 7.0 AS w_demand, AVG(occupancy_rate) AS w_rate
+          FROM ({_LIFTED}) WHERE {WEEK} GROUP BY ALL)"""
+_P = "intercept + b_occ_assumption * ({occ}) + b_staffing * w_staff + b_demand * ({demand}) + b_occupancy_rate * w_rate"
+_pd = _P.format(occ="w_occ", demand="w_demand * (1 + demand_change / 100.0)")
+ORACLE["fte_demand_grid"] = model_q(_REQMODEL, f"""
+    SELECT {GKS}, demand_change, w_demand * (1 + demand_change / 100.0) AS demand, {_pd} AS prediction,
+           CAST(trunc({_pd}) AS BIGINT) AS fte, n_eval, mae, r2
+    FROM w JOIN coef {USING} CROSS JOIN (SELECT CAST(demand_change AS DOUBLE) AS demand_change FROM {steps('demand_change', PERCENT_STEPS_15)})""",
+    ["demand_change", "demand", "prediction", "mae", "r2"], [*GK, "fte", "n_eval"])
+_occ = "least(greatest(w_occ + occ_change / 100.0, 0.0), 1.0)"
+ORACLE["fte_occ_grid"] = model_q(_REQMODEL, f"""
+    SELECT {GKS}, occ_change, {_occ} AS occ_assumption, {_P.format(occ=_occ, demand='w_demand')} AS prediction,
+           CAST(trunc({_P.format(occ=_occ, demand='w_demand')}) AS BIGINT) AS fte
+    FROM w JOIN coef {USING} CROSS JOIN (SELECT CAST(occ_change AS DOUBLE) AS occ_change FROM {steps('occ_change', OCC_ASSUMPTION_POINT_STEPS)})""",
+    ["occ_change", "occ_assumption", "prediction"], [*GK, "fte"])
+
+_WF = ["demand", "q2", "occupancy_rate", "occ_assumption"]
+_WROWS = f"SELECT {GKS}, date, {', '.join(_WF)}, requirement FROM datamart WHERE " + " AND ".join(
+    f"{c} IS NOT NULL" for c in [*_WF, "requirement"])
+_WMODEL = f"""wr AS ({_WROWS}),
+    wsplit AS (SELECT {GKS}, list(date ORDER BY date)[CAST(floor(COUNT(*) * CAST(0.7 AS DOUBLE)) AS BIGINT) + 1] AS split_date FROM wr GROUP BY ALL),
+    wparts AS (SELECT wr.*, CASE WHEN date <= split_date THEN 'train' ELSE 'test' END AS part FROM wr JOIN wsplit {USING}),
+    {ols_ctes('f', "SELECT * FROM wparts WHERE part = 'train'", _WF, 'requirement')}"""
+ORACLE["accuracy_log"] = model_q(_WMODEL, f"""
+    SELECT {GKS}, part, {errors('requirement')} FROM (
+        SELECT p.*, {pred(_WF, lambda f: 'p.' + f)} AS pred FROM wparts p JOIN fcoef {USING}) GROUP BY ALL""",
+    ["mae", "mse", "r2"], [*GK, "part", "n_eval"])
+ORACLE["stored_model"] = ORACLE["accuracy_log"]  # scaling and storing a model change no prediction
+_DAYS = f"""{_WMODEL},
+    wk AS (SELECT {GKS}, date, {', '.join(_WF)}, requirement FROM datamart WHERE {WEEK}),
+    daily AS (SELECT {GKS}, date, AVG(demand) AS demand, AVG(requirement) AS actual FROM wk GROUP BY ALL),
+    means AS (SELECT {GKS}, AVG(q2) AS q2, AVG(occupancy_rate) AS occupancy_rate, AVG(occ_assumption) AS occ_assumption FROM wk GROUP BY ALL),
+    fweek AS (SELECT {GKS}, change, date, COALESCE(d.demand, 0.0) AS day_demand, COALESCE(d.demand, 0.0) * (1 + change / 100.0) AS new_demand,
+                     actual, {pred(_WF, lambda f: 'COALESCE(d.demand, 0.0) * (1 + change / 100.0)' if f == 'demand' else 'm.' + f)} AS prediction
+              FROM (SELECT m.*, CAST(DATE '{WEEK_START}' + CAST(i AS INTEGER) AS DATE) AS date FROM means m CROSS JOIN range(7) t(i)) m
+              LEFT JOIN daily d USING ({GKS}, date) JOIN fcoef {USING}
+              CROSS JOIN (SELECT CAST(change AS DOUBLE) AS change FROM {steps('change', PERCENT_STEPS_15)}))"""
+ORACLE["fte_week"] = model_q(_DAYS, "SELECT * FROM fweek", ["change", "day_demand", "new_demand", "actual", "prediction"], [*GK, "date"])
+ORACLE["fte_week_totals"] = model_q(_DAYS, f"""
+    SELECT {GKS}, change, AVG(day_demand) AS daily_demand, AVG(actual) AS daily_actual, AVG(prediction) AS daily_predicted,
+           AVG(actual) * 7 AS weekly_actual, AVG(prediction) * 7 AS weekly_predicted,
+           (AVG(prediction) - AVG(actual)) / NULLIF(AVG(actual), 0) * 100 AS change_pct FROM fweek GROUP BY ALL""",
+    ["change", "daily_demand", "daily_actual", "daily_predicted", "weekly_actual", "weekly_predicted", "change_pct"], GK)
+
+_KF = ["q2", "abn_pct", "occ_assumption", "staffing", "occupancy_rate"]
+_kv = {f: f"w.{f}" if f == "staffing" else f"w.{f} * (1 + change / 100.0)" for f in _KF}
+ORACLE["kpi_per_fte"] = model_q(f"""hs AS (SELECT *, {HB} AS bucket FROM ({_LIFTED}) r),
+    {ols_ctes('f', 'SELECT * FROM hs WHERE bucket <> 0', _KF, 'requirement')},
+    w AS (SELECT {GKS}, median(calls) AS calls, median(staffing) AS staffing, AVG(q2) AS q2, AVG(abn_pct) AS abn_pct,
+                 AVG(occ_assumption) AS occ_assumption, AVG(occupancy_rate) AS occupancy_rate FROM ({_LIFTED}) WHERE {WEEK} GROUP BY ALL)""", f"""
+    SELECT {GKS}, change, {half_even('COALESCE(w.calls * (1 + change / 100.0) / NULLIF(w.staffing, 0), 0.0)', 2)} AS calls_per_fte,
+           {pred(_KF, _kv.get)} AS prediction, {half_even(pred(_KF, _kv.get), 2)} AS fte, {half_even(_kv['q2'], 2)} AS q2,
+           {half_even(_kv['abn_pct'], 2)} AS abn_pct, {half_even(_kv['occupancy_rate'] + ' * 100', 2)} AS occupancy_pct,
+           {half_even(_kv['occ_assumption'] + ' * 100', 2)} AS occ_assumption_pct
+    FROM w JOIN fcoef {USING} CROSS JOIN (SELECT CAST(change AS DOUBLE) AS change FROM {steps('change', PERCENT_STEPS_15)})""",
+    ["change", "calls_per_fte", "prediction", "fte", "q2", "abn_pct", "occupancy_pct", "occ_assumption_pct"], GK)
+
+ORACLE["standardized"] = dm_q(f"""
+    SELECT {GKS}, date, {', '.join(f'COALESCE(({f} - AVG({f}) OVER g) / NULLIF(STDDEV_POP({f}) OVER g, 0), 0.0) AS {f}' for f in _WF)}
+    FROM (SELECT * FROM datamart WHERE {' AND '.join(f'{f} IS NOT NULL' for f in _WF)}) WINDOW g AS (PARTITION BY {GKS})""", _WF, [*GK, "date"])
+
+_RATIOS = """abn_pct * demand AS abandon_demand, CASE WHEN staffing IS NOT NULL AND staffing <> 0 THEN calls / staffing ELSE 0.0 END AS calls_per_fte,
+    CASE WHEN demand IS NULL OR staffing = 0 THEN 0.0 ELSE demand / staffing END AS demand_per_fte"""
+ORACLE["features_filled"] = dm_q(f"""
+    SELECT {GKS}, date, {', '.join(f'COALESCE({f}, AVG({f}) OVER (PARTITION BY {GKS})) AS {f}' for f in MEASURES)}
+    FROM (SELECT *, {_RATIOS} FROM datamart)""", MEASURES, [*GK, "date"])
+
+_edges = f"""
+    r AS (SELECT {GKS}, date, abn_pct FROM datamart WHERE {' AND '.join(f'{f} IS NOT NULL' for f in ('q2', 'demand', 'staffing', 'requirement',
+                                                                                                   'occ_assumption', 'abn_pct'))}),
+    nn AS (SELECT {GKS}, least(COUNT(DISTINCT abn_pct), 5) AS k FROM r GROUP BY ALL),
+    raw AS (SELECT {GKS}, any_value(k) AS k, {', '.join(f'quantile_cont(abn_pct, [{", ".join(str(i / n) for i in range(n + 1))}]) AS q{n}' for n in range(1, 6))}
+            FROM r JOIN nn {USING} GROUP BY ALL),
+    e AS (SELECT {GKS}, list_sort(list_distinct(list_transform(CASE k {' '.join(f'WHEN {n} THEN q{n}' for n in range(1, 6))} END,
+                 lambda x: {stable_sql('x', 4)}))) AS edges FROM raw),
+    b AS (SELECT r.*, len(edges) - 1 AS n_buckets, edges, CASE WHEN len(edges) >= 2
+                 THEN len(list_filter(edges[2:len(edges) - 1], lambda x: x <= abn_pct)) END AS bucket FROM r JOIN e {USING}),
+    l AS (SELECT *, CASE WHEN bucket IS NULL THEN NULL WHEN bucket = n_buckets - 1 THEN printf('%.2f', {stable_sql('edges[bucket + 1]', 2)}) || '%+'
+                    ELSE printf('%.2f', {stable_sql('edges[bucket + 1]', 2)}) || '%-' || printf('%.2f', {stable_sql('edges[bucket + 2]', 2)}) || '%' END AS label
+          FROM b)"""
+ORACLE["quantile_buckets"] = "WITH " + BASE + ", " + _edges + " " + final(f"""
+    SELECT {GKS}, date, abn_pct, CAST(n_buckets AS INTEGER) AS n_buckets, CAST(bucket AS INTEGER) AS bucket, label,
+           CASE WHEN label IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY {GKS} ORDER BY label) - 1 AS INTEGER) END AS code FROM l""",
+    ["abn_pct"], [*GK, "date", "n_buckets", "bucket", "label", "code"])
+
 # --- activity --------------------------------------------------------------------------------------------------
 
 EV = """ev AS (SELECT user_id AS "user", event_type AS tool, ts FROM events),

@@ -8,6 +8,7 @@ the DuckDB oracle despite order-dependent floating sums.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,13 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
-def query(name: str):
+#: Decimals of model results: the noise of a solved system is larger than that of sums.
+MODEL_DIGITS = 4
+
+
+def query(name: str, digits: int = DIGITS):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf: finish(fn(spark, sf))
+        QUERIES[name] = lambda spark, sf: finish(fn(spark, sf), digits)
         QUERIES[name].__doc__ = fn.__doc__
         return fn
     return deco
@@ -248,13 +253,17 @@ from staffwise.functions import clean as cl  # noqa: E402
 from staffwise.functions import dates as dt  # noqa: E402
 from staffwise.functions.text import contains_match, language_alias, level_of_text  # noqa: E402
 from staffwise.operators import activity as act  # noqa: E402
+from staffwise.operators import classifier as cf  # noqa: E402
 from staffwise.operators import features as fe  # noqa: E402
+from staffwise.operators import forest as fo  # noqa: E402
 from staffwise.operators import lasso as lo  # noqa: E402
 from staffwise.operators import models as mo  # noqa: E402
+from staffwise.operators import quantiles as qb  # noqa: E402
 from staffwise.operators import whatif as wi  # noqa: E402
 from staffwise.operators.fte import match_languages  # noqa: E402
 from staffwise.session import scratch_path  # noqa: E402
 from staffwise.sources import adapters as ad  # noqa: E402
+from staffwise.sources.artefacts import Artefacts  # noqa: E402
 from staffwise.sources import exports as ex  # noqa: E402
 from staffwise.sources import sinks as sk  # noqa: E402
 
@@ -468,12 +477,35 @@ def q_ols2(spark, sf):
     """ML2 + ML11: per group service level ~ Q2 + ABN % on the train part, MAE / R2 on the test part."""
     dm = fe.hash_split(_dm(spark, sf).select(*GK, "date", "q2", "abn_pct", F.col("met").alias("sl")),
                        [*GK, "date"])
-    g = mo.gram(dm.where(F.col("part") == "train"), GK, ["q2", "abn_pct"], "sl")
-    coef = g.select(*GK, F.col("n").cast("long").alias("n_train"), *mo.ols2_closed_form(g, "q2", "abn_pct", "sl"))
+    m = mo.moments(dm.where(F.col("part") == "train"), GK, ["q2", "abn_pct"], "sl")
+    coef = m.select(*GK, F.col("n").cast("long").alias("n_train"), *mo.ols2_closed_form("q2", "abn_pct", "sl"))
     test = dm.where(F.col("part") == "test").join(coef, GK).withColumn("pred", mo.predict(["q2", "abn_pct"]))
     return coef.join(mo.metrics(test, GK, "sl"), GK, "left")
 
 
+@query("standardized")
+def q_standardized(spark, sf):
+    """ML8: the week features scaled per group by their mean and population deviation."""
+    rows = _dm(spark, sf).select(*GK, "date", *wi.WEEK_FEATURES).na.drop()
+    scaler = rows.groupBy(*GK).agg(*(F.avg(f).alias(f"mean_{f}") for f in wi.WEEK_FEATURES),
+                                   *(F.stddev_pop(f).alias(f"std_{f}") for f in wi.WEEK_FEATURES))
+    return mo.scale(rows, scaler, GK, wi.WEEK_FEATURES)
+
+
+@query("features_filled")
+def q_features_filled(spark, sf):
+    """ML10 + CLN12 + CLN10: the prepared measures of the forest, missing and infinite values as the group's mean."""
+    x = fe.prepare_features(_dm(spark, sf))
+    return fe.fill_means(x, GK, fo.MEASURES).select(*GK, "date", *fo.MEASURES)
+
+
+@query("quantile_buckets")
+def q_quantile_buckets(spark, sf):
+    """RSH7 + ML12: ABN % in up to five buckets by the group's quantiles, their labels and alphabetical codes."""
+    rows = cf.model_rows(_dm(spark, sf), GK)
+    return qb.quantile_buckets(rows, GK, cf.TARGET).select(*GK, "date", "abn_pct", "n_buckets", "bucket", "label", "code")
+
+
 # --- activity ----------------------------------------------------------------------------------------------
 
 @query("sessions")
@@ -511,46 +543,56 @@ def _week_means(dm):
         (F.sum("demand") / 7.0).alias("m_demand"))
 
 
-@query("sl_sensitivity")
+@query("sl_sensitivity", MODEL_DIGITS)
 def q_sl_sensitivity(spark, sf):
-    """ML2 + SCN9: service level predicted at the week's Q2 shifted by -2..+2 seconds, per group."""
+    """ML2 + SCN9: service level predicted at the week's Q2 shifted by -2..+2 seconds, per group, with the
+    model's accuracy on the rows it was not fitted on. Missing measures are 0."""
     from staffwise.constants import SL_Q2_OFFSETS
     dm = _dm(spark, sf).withColumnRenamed("met", "sl")
-    coef = mo.fit_ols(dm, GK, ["q2", "abn_pct"], "sl")
-    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in SL_Q2_OFFSETS], "q2_change double"))
+    coef = mo.held_out_fit(dm.na.fill(0.0, subset=["q2", "abn_pct", "sl"]), GK, ["q2", "abn_pct"], "sl", [*GK, "date"])
+    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in SL_Q2_OFFSETS], "q2_change double"))  # a fixed list
     x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
         *GK, "q2_change", (F.col("m_q2") + F.col("q2_change")).alias("q2"), F.col("m_abn_pct").alias("abn_pct"),
-        "intercept", "b_q2", "b_abn_pct")
-    return x.select(*GK, "q2_change", "q2", "abn_pct", F.bround(mo.predict(["q2", "abn_pct"]), 4).alias("predicted_sl"))
+        "intercept", "b_q2", "b_abn_pct", "n_eval", "mae", "r2")
+    return x.select(*GK, "q2_change", "q2", "abn_pct", F.bround(mo.predict(["q2", "abn_pct"]), 4).alias("predicted_sl"),
+                    "n_eval", "mae", "r2")
 
 
 REQ_FEATURES = ["occ_assumption", "staffing", "demand", "occupancy_rate"]
+#: Rows that miss one of these are not used by the requirement model.
+REQ_COMPLETE = ["date", "met", "q2", "aht", "demand", "occ_assumption", "requirement", "staffing", "occupancy_rate",
+                "staffing_diff", "abn_pct", "calls"]
 
 
-@query("fte_demand_grid")
+def _requirement_model(dm):
+    """ML3: lifted staffing, complete rows, 80 % of them by hash."""
+    from staffwise.constants import STAFFING_UPLIFT
+    rows = dm.withColumn("staffing", F.col("staffing") * STAFFING_UPLIFT)
+    coef = mo.held_out_fit(rows.na.drop(subset=REQ_COMPLETE), GK, REQ_FEATURES, "requirement", [*GK, "date"])
+    return _week_means(rows).join(coef, GK)
+
+
+@query("fte_demand_grid", MODEL_DIGITS)
 def q_fte_demand_grid(spark, sf):
-    """ML3 + SCN10 + SCN11: FTE requirement predicted with daily demand changed by -25..+25 %, per group."""
+    """ML3 + SCN10 + SCN11: FTE requirement predicted with daily demand changed by -25..+25 %, per group, with
+    the model's accuracy on the rows it was not fitted on."""
     from staffwise.constants import PERCENT_STEPS_15
-    dm = _dm(spark, sf)
-    coef = mo.fit_ols(dm, GK, REQ_FEATURES, "requirement")
-    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in PERCENT_STEPS_15], "demand_change double"))
-    x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
+    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in PERCENT_STEPS_15], "demand_change double"))  # a fixed list
+    x = _requirement_model(_dm(spark, sf)).crossJoin(grid).select(
         *GK, "demand_change", F.col("m_occ_assumption").alias("occ_assumption"), F.col("m_staffing").alias("staffing"),
         (F.col("m_demand") * (1 + F.col("demand_change") / 100.0)).alias("demand"),
-        F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
+        F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES], "n_eval", "mae", "r2")
     return x.select(*GK, "demand_change", "demand", mo.predict(REQ_FEATURES).alias("prediction"),
-                    mo.predict(REQ_FEATURES).cast("long").alias("fte"))
+                    mo.predict(REQ_FEATURES).cast("long").alias("fte"), "n_eval", "mae", "r2")
 
 
-@query("fte_occ_grid")
+@query("fte_occ_grid", MODEL_DIGITS)
 def q_fte_occ_grid(spark, sf):
     """ML3 + SCN12: FTE requirement predicted with the occupancy assumption moved -10..+10 points, clamped to [0, 1]."""
     from staffwise.constants import OCC_ASSUMPTION_POINT_STEPS
     from staffwise.functions.mathx import clamp
-    dm = _dm(spark, sf)
-    coef = mo.fit_ols(dm, GK, REQ_FEATURES, "requirement")
-    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in OCC_ASSUMPTION_POINT_STEPS], "occ_change double"))
-    x = _week_means(dm).join(coef, GK).crossJoin(grid).select(
+    grid = F.broadcast(spark.createDataFrame([(float(o),) for o in OCC_ASSUMPTION_POINT_STEPS], "occ_change double"))  # a fixed list
+    x = _requirement_model(_dm(spark, sf)).crossJoin(grid).select(
         *GK, "occ_change", clamp(F.col("m_occ_assumption") + F.col("occ_change") / 100.0, 0.0, 1.0).alias("occ_assumption"),
         F.col("m_staffing").alias("staffing"), F.col("m_demand").alias("demand"),
         F.col("m_occupancy_rate").alias("occupancy_rate"), "intercept", *[f"b_{f}" for f in REQ_FEATURES])
@@ -558,7 +600,7 @@ def q_fte_occ_grid(spark, sf):
                     mo.predict(REQ_FEATURES).cast("long").alias("fte"))
 
 
-@query("accuracy_log")
+@query("accuracy_log", MODEL_DIGITS)
 def q_accuracy_log(spark, sf):
     """ML4 + ML11 + SNK5: train and test errors of the requirement model, appended to the accuracy log and read again."""
     records, path = wi.requirement_accuracy(_dm(spark, sf), GK), scratch_path(spark, "accuracy")
@@ -566,14 +608,82 @@ def q_accuracy_log(spark, sf):
     return spark.read.schema(records.schema).parquet(path)
 
 
-@query("fte_week")
+@query("stored_model", MODEL_DIGITS)
+def q_stored_model(spark, sf):
+    """SNK4 + ML4 + ML8 + ML11: scaler and requirement model of each group, fitted on the earlier 70 % of its days,
+    stored as versioned artefacts, loaded again and evaluated on both parts."""
+    f, store = wi.WEEK_FEATURES, Artefacts(spark, scratch_path(spark, "artefacts"))
+    parts = materialize(fe.time_split(_dm(spark, sf).select(*GK, "date", *f, "requirement").na.drop(), GK))
+    fitted = mo.Scaled.fit(parts.where("part = 'train'"), GK, f, "requirement")
+    for name, table in (("requirement/scaler", fitted.scaler), ("requirement/model", fitted.model)):
+        store.save_table(name, table)
+    loaded = mo.Scaled(store.load_table("requirement/scaler"), store.load_table("requirement/model"))
+    return mo.metrics(loaded.predict(parts, GK, f), [*GK, "part"], "requirement")
+
+
+#: The choice that the scenario pages start with; forests and the classifier are fitted for it in every language.
+CHOICE = "req_media = 'OPI' AND usd = 'Combined' AND level = 'Combined'"
+
+
+def _forests(spark, sf):
+    """The forest's rows of the choice and a fitted forest per language; the languages are fitted side by side."""
+    rows = materialize(fo.forest_rows(_dm(spark, sf).where(CHOICE), GK))
+    languages = sorted(r["language"] for r in rows.select("language").distinct().collect())  # one forest each: a short list
+    part = {x: rows.where(F.col("language") == x) for x in languages}
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        fitted = pool.map(lambda x: fo.fit_forest(part[x].where("part = 'train'"), fo.FEATURES), languages)
+        return rows, {x: (part[x], f) for x, f in zip(languages, fitted) if f}
+
+
+@query("forest_importance")
+def q_forest_importance(spark, sf):
+    """ML9 + ML10 + ML11: importance of every feature for staffing, those kept, R2 of the forest refitted on them."""
+    out = []
+    for language, (rows, forest) in _forests(spark, sf)[1].items():
+        got = fo.scores(forest, rows)
+        (n_train, r2_train), (n_test, r2_test) = (got.get(p, (0, None)) for p in ("train", "test"))
+        out += [(language, f, w, f in forest.features, n_train, n_test, r2_train, r2_test) for f, w in forest.importances.items()]
+    return spark.createDataFrame(out, "language string, feature string, importance double, kept boolean, n_train long, "
+                                      "n_test long, r2_train double, r2_test double")
+
+
+@query("forest_effect")
+def q_forest_effect(spark, sf):
+    """SCN16 + SNK4 + ML9 + AGG21: staffing predicted by the stored forest with each kept feature's weekly mean changed
+    by -100..+100 %, every language."""
+    store, out = Artefacts(spark, scratch_path(spark, "artefacts")), None
+    for language, (rows, forest) in _forests(spark, sf)[1].items():
+        name = f"staffing/{language}"
+        store.save_model(name, forest.model)
+        start = F.to_date(F.lit(pp.WEEK_START))
+        part = fo.staffing_effect(store.load_model(name), forest.features,
+                                  rows.where(F.col("date").between(start, F.date_add(start, 6))), GK)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("abn_classifier")
+def q_abn_classifier(spark, sf):
+    """ML13 + ML12 + RSH7: classifier of the ABN % bucket over all languages of the choice: grid search over
+    stratified folds, report per class on the held-out fifth."""
+    return cf.class_report(cf.fit_classifier(materialize(cf.classifier_rows(_dm(spark, sf).where(CHOICE), GK))))
+
+
+@query("abn_transitions")
+def q_abn_transitions(spark, sf):
+    """SCN18: predicted ABN % bucket of every held-out row before and after a change of one feature, as counts."""
+    fitted = cf.fit_classifier(materialize(cf.classifier_rows(_dm(spark, sf).where(CHOICE), GK)))
+    return cf.transitions(fitted)
+
+
+@query("fte_week", MODEL_DIGITS)
 def q_fte_week(spark, sf):
     """ML4 + SCN13: requirement of each day of the week with demand changed by -25..+25 %, per group."""
     from staffwise.constants import PERCENT_STEPS_15
     return wi.fte_week(_dm(spark, sf), pp.WEEK_START, GK, PERCENT_STEPS_15)
 
 
-@query("fte_week_totals")
+@query("fte_week_totals", MODEL_DIGITS)
 def q_fte_week_totals(spark, sf):
     """SCN13: the week's means and totals of fte_week and the change of the requirement."""
     from staffwise.constants import PERCENT_STEPS_15
@@ -593,7 +703,7 @@ def q_lasso_demand(spark, sf):
     return lo.demand_effect(dm, lo.fit_lasso(dm, GK), GK)
 
 
-@query("kpi_per_fte")
+@query("kpi_per_fte", MODEL_DIGITS)
 def q_kpi_per_fte(spark, sf):
     """ML5 + SCN15: requirement and calls per FTE with the week's KPIs moved by -25..+25 %, per group."""
     from staffwise.constants import PERCENT_STEPS_15, STAFFING_UPLIFT
