@@ -761,5 +761,8 @@ ORACLE["datamart_hour"] = "WITH " + HOUR + " " + final(
 
 # results that go through a file and back are those of the query that wrote them
 for _stored, _of in [("calls_csv", "clean_numeric"), ("fte_csv", "clean_fte"), ("occ_csv", "clean_occ"),
-                     ("datamart_stored", "datamart_day"), ("report_csv", "scenario_double"), ("usage_log", "tool_dwell")]:
+                     ("datamart_stored", "datamart_day"), ("report_csv", "scenario_double")]:
     ORACLE[_stored] = ORACLE[_of]
+_s = "CAST(floor(seconds) AS BIGINT)"
+ORACLE["usage_log"] = f"""SELECT *, printf('%d:%02d:%02d', {_s} // 3600, {_s} % 3600 // 60, {_s} % 60) AS duration
+    FROM ({ORACLE['tool_dwell']})"""

@@ -341,8 +341,10 @@ def in_batch(key: str, k: int, n: int = 2):
 
 @query("usage_log")
 def q_usage_log(spark, sf):
-    """SNK6: tool visits appended to the usage log in two batches (by user), and the log read again."""
+    """SNK6 + ACT4: tool visits, with their duration as text, appended to the usage log in two batches (by user), and
+    the log read again."""
     visits, path = q_tool_dwell(spark, sf), scratch_path(spark, "usage")
+    visits = materialize(visits.withColumn("duration", act.duration_text("seconds")))  # both batches read them
     for half in (0, 1):
         sk.append_log(visits.where(in_batch("user", half)), path)
     return spark.read.schema(visits.schema).parquet(path)
@@ -517,7 +519,7 @@ def q_sessions(spark, sf):
 @query("session_summary")
 def q_session_summary(spark, sf):
     """ACT2: per-user session totals."""
-    return act.session_summary(act.sessions(ad.activity(spark, sf)))
+    return act.session_summary(act.session_rows(ad.activity(spark, sf)))
 
 
 @query("tool_dwell")
