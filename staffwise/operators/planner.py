@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from staffwise.constants import COMBINED, PLANNER_FAMILIES, WEEK_HEADER
 from staffwise.functions.clean import numeric, percent
 from staffwise.functions.dates import lenient_day, week_days, week_hours
-from staffwise.functions.text import category_of_label, level_in_parens
+from staffwise.functions.text import after_marker, category_of_label, level_in_parens, media_of_sheets
 
 SHEET_KEYS = ["workbook", "sheet"]
 
@@ -87,6 +87,40 @@ def require_sheets(cells: DataFrame, sheets: list[str]) -> None:
         raise ValueError(f"sheets not found: {miss}")
 
 
+def is_site_workbook(workbook: Column) -> Column:
+    return F.lower(workbook).startswith("csa")
+
+
+def is_video_sheet(sheet: Column) -> Column:
+    return F.upper(sheet).contains("VRI")
+
+
+def sheet_kinds(facts: DataFrame) -> DataFrame:
+    """STR4 + STR8: the sheets present, the text after their marker, and the medium it names (none without a marker)."""
+    kind = after_marker("sheet")
+    return facts.select("workbook", "sheet").distinct().select(
+        "workbook", "sheet", kind.alias("kind"), F.when(kind.isNotNull(), media_of_sheets(kind)).alias("media"))
+
+
+def select_choice(facts: DataFrame, option: str) -> DataFrame:
+    """PRJ4: the metrics of one choice, such as 'Global L4', 'Combined Combined', 'Combined L5' or a site.
+
+    Workbooks by site take a choice as text that the metric holds ('Combined' means the word twice); the
+    video sheets only look at its second word; other sheets want both words, or one word twice.
+    """
+    def times(word: str) -> Column:
+        return F.size(F.split("metric", word)) - 1
+
+    first, _, second = option.partition(" ")
+    both = F.col("metric").contains(first) & F.col("metric").contains(second) if first != second else times(first) >= 2
+    if second:
+        by_site, video = F.lit(False) if first != second else F.col("metric").contains(option), F.col("metric").contains(second)
+    else:
+        by_site, video, both = F.col("metric").contains(f"{option} {option}" if option == COMBINED else option), F.lit(False), F.lit(False)
+    site = is_site_workbook(F.col("workbook"))
+    return facts.where(F.when(site, by_site).when(is_video_sheet(F.col("sheet")), video).otherwise(both))
+
+
 def select_level(facts: DataFrame, usd: str, level: str) -> DataFrame:
     """PRJ4: the facts of one (usd, level) choice."""
     return facts.where((F.col("usd") == usd) & (F.col("level") == level))
@@ -121,6 +155,16 @@ def occ_combined_mean(occ: DataFrame) -> DataFrame:
         .unionByName(both.select(cols))
 
 
+def occ_video(facts: DataFrame) -> DataFrame:
+    """AGG6 for video sheets, whose assumptions name no usd: (Combined, L4) and (Combined, L5) as they stand,
+    (Combined, Combined) as their mean; missing cells don't count."""
+    keys = [*SHEET_KEYS, "week"]
+    det = occ_assumptions(facts.where(is_video_sheet(F.col("sheet")) & F.col("level").isin("L4", "L5"))).withColumn("usd", F.lit(COMBINED))
+    both = det.groupBy(*keys).agg(F.avg("occ_assumption").alias("occ_assumption")).withColumns(
+        {"usd": F.lit(COMBINED), "level": F.lit(COMBINED)})
+    return det.unionByName(both.select(det.columns))
+
+
 def occ_volume_weighted(facts: DataFrame) -> DataFrame:
     """AGG7: volume-weighted assumption over L3-L5 per usd and for all usd together
     (missing cells count as 0; NULL when the volume sums to 0)."""

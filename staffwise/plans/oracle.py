@@ -171,9 +171,6 @@ for _opi, _video in [("total_opi - LAG(total_opi)", "total_vri - LAG(total_vri)"
                      ("FROM dm_all WHERE req_media = 'OPI'", "FROM dm_all WHERE req_media = 'VIDEO'")]:
     assert VIDEO.count(_opi) == 1
     VIDEO = VIDEO.replace(_opi, _video)
-ORACLE["datamart_day_video"] = "WITH " + VIDEO + " " + final(
-    "SELECT * FROM datamart", DM_DOUBLES, ["date", "language", "usd", "req_media", "level"])
-
 ORACLE["weekly_kpi"] = "WITH " + BASE + " " + final(f"""
     SELECT {KEYS}, CAST(date - CAST(dayofweek(date) AS INTEGER) AS DATE) AS week,
            COALESCE(SUM(demand), 0.0) AS weekly_demand, COALESCE(SUM(demand), 0.0) / {float(DAYS_PER_WEEK)} AS daily_demand,
@@ -289,27 +286,44 @@ ORACLE["scenario_double"] = scenario_sql("double", "weighted")
 
 # --- planner --------------------------------------------------------------------------------------------
 
-PLANNER = """
+#: What a planner cell holds, by family, from a week's number of orders and cents.
+CELL = {
+    "Volume (ACTUAL)": "CAST(cnt AS DOUBLE)", "OCC Assumptions": "(176 + cnt % 32) / 256.0",
+    "AHT (ACTUAL)": "floor(cents / cnt / 78.125) / 128.0", "Occupancy Rate": "(150 + cnt % 64) / 256.0",
+    "Q4 Time": "CAST(cnt % 40 AS DOUBLE) + 0.5", "Staffing Requirement (ACTUAL)": "CAST(cnt * 3 AS DOUBLE)",
+    "Staffing (ACTUAL/FORECASTED)": "CAST(cnt * 3 + cnt % 11 AS DOUBLE)", "STAFFING DIFFERENTIAL": "CAST(cnt % 11 - 5 AS DOUBLE)",
+    "Q2 Time": "CAST(cnt % 25 AS DOUBLE) + 0.25", "Staffing Requirement (ADJUSTED FORECAST)": "CAST(cnt * 3 + 2 AS DOUBLE)",
+    "Staffing Requirement Adjustment": "CAST(cnt % 7 - 3 AS DOUBLE)", "Staffing Requirement (ORIGINAL FORECAST)": "CAST(cnt * 2 + 1 AS DOUBLE)",
+    "Staffing Requirement (Variance)": "CAST(cnt % 5 - 2 AS DOUBLE)"}
+
+
+def sheet_facts(source: str, workbook: str, sheet: str, families, metric, usd, level) -> str:
+    """Facts of one sheet: ``metric``, ``usd`` and ``level`` give SQL text for a family."""
+    return " UNION ALL ".join(
+        f"SELECT {workbook} AS workbook, '{sheet}' AS sheet, CAST(week AS DATE) AS week, {metric(f)} AS metric, '{f}' AS family, "
+        f"{usd(f)} AS usd, {level(f)} AS level, {CELL[f]} AS value FROM {source}" for f in families)
+
+
+def _opi_metric(f):
+    return "usd || ' OCC Assumptions (' || level || '):'" if f == "OCC Assumptions" else f"usd || ' ' || level || ' {f}'"
+
+
+def _video_metric(f):
+    return "'OCC Assumptions (' || level || '):'" if f == "OCC Assumptions" else f"'Combined ' || level || ' {f}'"
+
+
+def _site_metric(f):
+    if f == "OCC Assumptions":
+        return "'OCC Assumptions (' || site || '):'"
+    return f"site || ' ' || site || ' {f}'" if f in ("Occupancy Rate", "Q4 Time") else f"'Combined ' || site || ' {f}'"
+
+
+PLANNER = f"""
 pweek AS (SELECT language, o_orderdate::DATE - CAST(dayofweek(o_orderdate::DATE) AS INTEGER) AS week, usd, level,
                  o_totalprice FROM ok),
 pfr2 AS (SELECT language, week, usd, level, COUNT(*) AS cnt,
                 SUM(CAST(ROUND(o_totalprice * 100.0) AS BIGINT)) AS cents FROM pweek GROUP BY 1, 2, 3, 4),
-pf AS (
-    SELECT language AS workbook, '1. Weekly Planner OPI' AS sheet, CAST(week AS DATE) AS week,
-           usd || ' ' || level || ' Volume (ACTUAL)' AS metric, 'Volume (ACTUAL)' AS family, usd, level,
-           CAST(cnt AS DOUBLE) AS value FROM pfr2
-    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' OCC Assumptions (' || level || '):',
-           'OCC Assumptions', usd, level, (176 + cnt % 32) / 256.0 FROM pfr2
-    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' AHT (ACTUAL)',
-           'AHT (ACTUAL)', usd, level, floor(cents / cnt / 78.125) / 128.0 FROM pfr2
-    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Occupancy Rate',
-           'Occupancy Rate', usd, level, (150 + cnt % 64) / 256.0 FROM pfr2
-    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Q4 Time',
-           'Q4 Time', usd, level, CAST(cnt % 40 AS DOUBLE) + 0.5 FROM pfr2
-    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Staffing Requirement (ACTUAL)',
-           'Staffing Requirement (ACTUAL)', usd, level, CAST(cnt * 3 AS DOUBLE) FROM pfr2
-    UNION ALL SELECT language, '1. Weekly Planner OPI', week, usd || ' ' || level || ' Staffing (ACTUAL/FORECASTED)',
-           'Staffing (ACTUAL/FORECASTED)', usd, level, CAST(cnt * 3 + cnt % 11 AS DOUBLE) FROM pfr2),
+pf AS ({sheet_facts('pfr2', 'language', '1. Weekly Planner OPI', CELL, _opi_metric, lambda f: 'usd', lambda f: 'level')}),
 pocc AS (SELECT workbook, sheet, week, usd, level, value AS occ_assumption FROM pf WHERE family = 'OCC Assumptions'),
 pocc_comb AS (
     SELECT workbook, sheet, week, usd, level, occ_assumption FROM pocc
@@ -319,11 +333,27 @@ pocc_comb AS (
     UNION ALL SELECT workbook, sheet, week, 'Combined', 'Combined', AVG(m) FROM
         (SELECT workbook, sheet, week, usd, AVG(occ_assumption) AS m FROM pocc GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
 """
+_SITE_FAMILIES = ["Volume (ACTUAL)", "AHT (ACTUAL)", "OCC Assumptions", "Occupancy Rate", "Q4 Time"]
+WORKBOOKS = f"""
+pvid AS (SELECT language, week, level, SUM(cnt) AS cnt, SUM(cents) AS cents FROM pfr2 WHERE level IN ('L4', 'L5') GROUP BY 1, 2, 3),
+psite AS (SELECT g.language, o_orderdate::DATE - CAST(dayofweek(o_orderdate::DATE) AS INTEGER) AS week,
+                 CASE WHEN o_custkey % 2 = 0 THEN 'OLY' ELSE 'BOA' END AS site, COUNT(*) AS cnt,
+                 SUM(CAST(ROUND(o_totalprice * 100.0) AS BIGINT)) AS cents
+          FROM orders JOIN customer ON o_custkey = c_custkey JOIN geo g ON c_nationkey = g.n_nationkey GROUP BY 1, 2, 3),
+vf AS ({sheet_facts('pvid', 'language', '2. Weekly Planner VRI', CELL, _video_metric,
+                    lambda f: "CAST(NULL AS VARCHAR)" if f == "OCC Assumptions" else "'Combined'", lambda f: 'level')}),
+csf AS ({sheet_facts('psite', "'csa ' || language", '1. Weekly Planner OPI', _SITE_FAMILIES, _site_metric,
+                     lambda f: "'Combined'" if f in ("Volume (ACTUAL)", "AHT (ACTUAL)") else "CAST(NULL AS VARCHAR)",
+                     lambda f: 'CAST(NULL AS VARCHAR)')}),
+wf AS (SELECT * FROM pf UNION ALL SELECT * FROM vf UNION ALL SELECT * FROM csf),
+vocc AS (SELECT workbook, sheet, week, 'Combined' AS usd, level, value AS occ_assumption FROM vf WHERE family = 'OCC Assumptions'),
+vocc_comb AS (SELECT * FROM vocc UNION ALL SELECT workbook, sheet, week, 'Combined', 'Combined', AVG(occ_assumption) FROM vocc GROUP BY 1, 2, 3)
+"""
 PW = "workbook, sheet, week"
 
 
-def planner_q(body: str, doubles: list[str], others: list[str]) -> str:
-    return "WITH " + BASE + ", " + PLANNER + " " + final(body, doubles, others)
+def planner_q(body: str, doubles: list[str], others: list[str], more: str = "") -> str:
+    return "WITH " + BASE + ", " + PLANNER + more + " " + final(body, doubles, others)
 
 
 ORACLE["planner_cells"] = planner_q("SELECT * FROM pf", ["value"],
@@ -365,6 +395,19 @@ ORACLE["label_split"] = planner_q(r"""
                 CASE WHEN contains(metric, 'USD') THEN 'USD' WHEN contains(metric, 'Global') THEN 'Global'
                      WHEN contains(metric, 'Combined') THEN 'Combined' END END AS category
     FROM (SELECT DISTINCT metric FROM pf)""", [], ["metric", "level_in_parens", "category"])
+FACT_COLS = ["workbook", "sheet", "week", "metric", "family", "usd", "level"]
+ORACLE["planner_workbooks"] = planner_q("SELECT * FROM wf", ["value"], FACT_COLS, "," + WORKBOOKS)
+ORACLE["planner_media"] = planner_q("""
+    SELECT DISTINCT workbook, sheet, trim(substr(sheet, position('Weekly Planner' IN sheet) + 14)) AS kind,
+           CASE WHEN contains(sheet, 'OPI') THEN 'OPI' ELSE 'VIDEO' END AS media FROM wf""", [],
+    ["workbook", "sheet", "kind", "media"], "," + WORKBOOKS)
+ORACLE["occ_video"] = planner_q("SELECT * FROM vocc_comb", ["occ_assumption"], [PW, "usd", "level"], "," + WORKBOOKS)
+# the planner's statistics stand before the datamart here, whose assumptions are those of the video sheet
+_own = "assump AS (SELECT language, CAST(week + CAST(i AS INTEGER) AS DATE) AS date, usd, level, occ_assumption\n           FROM occ_comb"
+assert VIDEO.count(_own) == 1
+ORACLE["datamart_day_video"] = "WITH " + VIDEO.replace(
+    _own, (PLANNER + "," + WORKBOOKS).strip() + "," + _own.replace("SELECT language,", "SELECT workbook AS language,").replace("FROM occ_comb", "FROM vocc_comb")) \
+    + " " + final("SELECT * FROM datamart", DM_DOUBLES, ["date", "language", "usd", "req_media", "level"])
 GS = f"GROUPING SETS (({PW}, usd, level), ({PW}, usd), ({PW}, level), ({PW}))"
 ORACLE["rollup_volume"] = planner_q(f"""
     SELECT {PW}, COALESCE(usd, 'Combined') AS usd, COALESCE(level, 'Combined') AS level, SUM(value) AS volume,
@@ -390,14 +433,45 @@ ORACLE["rollup_staffing"] = planner_q(f"""
                      'Staffing Requirement (ORIGINAL FORECAST)', 'Staffing Requirement (ACTUAL)',
                      'Staffing Requirement (Variance)', 'Staffing (ACTUAL/FORECASTED)')
     GROUP BY ALL""", ["value"], [PW, "level", "family", "usd"])
-ORACLE["rollup_site"] = planner_q(f"""
-    SELECT {PW}, family,
-           SUM(x.value * v.volume) / NULLIF(SUM(CASE WHEN x.value IS NOT NULL THEN v.volume END), 0) AS weighted,
-           COUNT(DISTINCT usd) AS n_sites
-    FROM (SELECT * FROM pf WHERE family IN ('AHT (ACTUAL)', 'OCC Assumptions', 'Occupancy Rate', 'Q4 Time')) x
-    JOIN (SELECT workbook, sheet, week, usd, level, value AS volume FROM pf WHERE family = 'Volume (ACTUAL)') v
-    USING (workbook, sheet, week, usd, level)
-    GROUP BY ALL""", ["weighted"], [PW, "family", "n_sites"])
+_SITED = f"""
+sited AS (SELECT *, CASE WHEN contains(metric, 'OLY') THEN 'OLY' WHEN contains(metric, 'BOA') THEN 'BOA' END AS site FROM csf),
+rsite AS (SELECT {PW}, x.family, COALESCE(site, 'Combined') AS site,
+                 SUM(x.value * v.volume) / NULLIF(SUM(CASE WHEN x.value IS NOT NULL THEN v.volume END), 0) AS weighted,
+                 SUM(v.volume) AS volume, COUNT(*) AS n_sites
+          FROM (SELECT * FROM sited WHERE family IN ('AHT (ACTUAL)', 'OCC Assumptions', 'Occupancy Rate', 'Q4 Time')) x
+          JOIN (SELECT {PW}, site, value AS volume FROM sited WHERE family = 'Volume (ACTUAL)') v USING ({PW}, site)
+          GROUP BY GROUPING SETS (({PW}, x.family, site), ({PW}, x.family)))"""
+ORACLE["rollup_site"] = planner_q("SELECT * FROM rsite", ["weighted", "volume"], [PW, "family", "site", "n_sites"],
+                                  "," + WORKBOOKS + "," + _SITED)
+_name = "CASE WHEN family = 'OCC Assumptions' THEN usd || ' OCC Assumptions (' || level || '):' ELSE usd || ' ' || level || ' ' || family END"
+_ALL = f"""
+alls AS (SELECT {", ".join(FACT_COLS)}, value FROM wf
+  UNION ALL SELECT {PW}, {_name}, family, usd, level, value FROM (
+    SELECT {PW}, 'Volume (ACTUAL)' AS family, COALESCE(usd, 'Combined') AS usd, COALESCE(level, 'Combined') AS level, SUM(value) AS value
+    FROM pf WHERE family = 'Volume (ACTUAL)' GROUP BY {GS}
+    UNION ALL SELECT {PW}, family, usd, level, weighted FROM ({_weighted('AHT (ACTUAL)')})
+    UNION ALL SELECT {PW}, family, usd, level, weighted FROM ({_weighted('OCC Assumptions')})
+    UNION ALL SELECT {PW}, family, 'Combined', level, SUM(value) FROM pf
+    WHERE family LIKE 'Staffing Requirement%' OR family = 'Staffing (ACTUAL/FORECASTED)' GROUP BY ALL)
+  WHERE usd = 'Combined' OR level = 'Combined'
+  UNION ALL SELECT {PW}, 'Combined Combined ' || CASE WHEN family = 'OCC Assumptions' THEN 'OCC Assumptions:' ELSE family END, family,
+    'Combined', 'Combined', weighted FROM rsite WHERE site = 'Combined')"""
+
+
+def _chosen(choice: str) -> str:
+    a, _, b = choice.partition(" ")
+    has = "contains(metric, '{}')".format
+    twice = f"length(metric) - length(replace(metric, '{a}', '')) >= {2 * len(a)}"
+    if not b:
+        site, video, rest = has("Combined Combined" if a == "Combined" else a), "FALSE", "FALSE"
+    else:
+        site, video, rest = (has(choice) if a == b else "FALSE"), has(b), (twice if a == b else f"{has(a)} AND {has(b)}")
+    return (f"SELECT *, '{choice}' AS choice FROM alls WHERE CASE WHEN workbook LIKE 'csa%' THEN {site} "
+            f"WHEN contains(sheet, 'VRI') THEN {video} ELSE {rest} END")
+
+
+ORACLE["planner_choice"] = planner_q(" UNION ALL ".join(map(_chosen, ["Global L4", "Combined L5", "Combined Combined", "OLY", "Combined"])),
+                                     ["value"], [*FACT_COLS, "choice"], "," + WORKBOOKS + "," + _SITED + "," + _ALL)
 
 
 # --- cleaning, dates, text ---------------------------------------------------------------------------------

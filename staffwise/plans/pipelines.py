@@ -63,16 +63,22 @@ def planner_facts(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(pl.shape_planner(materialize(ad.planner_cells(spark, sf))))
 
 
+def workbook_facts(spark: SparkSession, sf: str, sheets: list[str] | None = None) -> DataFrame:
+    """Weekly facts of all workbooks and kinds of sheet, stored; ``sheets`` asks for some, which must be there."""
+    return materialize(pl.shape_planner(materialize(ad.planner_workbooks(spark, sf)), sheets))
+
+
 def occ_combined(spark: SparkSession, sf: str) -> DataFrame:
     return pl.occ_combined_mean(pl.occ_assumptions(planner_facts(spark, sf)))
 
 
 def datamart_day(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
-    """The three exports come from one pass over lineitem: its per-day statistics (a table of
+    """Each medium takes the assumptions of its own sheet. The three exports come from one pass over lineitem: its per-day statistics (a table of
     days x groups, far smaller than lineitem) are checkpointed once and read three times."""
     stats = materialize(ad.line_stats(spark, sf))
+    occ = occ_combined(spark, sf) if media == "OPI" else pl.occ_video(workbook_facts(spark, sf, [ad.VIDEO_SHEET]))
     dm = build_datamart(calls(spark, sf, stats), fte_comb(spark, sf, stats),
-                        assumption_daily(occ_combined(spark, sf)), occ_clean(spark, sf, stats), media=media)
+                        assumption_daily(occ), occ_clean(spark, sf, stats), media=media)
     return materialize(dm)  # what reads it (features, models, scenarios) prunes its columns
 
 

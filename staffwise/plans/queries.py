@@ -78,7 +78,7 @@ def q_datamart_day(spark, sf):
 
 @query("datamart_day_video")
 def q_datamart_day_video(spark, sf):
-    """The day-wise datamart of the video medium: video staffing and calls, same joins."""
+    """The day-wise datamart of the video medium: video staffing and calls, the assumptions of the video sheet (AGG6)."""
     return pp.datamart_day(spark, sf, media="VIDEO")
 
 
@@ -229,8 +229,7 @@ def q_rollup_volume(spark, sf):
 @query("rollup_weighted")
 def q_rollup_weighted(spark, sf):
     """AGG9 + AGG10: volume-weighted AHT and occupancy assumption cubes."""
-    f = pp.planner_facts(spark, sf)
-    return ru.rollup_weighted(f, "AHT (ACTUAL)").unionByName(ru.rollup_weighted(f, "OCC Assumptions"))
+    return ru.rollup_weighted(pp.planner_facts(spark, sf))
 
 
 @query("rollup_staffing")
@@ -241,8 +240,39 @@ def q_rollup_staffing(spark, sf):
 
 @query("rollup_site")
 def q_rollup_site(spark, sf):
-    """AGG12: volume-weighted combination of four families across sites."""
-    return ru.rollup_site(pp.planner_facts(spark, sf))
+    """AGG12: four families of the workbooks by site, per site and volume-weighted over the sites."""
+    return ru.rollup_site(pp.workbook_facts(spark, sf))
+
+
+@query("planner_workbooks")
+def q_planner_workbooks(spark, sf):
+    """JN6 + PRJ3 + SRC3 + SRC7: weekly facts of sheets of three layouts, all thirteen families."""
+    return pp.workbook_facts(spark, sf, [ad.PLANNER_SHEET, ad.VIDEO_SHEET])
+
+
+@query("planner_media")
+def q_planner_media(spark, sf):
+    """STR4 + STR8: every sheet's text after the marker and the medium it names."""
+    return pl.sheet_kinds(pp.workbook_facts(spark, sf))
+
+
+@query("occ_video")
+def q_occ_video(spark, sf):
+    """AGG6: the assumptions of the video sheets, which name no usd."""
+    return pl.occ_video(pp.workbook_facts(spark, sf, [ad.VIDEO_SHEET]))
+
+
+CHOICES = ["Global L4", "Combined L5", "Combined Combined", "OLY", "Combined"]
+
+
+@query("planner_choice")
+def q_planner_choice(spark, sf):
+    """PRJ4: the metrics, details and combined ones, that each choice selects in every kind of workbook."""
+    facts, out = materialize(ru.derived(pp.workbook_facts(spark, sf))), None
+    for choice in CHOICES:
+        part = pl.select_choice(facts, choice).withColumn("choice", F.lit(choice))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # --- cleaning, dates, text ------------------------------------------------------------------------------

@@ -45,13 +45,13 @@ def geo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """orders with their group keys: (o_orderkey, o_orderdate, o_totalprice, language, usd, level)."""
+    """orders with their group keys: (o_orderkey, o_custkey, o_orderdate, o_totalprice, language, usd, level)."""
     o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_totalprice"])
     c = read_table(spark, sf, "customer", ["c_custkey", "c_nationkey"])
     cust = c.join(F.broadcast(geo(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", "language", "usd")
     return o.join(cust, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", "o_orderdate", "o_totalprice", "language", "usd",
+        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "language", "usd",
         level_of_priority(F.col("o_orderpriority")).alias("level"))
 
 
@@ -218,76 +218,126 @@ def occ_text(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- T5 planner workbook as cells ------------------------------------------------------------------
 
-PLANNER_SHEET = "1. Weekly Planner OPI"
-# (family, first header cell kind) in row order; rows start at 4 (row 3 is 'Week Of:')
+PLANNER_SHEET, VIDEO_SHEET = "1. Weekly Planner OPI", "2. Weekly Planner VRI"
+VIDEO_LEVELS = ["L4", "L5"]
+SITES = ["OLY", "BOA"]
+SITE_WORKBOOK = "csa "                 # file name prefix of the workbooks by site
+SITE_FAMILIES = ["Volume (ACTUAL)", "AHT (ACTUAL)", "OCC Assumptions", "Occupancy Rate", "Q4 Time"]
+# metric families in row order; rows start at 4 (row 3 is 'Week Of:')
 PLANNER_ROWS = ["Volume (ACTUAL)", "OCC Assumptions", "AHT (ACTUAL)", "Occupancy Rate", "Q4 Time",
-                "Staffing Requirement (ACTUAL)", "Staffing (ACTUAL/FORECASTED)"]
+                "Staffing Requirement (ACTUAL)", "Staffing (ACTUAL/FORECASTED)", "STAFFING DIFFERENTIAL", "Q2 Time",
+                "Staffing Requirement (ADJUSTED FORECAST)", "Staffing Requirement Adjustment",
+                "Staffing Requirement (ORIGINAL FORECAST)", "Staffing Requirement (Variance)"]
+
+
+def _weekly(orders: DataFrame, *by: str) -> DataFrame:
+    """Weekly order statistics per language and ``by``."""
+    return orders.groupBy("language", sunday_on_or_before(F.to_date("o_orderdate")).alias("week"), *by).agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum(_hundredths("o_totalprice")).alias("cents"))
 
 
 def planner_facts_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly order statistics per (language, week, usd, level)."""
-    ok = order_keys(spark, sf)
-    return ok.groupBy("language", sunday_on_or_before(F.to_date("o_orderdate")).alias("week"), "usd", "level").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.sum(F.round(F.col("o_totalprice") * 100.0).cast("long")).alias("cents"))
+    return _weekly(order_keys(spark, sf), "usd", "level")
+
+
+def _cell_text() -> Column:
+    """What a metric's cell holds, by family, from the week's order statistics."""
+    c = F.col("cnt")
+    aht128 = F.floor(F.col("cents") / c / 78.125)            # average price / 10000 in 1/128
+    text = {
+        "Volume (ACTUAL)": c.cast("string"),
+        "OCC Assumptions": F.concat(((F.lit(176) + c % 32) * 25.0 / 64.0).cast("string"), F.lit("%")),
+        "AHT (ACTUAL)": (aht128 / 128.0).cast("string"),
+        "Occupancy Rate": F.concat(((F.lit(150) + c % 64) * 25.0 / 64.0).cast("string"), F.lit("%")),
+        "Q4 Time": F.concat((c % 40).cast("string"), F.lit(".5")),
+        "Staffing Requirement (ACTUAL)": F.format_number(c * 3, 0),
+        "Staffing (ACTUAL/FORECASTED)": (c * 3 + c % 11).cast("string"),
+        "STAFFING DIFFERENTIAL": (c % 11 - 5).cast("string"),
+        "Q2 Time": F.concat((c % 25).cast("string"), F.lit(".25")),
+        "Staffing Requirement (ADJUSTED FORECAST)": F.format_number(c * 3 + 2, 0),
+        "Staffing Requirement Adjustment": (c % 7 - 3).cast("string"),
+        "Staffing Requirement (ORIGINAL FORECAST)": F.format_number(c * 2 + 1, 0),
+        "Staffing Requirement (Variance)": (c % 5 - 2).cast("string"),
+    }
+    out = F.lit(None).cast("string")
+    for family, value in text.items():
+        out = F.when(F.col("family") == family, value).otherwise(out)
+    return out
+
+
+def _layout(spark: SparkSession, dims: list[str], rows: list[tuple]) -> DataFrame:
+    """A sheet's fixed rows in order from row 4: (row, *dims, family, h3, h4, h5)."""
+    return spark.createDataFrame([(4 + i, *r) for i, r in enumerate(rows)],
+                                 "row int, " + "".join(f"{d} string, " for d in dims) + "family string, h3 string, h4 string, h5 string")
 
 
 def _metric_rows(spark: SparkSession) -> DataFrame:
-    """The fixed metric-row layout: (row, usd, level, family, h3, h4, h5). 42 rows."""
-    rows = []
-    usds, levels = ["USD", "Global"], ["L3", "L4", "L5"]
-    for fi, fam in enumerate(PLANNER_ROWS):
-        for ui, u in enumerate(usds):
-            for li, lv in enumerate(levels):
-                r = 4 + fi * 6 + ui * 3 + li
-                if fam == "OCC Assumptions":
-                    h = (u, f"OCC Assumptions ({lv}):", None)
-                else:
-                    h = (u, lv, fam)
-                rows.append((r, u, lv, fam) + h)
-    return spark.createDataFrame(rows, "row int, usd string, level string, family string, h3 string, h4 string, h5 string")
+    """The sheet by usd and level: 78 rows."""
+    return _layout(spark, ["usd", "level"], [
+        (u, lv, f, u, *((f"OCC Assumptions ({lv}):", None) if f == "OCC Assumptions" else (lv, f)))
+        for f in PLANNER_ROWS for u in ("USD", "Global") for lv in ("L3", "L4", "L5")])
 
 
-def planner_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """T5: (workbook, sheet, row, col, value) cells of one planner workbook per language.
+def _video_rows(spark: SparkSession) -> DataFrame:
+    """The video sheet has no USD / Global rows, and its assumptions no such word: 26 rows."""
+    return _layout(spark, ["level"], [
+        (lv, f, *((f"OCC Assumptions ({lv}):", None, None) if f == "OCC Assumptions" else (COMBINED, lv, f)))
+        for f in PLANNER_ROWS for lv in VIDEO_LEVELS])
+
+
+def _site_rows(spark: SparkSession) -> DataFrame:
+    """The sheet of a workbook by site: 10 rows."""
+    def header(site: str, f: str) -> tuple:
+        if f == "OCC Assumptions":
+            return (f"OCC Assumptions ({site}):", None, None)
+        return (site if f in ("Occupancy Rate", "Q4 Time") else COMBINED, site, f)
+    return _layout(spark, ["site"], [(x, f, *header(x, f)) for f in SITE_FAMILIES for x in SITES])
+
+
+def _sheet_cells(facts: DataFrame, layout: DataFrame, dims: list[str], sheet: str, prefix: str = "") -> DataFrame:
+    """(workbook, sheet, row, col, value) cells of one sheet in a workbook per language.
 
     Rows 0-2 / columns 0-2 hold titles and labels; columns 3-5 the three header cells of each row;
     row 3 the week dates; one column per week from column 6.
     """
-    facts = materialize(planner_facts_raw(spark, sf))  # one row per (language, week, usd, level), read four times
-    layout = F.broadcast(_metric_rows(spark))  # fixed 42-row layout
-    col = (F.lit(6) + F.datediff(F.col("week"), F.lit(WEEK0)) / 7).cast("int")
-    aht128 = F.floor(F.col("cents") / F.col("cnt") / 78.125)            # average price / 10000 in 1/128
-    value = (
-        F.when(F.col("family") == "Volume (ACTUAL)", F.col("cnt").cast("string"))
-        .when(F.col("family") == "OCC Assumptions",
-              F.concat(((F.lit(176) + F.col("cnt") % 32) * 25.0 / 64.0).cast("string"), F.lit("%")))
-        .when(F.col("family") == "AHT (ACTUAL)", (aht128 / 128.0).cast("string"))
-        .when(F.col("family") == "Occupancy Rate",
-              F.concat(((F.lit(150) + F.col("cnt") % 64) * 25.0 / 64.0).cast("string"), F.lit("%")))
-        .when(F.col("family") == "Q4 Time", F.concat((F.col("cnt") % 40).cast("string"), F.lit(".5")))
-        .when(F.col("family") == "Staffing Requirement (ACTUAL)", F.format_number(F.col("cnt") * 3, 0))
-        .otherwise((F.col("cnt") * 3 + F.col("cnt") % 11).cast("string"))
-    )
-    sheet = F.lit(PLANNER_SHEET)
-    vals = facts.join(layout, ["usd", "level"]).select(
-        F.col("language").alias("workbook"), sheet.alias("sheet"), "row", col.alias("col"), value.alias("value"))
-    langs = facts.select(F.col("language").alias("workbook")).distinct()
-    weeks = facts.select(F.col("language").alias("workbook"), "week").distinct().select(
-        "workbook", sheet.alias("sheet"), F.lit(3).alias("row"), col.alias("col"),
-        F.date_format("week", "dd-MM-yyyy").alias("value"))
+    facts = facts.withColumn("workbook", F.concat(F.lit(prefix), F.col("language")))
+    layout, name = F.broadcast(layout), F.lit(sheet).alias("sheet")  # a fixed layout of some dozen rows
+    col = (F.lit(6) + F.datediff(F.col("week"), F.lit(WEEK0)) / 7).cast("int").alias("col")
+    vals = facts.join(layout, dims).select("workbook", name, "row", col, _cell_text().alias("value"))
+    langs = facts.select("workbook").distinct()
+    weeks = facts.select("workbook", "week").distinct().select(
+        "workbook", name, F.lit(3).alias("row"), col, F.date_format("week", "dd-MM-yyyy").alias("value"))
     hdr = langs.crossJoin(layout).select(
-        "workbook", sheet.alias("sheet"), "row",
+        "workbook", name, "row",
         F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(h).alias("value"))
                             for i, h in [(1, "family"), (3, "h3"), (4, "h4"), (5, "h5")]])).alias("c")
     ).select("workbook", "sheet", "row", "c.col", "c.value").where(F.col("value").isNotNull())
-    fixed = langs.select("workbook", sheet.alias("sheet"), F.lit(0).alias("row"), F.lit(0).alias("col"),
+    fixed = langs.select("workbook", name, F.lit(0).alias("row"), F.lit(0).alias("col"),
                          F.concat(F.col("workbook"), F.lit(" planner")).alias("value")).unionByName(
-        langs.select("workbook", sheet.alias("sheet"), F.lit(3).alias("row"), F.lit(3).alias("col"),
-                     F.lit("Week Of:").alias("value")))
+        langs.select("workbook", name, F.lit(3).alias("row"), F.lit(3).alias("col"), F.lit("Week Of:").alias("value")))
     return vals.unionByName(weeks).unionByName(hdr).unionByName(fixed)
 
 
+def planner_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: the OPI sheet of one planner workbook per language."""
+    facts = materialize(planner_facts_raw(spark, sf))  # one row per (language, week, usd, level), read four times
+    return _sheet_cells(facts, _metric_rows(spark), ["usd", "level"], PLANNER_SHEET)
+
+
+def planner_workbooks(spark: SparkSession, sf: str) -> DataFrame:
+    """T5 with every kind of sheet: per language a workbook with the OPI and the video sheet, and one by site."""
+    orders = order_keys(spark, sf).withColumn("site", F.when(F.col("o_custkey") % 2 == 0, SITES[0]).otherwise(SITES[1]))
+    facts = materialize(_weekly(orders, "usd", "level", "site"))  # the one pass over orders
+    sums = [F.sum("cnt").alias("cnt"), F.sum("cents").alias("cents")]
+    by_level = facts.groupBy("language", "week", "usd", "level").agg(*sums)
+    video = facts.where(F.col("level").isin(VIDEO_LEVELS)).groupBy("language", "week", "level").agg(*sums)
+    by_site = facts.groupBy("language", "week", "site").agg(*sums)
+    return (_sheet_cells(by_level, _metric_rows(spark), ["usd", "level"], PLANNER_SHEET)
+            .unionByName(_sheet_cells(video, _video_rows(spark), ["level"], VIDEO_SHEET))
+            .unionByName(_sheet_cells(by_site, _site_rows(spark), ["site"], PLANNER_SHEET, SITE_WORKBOOK)))
+
+
 # --- T7 activity -----------------------------------------------------------------------------------
 
 def activity(spark: SparkSession, sf: str) -> DataFrame:
