@@ -81,11 +81,14 @@ def change_table(spark: SparkSession, mode: str, steps=CHANGE_STEPS) -> DataFram
     return spark.createDataFrame(rows, "demand_change double, staffing_change double")
 
 
+MAX_CHANGES = 10_000
+
+
 def targets(base: DataFrame, changes: DataFrame, absolute: bool = False) -> DataFrame:
     """SCN2: per group and scenario the target demand / staffing; scenario (0, 0) is the origin.
 
     Changes are percentages; with ``absolute`` the staffing change is a number of FTE, and the target
-    is 0 at least. ``changes`` is a fixed-size literal grid (at most 196 rows), broadcast on purpose.
+    is 0 at least. ``changes`` may have up to MAX_CHANGES different rows: it is broadcast, so its size is checked.
     """
     staffing = F.col("staffing")
     moved = F.when(staffing.isNotNull(), F.greatest(F.lit(0.0), staffing + F.col("staffing_change"))) if absolute \
@@ -93,6 +96,8 @@ def targets(base: DataFrame, changes: DataFrame, absolute: bool = False) -> Data
     origin = base.sparkSession.createDataFrame([(0.0, 0.0)], "demand_change double, staffing_change double")
     grid = changes.withColumn("requested", F.lit(True)).unionByName(origin.withColumn("requested", F.lit(False))) \
         .groupBy("demand_change", "staffing_change").agg(F.max("requested").alias("requested"))
+    if grid.limit(MAX_CHANGES + 1).count() > MAX_CHANGES:
+        raise ValueError(f"more than {MAX_CHANGES} scenarios")
     t = base.crossJoin(F.broadcast(grid))
     return t.withColumns({
         "new_demand": F.col("daily_demand") * (F.lit(1.0) + F.col("demand_change") / 100.0),

@@ -495,6 +495,13 @@ def cc_q(body, doubles=CC_DOUBLES, others=CC_OTHER):
 ORACLE["clean_numeric"] = cc_q("SELECT * FROM ccalls")
 ORACLE["impute_mean"] = cc_q("""SELECT * REPLACE (COALESCE(calls, AVG(calls) OVER ()) AS calls,
                                                  COALESCE(aht, AVG(aht) OVER ()) AS aht) FROM ccalls""")
+_TEXT = """CASE date_diff('day', DATE '1992-01-01', date) % 4 WHEN 0 THEN strftime(date, '%d-%m-%Y')
+         WHEN 1 THEN day(date) || '/' || month(date) || '/' || year(date) WHEN 2 THEN strftime(date, '%Y-%m-%d')
+         ELSE day(date) || '.' || month(date) || '.' || year(date) END"""
+ORACLE["coerce_numeric"] = cc_q(f"""
+    SELECT {_TEXT} AS date_text, language, usd, req_media, level, abns, CASE WHEN calls < 1000 THEN calls END AS calls, q2, aht,
+           CAST(NULL AS DOUBLE) AS abn_pct FROM ccalls""", ["abns", "calls", "q2", "aht", "abn_pct"],
+    ["date_text", "language", "usd", "req_media", "level"])
 ORACLE["fill_zero"] = cc_q("SELECT * REPLACE (COALESCE(calls, 0.0) AS calls, COALESCE(aht, 0.0) AS aht) FROM ccalls")
 ORACLE["drop_incomplete"] = cc_q("SELECT * FROM ccalls WHERE calls IS NOT NULL AND aht IS NOT NULL")
 ORACLE["clean_fte"] = "WITH " + BASE + " " + final("""
@@ -533,8 +540,9 @@ ORACLE["day_spine"] = "WITH " + BASE + " " + final(f"""
     ["language", "req_media", "usd", "level", "date"])
 ORACLE["language_match"] = "WITH " + BASE + """,
     hyb AS (SELECT r_name AS language, r_regionkey AS src_order, (8 + 2 * r_regionkey) / 64.0 AS l4,
-                   (16 + 2 * r_regionkey) / 64.0 AS l5 FROM region),
-    codes AS (SELECT DISTINCT upper(substr(language, 1, 3)) AS code FROM calls),
+                   (16 + 2 * r_regionkey) / 64.0 AS l5
+            FROM (SELECT r_name, r_regionkey FROM region UNION ALL SELECT 'ASL', MAX(r_regionkey) + 1 FROM region)),
+    codes AS (SELECT DISTINCT upper(substr(language, 1, 3)) AS code FROM (SELECT language FROM calls UNION ALL SELECT language FROM hyb)),
     m AS (SELECT code, arg_min(h.language, src_order) AS matched_language, arg_min(l4, src_order) AS l4_hybrid_pct,
                  arg_min(l5, src_order) AS l5_hybrid_pct
           FROM codes JOIN hyb h ON starts_with(upper(h.language), upper(trim(code))) GROUP BY code),

@@ -398,7 +398,14 @@ def q_lenient_minute(spark, sf):
 @query("impute_mean")
 def q_impute_mean(spark, sf):
     """CLN10: NULL calls / AHT replaced by the column mean over all rows."""
-    return cl.impute_mean(_clean_calls(spark, sf), ["calls", "aht"])
+    return cl.impute_mean(materialize(_clean_calls(spark, sf)), ["calls", "aht"])
+
+
+@query("coerce_numeric")
+def q_coerce_numeric(spark, sf):
+    """CLN8: measures of the raw calls export as numbers; text that is no plain number ('7,870', '91.4%', junk) is NULL."""
+    return cl.coerce_numeric(ad.calls_text(spark, sf), ["abns", "calls", "q2", "aht", "abn_pct"]).select(
+        "date_text", "language", "usd", "req_media", "level", "abns", "calls", "q2", "aht", "abn_pct")
 
 
 @query("fill_zero")
@@ -444,8 +451,9 @@ def q_day_spine(spark, sf):
 @query("language_match")
 def q_language_match(spark, sf):
     """STR5-STR7: three-letter codes matched to the hybrid table by prefix (first row wins), containment count, alias."""
-    hyb = pp.hybrid_clean(spark, sf)
-    codes = pp.calls(spark, sf).select(F.upper(F.substring("language", 1, 3)).alias("language")).distinct()
+    hyb = materialize(pp.hybrid_clean(spark, sf))
+    names = pp.calls(spark, sf).select("language").unionByName(hyb.select("language"))
+    codes = materialize(names.select(F.upper(F.substring("language", 1, 3)).alias("language")).distinct())
     m = match_languages(codes, hyb)
     cnt = codes.join(hyb.withColumnRenamed("language", "h"), contains_match(F.col("language"), F.col("h"))) \
         .groupBy(F.col("language").alias("code")).agg(F.count(F.lit(1)).alias("n_contains"))

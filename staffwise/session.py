@@ -13,16 +13,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-LOCAL_CONF = {
-    "spark.sql.shuffle.partitions": "8",
+CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "16g",
 }
+#: On one machine only; a cluster brings its own.
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g"}
 
 
 def get_spark(master: str | None = None, app: str = "staffwise", conf: dict | None = None) -> SparkSession:
@@ -30,7 +30,8 @@ def get_spark(master: str | None = None, app: str = "staffwise", conf: dict | No
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**LOCAL_CONF, **(conf or {})}.items():
+    local = LOCAL_CONF if (master or "").startswith("local") else {}
+    for k, v in {**CONF, **local, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,7 +50,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="staffwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -66,4 +66,18 @@ def materialize(df):
     executor cannot lose it and every reader prunes columns and pushes its filters down."""
     path = scratch_path(df.sparkSession, "stored")
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STORED: list[str] = []  # written by ``materialize`` and not released yet
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialize`` wrote since the last call; how many there were. Call it when no result
+    that was built before is needed any more: results read these tables when they are computed."""
+    done = 0
+    while _STORED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        done += p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return done

@@ -160,15 +160,15 @@ def occ_day(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> Dat
 
 
 def hybrid_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """T4 as exported: percent text per language."""
+    """T4 as exported: percent text per language, the sign language (under its short name) as the last row."""
     r = read_table(spark, sf, "region", ["r_regionkey", "r_name"])
-    return r.select(
-        F.col("r_name").alias("language"), F.col("r_regionkey").alias("src_order"),
-        F.concat(((F.lit(8) + F.lit(2) * F.col("r_regionkey")) * 100.0 / 64.0).cast("string"), F.lit("%"))
-        .alias("l4_hybrid_pct"),
-        F.concat(((F.lit(16) + F.lit(2) * F.col("r_regionkey")) * 100.0 / 64.0).cast("string"), F.lit("%"))
-        .alias("l5_hybrid_pct"),
-    )
+    sign = r.agg((F.max("r_regionkey") + 1).alias("r_regionkey")).withColumn("r_name", F.lit("ASL"))
+    r = r.unionByName(sign.where("r_regionkey IS NOT NULL"))
+
+    def share(first: int) -> Column:
+        return F.concat(((F.lit(first) + F.lit(2) * F.col("r_regionkey")) * 100.0 / 64.0).cast("string"), F.lit("%"))
+    return r.select(F.col("r_name").alias("language"), F.col("r_regionkey").alias("src_order"),
+                    share(8).alias("l4_hybrid_pct"), share(16).alias("l5_hybrid_pct"))
 
 
 # --- dirty exports (text columns) -----------------------------------------------------------------

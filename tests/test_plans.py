@@ -43,3 +43,21 @@ def test_usage_log_holds_every_visit(spark, monkeypatch):
     monkeypatch.setattr(q, "q_tool_dwell", lambda *_: visits)
     log = q.q_usage_log(spark, SF_SMALL).collect()
     assert sorted((r.n, r.duration) for r in log) == [(1, "0:00:00"), (2, "0:00:59"), (3, "1:01:01"), (4, "25:00:00")]
+
+
+def test_release_deletes_what_was_stored(spark):
+    from staffwise import session
+    session.release(spark)
+    df = session.materialize(spark.range(5))
+    assert df.count() == 5 and session.release(spark) == 1 and session.release(spark) == 0
+
+
+
+def test_scenarios_are_bounded(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    from staffwise.operators import lookalike as la
+    base = spark.createDataFrame([(1.0, 2.0)], "daily_demand double, staffing double")
+    many = spark.range(la.MAX_CHANGES + 1).select(F.col("id").cast("double").alias("demand_change"), F.lit(0.0).alias("staffing_change"))
+    with pytest.raises(ValueError):
+        la.targets(base, many)
