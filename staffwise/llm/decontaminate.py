@@ -28,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ CANDIDATES = 1 << 18  # short items compared at once
 MIN_EQUAL = 0.8  # share of equal tokens in an overlap
 BLOCK_CHARS = 16 << 20  # characters of the benchmark in one block
 MULTIPLIER = 0x9E3779B97F4A7C15
+PIECE_CHARS = 4 << 20  # of texts that are searched together
 BITS = 22  # of the table that tells most foreign hashes before the join
 
 
@@ -99,6 +101,7 @@ class Block:
         self.item_ids = [i for i, _ in items]
         words = [tokens(t) for _, t in items]
         self.vocabulary = {w: n + 1 for n, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+        self.words = pa.array([w.decode() for w in self.vocabulary], pa.large_string())
         self.ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in words]
         rows = []
         for n, ids in enumerate(self.ids):
@@ -140,36 +143,92 @@ class Block:
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int]]:
         """Verified ``(item, start, end)`` in tokens of the text, sorted, merged per item."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in tokens(text)], np.int64)
-        found: dict[tuple[int, int], int] = {}
-        for m in range(len(MASKS)):
-            h = hashes(ids, m)
-            at = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
+        return self.search(pa.array([text], pa.string()))[0]
+
+    def search(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+        """``overlaps`` of every text. All texts are one row of token ids, SPAN foreign ids apart, so that no window
+        lies in two of them; a window is hashed only if every token that the mask sees is known to the benchmark."""
+        ids, starts, ends = self.read(texts)
+        known = ids > 0
+        found: dict[tuple[int, int, int], None] = {}
+        for m, mask in enumerate(MASKS):
+            n = len(ids) - SPAN + 1
+            if n <= 0:
+                break
+            seen = known[mask[0]:mask[0] + n].copy()
+            for i in mask[1:]:
+                seen &= known[i:i + n]
+            at = np.flatnonzero(seen)
             if not len(at):
                 continue
-            lo = np.searchsorted(self.hash, h[at], "left")
-            hi = np.searchsorted(self.hash, h[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            h = hashes(ids, m, at)
+            hit = self.table[h >> np.uint64(64 - BITS)]
+            at, h = at[hit], h[hit]
+            lo = np.searchsorted(self.hash, h, "left")
+            hi = np.searchsorted(self.hash, h, "right")
+            text = np.searchsorted(starts, at, "right") - 1
+            for t, p, a, b in zip(text[hi > lo].tolist(), at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                p -= int(starts[t])
                 for k in range(a, b):
-                    found.setdefault((int(self.item[k]), p - int(self.pos[k])), p)
-        out = []
-        for (n, shift) in sorted(found):
-            out += [(n, a + shift, b + shift) for a, b in self.verify(n, ids, shift)]
-        out += [(n, 0, len(ids)) for n in self.tiny.get(tuple(ids.tolist()), ())] if len(ids) < SPAN * 4 else []
-        return sorted({*out, *self.whole(ids)})
-
-    def whole(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
-        """Short items that the text holds as a whole, but for the substitutions that the share allows."""
+                    found[t, int(self.item[k]), p - int(self.pos[k])] = None
+        out: list[list] = [[] for _ in range(len(texts))]
+        for (t, n, shift) in sorted(found):
+            out[t] += [(n, a + shift, b + shift) for a, b in self.verify(n, ids[starts[t]:ends[t]], shift)]
+        for t in range(len(texts)):
+            own = ids[starts[t]:ends[t]]
+            if len(own) < SPAN * 4:
+                out[t] += [(n, 0, len(own)) for n in self.tiny.get(tuple(own.tolist()), ())]
+        for t, *span in self.whole(ids, starts, ends):
+            out[t].append(tuple(span))
+        return [sorted(set(x)) for x in out]
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token ids of all texts (0: not in the benchmark), and where each text begins and ends among them."""
+        plain = [(t or "").lower().encode("utf-8", "replace").translate(PLAIN) for t in texts.to_pylist()]
+        lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).cast(pa.large_string()))
+        sizes = np.diff(np.asarray(lists.offsets))
+        flat = lists.flatten().dictionary_encode()
+        code, words = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        first = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        many = pc.invert(pc.string_is_ascii(words)) if len(words) else pa.array([], pa.bool_())
+        count = pc.not_equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts: dict[int, list[int]] = {}
+        for w in np.flatnonzero(many.to_numpy(zero_copy_only=False)).tolist():  # words that other signs or scripts may divide
+            parts[w] = [self.vocabulary.get(x, 0) for x in tokens(words[w].as_py())]
+            count[w] = len(parts[w])
+        at = np.concatenate([[0], np.cumsum(count)])  # the ids of all distinct words in one row
+        row = np.zeros(at[-1], np.int64)
+        single = np.flatnonzero(count == 1)
+        row[at[single]] = first[single]
+        for w, ids in parts.items():
+            row[at[w]:at[w + 1]] = ids
+        n = count[code]
+        to = np.concatenate([[0], np.cumsum(n)])
+        bounds = to[np.concatenate([[0], np.cumsum(sizes)])]  # of texts among the tokens
+        inside = np.arange(to[-1]) - np.repeat(to[:-1], n)
+        text = np.repeat(np.arange(len(sizes)), np.diff(bounds))
+        ids = np.zeros(to[-1] + SPAN * len(sizes), np.int64)
+        ids[np.arange(to[-1]) + SPAN * text] = row[np.repeat(at[code], n) + inside]
+        starts = bounds[:-1] + SPAN * np.arange(len(sizes))
+        return ids, starts, starts + np.diff(bounds)
+
+    def whole(self, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """Short items that a text holds as a whole, but for the substitutions that the share allows, with the text."""
         if not len(self.piece) or len(ids) < PIECE:
             return set()
-        key = grams(ids)
-        at = np.flatnonzero(self.piece_table[key >> np.uint64(64 - BITS)])
-        lo = np.searchsorted(self.piece, key[at], "left")
-        n = np.searchsorted(self.piece, key[at], "right") - lo
+        known = ids > 0
+        seen = known[:len(ids) - PIECE + 1].copy()
+        for i in range(1, PIECE):
+            seen &= known[i:i + len(seen)]
+        at = np.flatnonzero(seen)
+        key = grams(ids, at)
+        hit = self.piece_table[key >> np.uint64(64 - BITS)]
+        at, key = at[hit], key[hit]
+        lo = np.searchsorted(self.piece, key, "left")
+        n = np.searchsorted(self.piece, key, "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         ends = np.cumsum(n)
-        found: set[tuple[int, int, int]] = set()
+        found: set[tuple[int, int, int, int]] = set()
         total = int(ends[-1]) if len(ends) else 0
         for first in range(0, total, CANDIDATES):
             k = np.arange(first, min(total, first + CANDIDATES))
@@ -177,14 +236,16 @@ class Block:
             row = lo[hit] + k - (ends[hit] - n[hit])
             item = self.piece_item[row]
             start = at[hit] - self.piece_at[row]
-            ok = (start >= 0) & (start + self.length[item] <= len(ids))
-            item, start = item[ok], start[ok]
+            text = np.searchsorted(starts, at[hit], "right") - 1
+            ok = (start >= starts[text]) & (start + self.length[item] <= stops[text])
+            item, start, text = item[ok], start[ok], text[ok]
             seen = ids[np.minimum(start[:, None] + np.arange(SPAN), len(ids) - 1)]
             same = seen == self.padded[item]
             equal = same.sum(1)
             ok = (equal == self.length[item]) | (
                 (equal >= self.least[item]) & ((same * self.worths[item]).sum(1) >= MIN_SURE))
-            found.update(zip(self.short[item[ok]].tolist(), start[ok].tolist(), (start + self.length[item])[ok].tolist()))
+            start, text, item = (start - starts[text])[ok], text[ok], item[ok]
+            found.update(zip(text.tolist(), self.short[item].tolist(), start.tolist(), (start + self.length[item]).tolist()))
         return found
 
     def verify(self, n: int, ids: np.ndarray, shift: int) -> list[tuple[int, int]]:
@@ -217,43 +278,43 @@ class Block:
 
 
 def longest(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int]:
-    """The longest stretch from one of ``starts`` to one of ``ends`` whose running ``total`` does not fall."""
-    least = np.minimum.accumulate(total[starts]) if len(starts) else total[:0]
-    best = (0, 0)
-    for e in ends.tolist():
-        k = int(np.searchsorted(-least, -(total[e] + 1e-9)))
-        if k < len(starts) and starts[k] < e and e - starts[k] > best[1] - best[0]:
-            best = (int(starts[k]), e)
-    return best
+    """The longest stretch from one of ``starts`` to one of ``ends`` whose running ``total`` does not fall; of
+    several the one that ends first."""
+    if not len(starts) or not len(ends):
+        return (0, 0)
+    least = np.minimum.accumulate(total[starts])
+    first = np.searchsorted(-least, -(total[ends] + 1e-9))  # of the starts that are no higher than the end
+    length = np.where(first < len(starts), ends - starts[np.minimum(first, len(starts) - 1)], 0)
+    k = int(np.argmax(length))
+    return (int(starts[first[k]]), int(ends[k])) if length[k] > 0 else (0, 0)
 
 
 MASKS = masks()
 WEIGHTS = np.array([pow(MULTIPLIER, 2 * i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
 
 
-def hashes(ids: np.ndarray, mask: int) -> np.ndarray:
-    """Hash of every window's seen token ids (all windows of ``SPAN`` tokens), tagged by the mask."""
-    n = len(ids) - SPAN + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    u = ids.astype(np.uint64)
-    h = np.full(n, (mask + 1) * 0x632BE59BD9B4E019 % (1 << 64), np.uint64)
-    for i in MASKS[mask]:
-        h += u[i:i + n] * WEIGHTS[i]
+def mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """Hash of every ``PIECE`` adjacent token ids."""
-    u = ids.astype(np.uint64)
-    h = np.zeros(max(0, len(ids) - PIECE + 1), np.uint64)
+def hashes(ids: np.ndarray, mask: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the seen token ids of the windows of ``SPAN`` tokens that begin at ``at`` (all of them), tagged by the mask."""
+    at = np.arange(max(0, len(ids) - SPAN + 1)) if at is None else at
+    h = np.full(len(at), (mask + 1) * 0x632BE59BD9B4E019 % (1 << 64), np.uint64)
+    for i in MASKS[mask]:
+        h += ids[at + i].astype(np.uint64) * WEIGHTS[i]
+    return mixed(h)
+
+
+def grams(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the ``PIECE`` adjacent token ids that begin at ``at`` (all of them)."""
+    at = np.arange(max(0, len(ids) - PIECE + 1)) if at is None else at
+    h = np.zeros(len(at), np.uint64)
     for i in range(PIECE):
-        h += u[i:i + len(h)] * WEIGHTS[i]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+        h += ids[at + i].astype(np.uint64) * WEIGHTS[i]
+    return mixed(h)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -284,14 +345,26 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.withColumn("_items", F.array_sort(F.array_distinct(F.col("_spans.item"))))
 
 
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about PIECE_CHARS bytes, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, before = 0, 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, before + PIECE_CHARS, "right")))
+        yield texts.slice(first, last - first)
+        first, before = last, int(ends[last - 1])
+
+
 def _search(sent, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(*sent.value)
         for b in batches:
-            spans = []
-            for text, old in zip(b.column(at), b.column(b.num_columns - 1)):
-                new = [{"item": block.item_ids[n], "start": s, "end": e} for n, s, e in block.overlaps(text.as_py())]
-                spans.append((old.as_py() or []) + new)
+            spans = b.column(b.num_columns - 1).to_pylist()
+            done, texts = 0, b.column(at)
+            for part in pieces(texts):
+                for k, new in enumerate(block.search(part), done):
+                    spans[k] = (spans[k] or []) + [{"item": block.item_ids[n], "start": s, "end": e} for n, s, e in new]
+                done += len(part)
             kind = b.schema.field(b.num_columns - 1).type
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, kind)], schema=b.schema)
         tidy()

@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -95,6 +97,67 @@ def test_rollup_is_additive_and_idempotent(spark):
     assert store.committed() == ["1", "2", "3"]
 
 
+CHANGE = ("op string, source string, lang string, tokenizer string, n_tokens long, "
+          "old_source string, old_lang string, old_tokenizer string, old_n_tokens long")
+
+
+def inserts(spark, n):
+    return spark.createDataFrame([("insert", "a", "en", "t", n, None, None, None, None)], CHANGE)
+
+
+def test_rollup_with_a_commit_during_compaction(spark, monkeypatch):
+    store = token_rollup.Rollup(spark, new_path(spark, "test-rollup"))
+    store.commit("a-1", inserts(spark, 5))
+    plain = token_rollup.Rollup._sum
+    other = token_rollup.Rollup(spark, store.path)  # another writer, between the listing and the snapshot
+
+    def late(self, *args):
+        monkeypatch.setattr(token_rollup.Rollup, "_sum", plain)
+        other.commit("b-2", inserts(spark, 7))
+        return plain(self, *args)
+
+    monkeypatch.setattr(token_rollup.Rollup, "_sum", late)
+    store.compact()
+    want = [("a", "en", "t", 2, 12)]
+    assert rows(store.totals()) == want
+    store.compact()
+    assert rows(store.totals()) == want and store.vacuum() == 3 and rows(store.totals()) == want
+    assert not store.commit("b-2", inserts(spark, 7)) and rows(store.totals()) == want
+
+
+def test_rollup_job_lost_before_its_marker(spark, monkeypatch):
+    store = token_rollup.Rollup(spark, new_path(spark, "test-rollup"))
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.Rollup, "_mark", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.commit("x", inserts(spark, 5))
+    assert rows(store.totals()) == [] and store.commit("x", inserts(spark, 5)) and rows(store.totals()) == [("a", "en", "t", 1, 5)]
+    with monkeypatch.context() as m:
+        m.setattr(token_rollup.Rollup, "_mark", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.compact()
+    assert rows(store.totals()) == [("a", "en", "t", 1, 5)]
+
+
+def test_rollup_of_two_writers_of_one_batch(spark):
+    path = new_path(spark, "test-rollup")
+    one, two = token_rollup.Rollup(spark, path), token_rollup.Rollup(spark, path)
+    seen = one._marked
+    two._marked = lambda folder: {} if folder == "commits" and not two.__dict__.setdefault("late", False) and not two.__dict__.update(
+        late=True) else seen(folder)  # looks before the other writer's marker is there
+    got = [one.commit("b", inserts(spark, 5)), two.commit("b", inserts(spark, 5))]
+    assert True in got and rows(one.totals()) == [("a", "en", "t", 1, 5)]
+
+
+def test_token_counts_by_the_tokenizer_library(spark, docs):
+    enc, want = encoding(), collections.Counter()
+    for r in docs.collect():
+        want[r.source, r.lang] += len(enc.encode_ordinary(r.text or ""))
+    got = queries.token_counts_bpe(spark, SF).collect()
+    assert {(r.source, r.lang): r.n_tokens for r in got} == dict(want) and {r.tokenizer for r in got} == {"bpe-50k-1"}
+    assert sum(r.n_docs for r in got) == docs.count()
+
+
 # 2 byte-level BPE
 
 def encoding():
@@ -138,6 +201,17 @@ def test_bpe_rejects_unknown_ids(spark):
         bpe.decode(bad, bpe.read_vocabulary(queries.VOCABULARY)).collect()
 
 
+def test_bpe_of_many_long_words():
+    rng, codec = random.Random(5), bpe.Codec.of(bpe.read_vocabulary(queries.VOCABULARY))
+    enc = encoding()
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (100, 127, 200, 1000) for _ in range(250)]
+    began = time.time()
+    got = codec.words(words)
+    assert time.time() - began < 60
+    for w, ids in random.Random(1).sample(list(zip(words, got)), 60):
+        assert np.frombuffer(ids, "<i4").tolist() == enc.encode_ordinary(w)
+
+
 # 3 toxicity
 
 def test_viterbi_restores_disguised_words():
@@ -396,6 +470,39 @@ def test_decontamination_of_short_items_edges_and_scripts():
     assert found("«Où est la gare — à Paris ou à Lyon ?»", "dit‑il: “où est la gare… à Paris ou à Lyon”")
 
 
+def test_decontamination_against_all_alignments():
+    rng, sub = random.Random(8), decontaminate.MIN_EQUAL
+    letters = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(letters) for _ in range(rng.randrange(13, 30))] for _ in range(25)]
+    block = decontaminate.Block([(i, " ".join(w)) for i, w in enumerate(items)], decontaminate.MIN_TOKENS, sub)
+    texts = []
+    for _ in range(60):
+        text = [rng.choice(letters) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 3)):
+            part = list(rng.choice(items))[rng.randrange(5):]
+            text += [w if rng.random() > 0.12 else "zz" for w in part] + [rng.choice(letters) for _ in range(rng.randrange(10))]
+        texts.append(text)
+    found = block.search(pa.array([" ".join(t) for t in texts]))
+    for text, spans in zip(texts, found):
+        assert spans == block.overlaps(" ".join(text))  # alone as in a batch
+        for n, a, b in spans:  # whatever is returned passes length and share at its alignment
+            best = max(sum(x == y for x, y in zip(text[a:b], items[n][s:])) for s in range(len(items[n]) - (b - a) + 1))
+            assert b - a >= 13 and best >= sub * (b - a) - 1e-9
+        for n, item in enumerate(items):  # every stretch of 13 tokens with at most two substitutions meets a span, or is one
+            for shift in range(-len(item), len(text)):
+                for p in range(max(0, shift), min(len(text), shift + len(item)) - 12):
+                    same = [text[q] == item[q - shift] for q in range(p, p + 13)]
+                    if sum(same) >= 11 and same[0] and same[-1]:
+                        assert any(m == n and a < p + 13 and p < b for m, a, b in spans), (n, p)
+
+
+def test_decontamination_of_repetitive_text():
+    block = decontaminate.Block([(1, "na " * 200)], decontaminate.MIN_TOKENS, decontaminate.MIN_EQUAL)
+    began = time.time()
+    got = block.overlaps("na " * 5000)
+    assert time.time() - began < 20 and got
+
+
 def test_decontamination_returns_every_stretch():
     w = [f"w{i}" for i in range(100)]
     block = decontaminate.Block([(1, " ".join(w))], decontaminate.MIN_TOKENS, decontaminate.MIN_EQUAL)
