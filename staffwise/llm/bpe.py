@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, tidy
 
 CHUNK = 25_000  # words or runs in one DuckDB query
+STEP_ROWS = 3_000_000  # bound of the rows of all steps of one query: a word of n bytes has less than n * n
 MEMORY = 150_000  # words in each of the two generations a worker remembers
-LONG = 1024  # bytes; longer words do not go through the recursive query
+LONG = 128  # bytes; longer words do not go through the recursive query
 MAX_VOCABULARY = 8 << 20  # bytes; the vocabulary is sent to every task
 
 ENCODE = """
@@ -98,7 +99,8 @@ class Codec:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        # no folder to spill to: what a query holds is bounded by STEP_ROWS
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         pairs = pa.table({"pair": np.array(left, np.int64) * 16777216 + np.array(right, np.int64),
                           "merged": np.array(merged, np.int32)})
@@ -141,10 +143,14 @@ class Codec:
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Token ids (packed int32) of non-empty words that are no vocabulary entry themselves."""
-        out = []
-        for lo in range(0, len(words), CHUNK):
-            part = words[lo:lo + CHUNK]
-            lengths = np.fromiter(map(len, part), np.int64, len(part))
+        out, lo = [], 0
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        cost = np.cumsum(sizes * sizes)
+        while lo < len(words):
+            done = int(cost[lo - 1]) if lo else 0
+            hi = min(lo + CHUNK, max(lo + 1, int(np.searchsorted(cost, done + STEP_ROWS, "right"))))
+            part, lengths = words[lo:hi], sizes[lo:hi]
+            lo = hi
             ids = self.base[np.frombuffer(b"".join(part), np.uint8)]
             ends = np.cumsum(lengths)
             nid = np.empty_like(ids)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,51 +15,73 @@ from .common import lower_ascii, new_path, read, stored
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token rollups of ``documents`` after a history of batches: estimates are inserted in four
-    batches, revised to exact counts, a second tokenizer version is added, documents of fewer than
-    20 words are deleted, and two batches are sent a second time."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs, _ = stored(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars").select(
-        "doc_id", "lang", "source", F.ceil(F.coalesce("n_chars", F.lit(0)) / 6).alias("estimate"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
-        F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).alias("runs")), "token-counts")
+def _history(spark: SparkSession, docs: DataFrame, versions: list[str]) -> token_rollup.Rollup:
+    """A rollup of ``docs`` (source, lang, estimate and a count per version) after a history of batches: estimates of
+    the first version are inserted in four batches, one of them sent twice, and revised to its counts; the other versions
+    are inserted; documents of fewer than 20 tokens are deleted for all versions and inserted again."""
+    first, *others = versions
+    kinds = dict(zip([*token_rollup.KEYS, "n_tokens"], ["string", "string", "string", "long"]))
 
     def state(prefix: str, tokenizer: str, n: str) -> list:
         return [F.col("source").alias(prefix + "source"), F.col("lang").alias(prefix + "lang"),
-                F.lit(tokenizer).alias(prefix + "tokenizer"), F.col(n).alias(prefix + "n_tokens")]
-
-    old_none = [F.lit(None).cast(t).alias("old_" + k) for k, t in
-                zip([*token_rollup.KEYS, "n_tokens"], ["string", "string", "string", "long"])]
-    none = [F.lit(None).cast(t).alias(k) for k, t in
-            zip([*token_rollup.KEYS, "n_tokens"], ["string", "string", "string", "long"])]
-    inserts = docs.select(F.lit("insert").alias("op"), *state("", "words-1", "estimate"), *old_none,
-                          F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("batch"))
-    batches = {f"insert-{k}": inserts.where(F.col("batch") == k) for k in range(4)}
-    batches["revise"] = docs.where("estimate <> words").select(
-        F.lit("revise").alias("op"), *state("", "words-1", "words"), *state("old_", "words-1", "estimate"))
-    batches["second"] = docs.select(F.lit("insert").alias("op"), *state("", "runs-2", "runs"), *old_none)
-    short = docs.where("words < 20")
-    batches["delete"] = short.select(F.lit("delete").alias("op"), *none, *state("old_", "words-1", "words")).unionByName(
-        short.select(F.lit("delete").alias("op"), *none, *state("old_", "runs-2", "runs")))
+                F.lit(tokenizer).alias(prefix + "tokenizer"), F.col(f"`{n}`").alias(prefix + "n_tokens")]
+
+    def no_state(prefix: str) -> list:
+        return [F.lit(None).cast(t).alias(prefix + k) for k, t in kinds.items()]
+
+    def change(df: DataFrame, op: str, new: list, old: list) -> DataFrame:
+        return df.select(F.lit(op).alias("op"), *new, *old)
+
+    def all_versions(df: DataFrame, op: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [change(df, op, *(
+            (no_state(""), state("old_", v, v)) if op == "delete" else (state("", v, v), no_state("old_")))) for v in versions])
+
+    short = docs.where(F.col(f"`{first}`") < 20)
+    quarter = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.lit(0))
+    batches = {f"insert-{k}": change(docs.where(quarter == k), "insert", state("", first, "estimate"), no_state("old_")) for k in range(4)}
+    batches["revise"] = change(docs.where(F.col("estimate") != F.col(f"`{first}`")), "revise", state("", first, first),
+                               state("old_", first, "estimate"))
+    batches |= {f"version-{v}": change(docs, "insert", state("", v, v), no_state("old_")) for v in others}
+    batches |= {"delete": all_versions(short, "delete"), "restore": all_versions(short, "insert")}
     store = token_rollup.Rollup(spark, new_path(spark, "token-rollup"))
-    for name in ["insert-0", "insert-1", "insert-2", "insert-1", "insert-3", "revise", "second"]:
+    for name in ["insert-0", "insert-1", "insert-2", "insert-1", "insert-3", "revise", *(f"version-{v}" for v in others)]:
         store.commit(name, batches[name])
     store.compact()
-    for name in ["delete", "revise"]:
+    for name in ["delete", "revise", "restore"]:
         store.commit(name, batches[name])
-    return store.totals()
+    return store
+
+
+ESTIMATE = "ceil(coalesce(n_chars, 0) / 6) AS estimate"  # tokens, before a text is read
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all ``documents`` by source, language and tokenizer version, after the batches of ``_history``:
+    blank-separated words, and the bytes that byte-level models read. ``token_counts_bpe`` counts by a vocabulary."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs, _ = stored(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars").select(
+        "doc_id", "lang", "source", F.expr(ESTIMATE), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words-1"),
+        F.octet_length(text).alias("bytes-1")), "token-counts")
+    return _history(spark, docs, ["words-1", "bytes-1"]).totals()
 
 
 ORACLE_OP1 = r"""
 WITH c AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS runs FROM documents),
-s AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM c WHERE words >= 20
-  UNION ALL SELECT source, lang, 'runs-2', runs FROM c WHERE words >= 20)
+  strlen(coalesce(text, '')) AS bytes FROM documents),
+s AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM c UNION ALL SELECT source, lang, 'bytes-1', bytes FROM c)
 SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM s GROUP BY ALL
 """
 
 
+def token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all ``documents`` by the byte-level BPE of a public vocabulary, after the batches of ``_history``."""
+    docs, _ = stored(bpe.encode(
+        read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+        .select(F.struct("doc_id", "lang", "source", F.expr(ESTIMATE)).alias("row"), "text"), bpe.read_vocabulary(VOCABULARY),
+        public_tokenizers.PATTERN, "row").select("id.*", F.size("ids").alias("bpe-50k-1")), "token-counts-bpe")
+    return _history(spark, docs, ["bpe-50k-1"]).totals()
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text and back, as digests."""
     return bpe.round_trip(read(spark, sf_dir, "documents", "doc_id", "text"), bpe.read_vocabulary(VOCABULARY),
@@ -162,7 +186,7 @@ def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_bpe, op3_toxicity, op4_warc_revisits, op5_embedding_dedup, op6_line_dedup,
+    op1_token_counts, token_counts_bpe, op2_bpe, op3_toxicity, op4_warc_revisits, op5_embedding_dedup, op6_line_dedup,
     op7_simhash_dedup, op8_license_scan, op9_decontaminate, op10_secret_scan, op11_whitening,
     op12_merkle_manifest, op13_lm_score)}
 

@@ -3,16 +3,14 @@
 Totals by source, language and tokenizer version are additive: a change adds its new state with sign
 +1 and takes back its old state with sign -1. A batch of changes is reduced to one signed row per
 group (combined before the shuffle, so a hot source costs no more than any other) and committed
-under its batch id. A commit is one marker file that is created or found: a batch that is sent again,
-or a job that is started again after a loss, changes nothing. ``compact`` folds the committed deltas
+under its batch id. A commit is one marker file that is created or found: a batch that is sent again
+changes nothing, and one whose job was lost half way can be sent again. ``compact`` folds the committed deltas
 into a snapshot, so that reading the totals does not grow with the number of batches.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +40,13 @@ def signed_deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A store of committed deltas below ``path``, which all executors must share."""
+    """A store of committed deltas below ``path``, which all executors must share.
+
+    What counts is named by empty marker files, ``<batch>-<folder id>`` for a delta and ``<version>-<folder id>`` for a
+    snapshot, so a marker is whole as soon as it exists. A job that is lost before its marker leaves a folder that
+    nobody reads, and its batch can be sent again. Of two writers of one batch or version the first
+    by name counts; both hold the same changes.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -52,67 +56,72 @@ class Rollup:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _names(self, folder: str) -> list[str]:
+    def _marked(self, folder: str) -> dict[str, str]:
+        """Name -> folder id of the markers in ``folder``, by a listing alone."""
         p = self._path(folder)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
-
-    def _create(self, name: str, text: str) -> bool:
-        """Create a small file; False if there is one already."""
-        try:
-            out = self._fs.create(self._path(name), False)
-        except Exception as e:  # noqa: BLE001  the exception of whatever file system it is
-            if self._fs.exists(self._path(name)):
-                return False
-            raise e
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
-
-    def _text(self, name: str) -> str:
-        p = self._path(name)
-        data = self._fs.open(p)
-        out = bytes(data.readAllBytes()).decode()
-        data.close()
-        return out
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
+        found: dict[str, str] = {}
+        for n in names:
+            found.setdefault(n[:-33], n[-32:])
+        return found
+
+    def _mark(self, folder: str, name: str, key: str) -> None:
+        self._fs.create(self._path(f"{folder}/{name}-{key}"), False).close()
 
     def committed(self) -> list[str]:
-        return self._names("commits")
+        return sorted(self._marked("commits"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if its id is committed already (its changes are not looked at)."""
         if not batch_id or "/" in batch_id:
             raise ValueError("a batch needs an id without '/'")
-        if batch_id in self.committed():
+        if batch_id in self._marked("commits"):
             return False
-        folder = f"deltas/{batch_id}-{uuid.uuid4().hex}"
-        signed_deltas(changes).write.parquet(f"{self.path}/{folder}")
-        return self._create(f"commits/{batch_id}", folder)  # of two writers one wins, the other's folder is never read
+        key = uuid.uuid4().hex
+        signed_deltas(changes).write.parquet(f"{self.path}/deltas/{batch_id}-{key}")
+        self._mark("commits", batch_id, key)
+        return self._marked("commits")[batch_id] == key
 
     def _snapshot(self) -> tuple[int, str | None, set[str]]:
-        names = self._names("snapshots")
-        if not names:
+        """Version, folder and batches of the latest snapshot."""
+        marked = self._marked("snapshots")
+        if not marked:
             return 0, None, set()
-        got = json.loads(self._text(f"snapshots/{names[-1]}"))
-        return int(names[-1]), got["folder"], set(got["batches"])
-
-    def totals(self) -> DataFrame:
-        """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches, groups of no documents left out."""
-        _, folder, folded = self._snapshot()
-        folders = [self._text(f"commits/{b}") for b in self.committed() if b not in folded] + ([folder] if folder else [])
+        version = max(marked)
+        folder = f"{self.path}/snapshot-{version}-{marked[version]}"
+        batches = self.spark.read.schema("batch string").parquet(f"{folder}/batches").collect()  # one row per batch
+        return int(version), f"{folder}/totals", {r["batch"] for r in batches}
+
+    def _sum(self, commits: dict[str, str], snapshot: str | None, folded: set[str]) -> DataFrame:
+        """Totals of a snapshot and of those of the listed commits that it doesn't hold."""
+        folders = [f"{self.path}/deltas/{b}-{key}" for b, key in commits.items() if b not in folded] + ([snapshot] if snapshot else [])
         if not folders:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{f}" for f in folders))
+        rows = self.spark.read.schema(SCHEMA).parquet(*folders)
         return (rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
                 .where("n_docs <> 0 OR n_tokens <> 0"))
 
+    def totals(self) -> DataFrame:
+        """``source, lang, tokenizer, n_docs, n_tokens`` over all committed batches, groups of no documents left out."""
+        _, snapshot, folded = self._snapshot()
+        return self._sum(self._marked("commits"), snapshot, folded)
+
     def compact(self) -> None:
-        """Fold the batches committed so far into the next snapshot."""
+        """Fold the batches committed so far into the next snapshot: those of one listing, which it names. A batch that is
+        committed meanwhile stays a delta."""
+        version, snapshot, folded = self._snapshot()
+        commits, key = self._marked("commits"), uuid.uuid4().hex
+        name = f"{version + 1:08d}"
+        folder = f"{self.path}/snapshot-{name}-{key}"
+        self._sum(commits, snapshot, folded).write.parquet(f"{folder}/totals")
+        self.spark.createDataFrame([(b,) for b in sorted(folded | set(commits))], "batch string").coalesce(1).write.parquet(f"{folder}/batches")
+        self._mark("snapshots", name, key)
+
+    def vacuum(self) -> int:
+        """Delete the deltas that the latest snapshot holds and the snapshots before it; how many folders. For when no
+        earlier result of ``totals`` is read any more."""
         version, _, folded = self._snapshot()
-        batches = sorted(folded | set(self.committed()))
-        folder = f"snapshot-{version + 1}-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.path}/{folder}")
-        self._create(f"snapshots/{version + 1:08d}", json.dumps({"folder": folder, "batches": batches}))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        commits, snapshots = self._marked("commits"), self._marked("snapshots")
+        gone = [f"deltas/{b}-{commits[b]}" for b in folded if b in commits]
+        gone += [f"snapshot-{v}-{key}" for v, key in snapshots.items() if int(v) < version]
+        return sum(self._fs.delete(self._path(g), True) for g in gone)
