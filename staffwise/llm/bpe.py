@@ -25,6 +25,7 @@ from heapq import heapify, heappop, heappush
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .common import bounded_batches, tidy
 
 CHUNK = 25_000  # words or runs in one DuckDB query
 STEP_ROWS = 3_000_000  # bound of the rows of all steps of one query: a word of n bytes has less than n * n
-MEMORY = 150_000  # words in each of the two generations a worker remembers
+MEMORY = 400_000  # words in each of the two generations a worker remembers
 LONG = 128  # bytes; longer words do not go through the recursive query
 MAX_VOCABULARY = 8 << 20  # bytes; the vocabulary is sent to every task
 
@@ -64,6 +65,12 @@ SELECT run, string_agg(hex, '' ORDER BY pos) AS hex FROM rows JOIN pieces USING
 """
 
 
+def joined(parts: pa.Array, off: np.ndarray, between: bytes) -> list[bytes]:
+    """The ``parts`` of each row as one."""
+    rows = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), parts)
+    return pc.binary_join(rows, pa.scalar(between, parts.type)).to_pylist()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the concatenated ranges ``starts[i] .. starts[i] + lengths[i]``."""
     ends = np.cumsum(lengths)
@@ -88,7 +95,6 @@ class Codec:
         self.n = max(self.ranks.values()) + 1
         self.bits = self.n.bit_length()
         self.base = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.text = [str(i) for i in range(self.n)]
         self.starts_word = np.zeros(self.n, bool)
         left, right, merged = [], [], []
         for piece, rank in self.ranks.items():
@@ -228,8 +234,8 @@ class Codec:
             run, pos = np.nonzero(k)
             self.db.register("rows", pa.table({"run": run, "pos": pos, "id": (k[run, pos] - 1).astype(np.int32)}))
             pieces += map(bytes.fromhex, self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist())
-        cut = np.searchsorted(run_at, off)
-        return [b"".join(map(pieces.__getitem__, index[a:b].tolist())) for a, b in zip(cut[:-1], cut[1:])]
+        parts = pa.array(pieces, pa.large_binary()).take(pa.array(index))
+        return joined(parts, np.searchsorted(run_at, off), b"")
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -301,10 +307,9 @@ def round_trip(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "do
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for b in (x.slice(lo, ROWS) for x in batches for lo in range(0, x.num_rows, ROWS)):
             ids, off = codec.encode(b.column(1))
-            joined = [sha(",".join(map(codec.text.__getitem__, ids[x:y].tolist())).encode())
-                      for x, y in zip(off[:-1], off[1:])]
+            texts = joined(pa.array(ids).cast(pa.large_string()).cast(pa.large_binary()), off, b",")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off)), pa.array(joined), pa.array(list(map(sha, codec.decode(ids, off))))],
+                [b.column(0), pa.array(np.diff(off)), pa.array(list(map(sha, texts))), pa.array(list(map(sha, codec.decode(ids, off))))],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
         tidy()
 
