@@ -29,11 +29,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows without an id stay."""
-    groups = simhash.simhash_groups(docs, shingle=3, max_bits=2)
-    kept = groups.where("id = component").select(F.col("id").alias("kept_id")).distinct()
-    return (docs.join(kept, docs.doc_id == kept.kept_id, "left")
-            .where("kept_id IS NOT NULL OR doc_id IS NULL").select(*(docs[c] for c in docs.columns)))
+    """One row of each group of near copies: the one with the smallest id, and of rows that share it, the first by
+    fingerprint and text hash. Rows without an id are linked by nothing but an equal fingerprint: one of each fingerprint stays, unless
+    a row with an id has it too."""
+    row = docs.withColumn("_row", F.monotonically_increasing_id())
+    row, path = stored(row, "pipeline-rows")  # the ids of rows must not change between the two uses
+    fps, fps_path = stored(simhash.fingerprints(row.select("_row", "text"), id_col="_row", shingle=3), "pipeline-fingerprints")
+    named = row.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(fps.withColumnRenamed("id", "_row"), "_row")
+    groups = simhash.groups_of(named.select(F.col("doc_id").alias("id"), "fp"), max_bits=2)
+    of_fp = groups.where("id IS NOT NULL").groupBy("fp").agg(F.min("component").alias("component"))
+    ranked = named.join(of_fp, "fp", "left")
+    # null ids sort last, so a row without an id is kept only where its fingerprint has no other
+    key = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("component").alias("name"))).otherwise(
+        F.struct(F.lit(1).alias("kind"), F.col("fp").alias("name")))
+    best = ranked.groupBy(key.alias("key")).agg(F.min_by("_row", F.struct(
+        F.col("doc_id").isNull(), "doc_id", F.col("fp"), F.col("h"), "_row")).alias("_keep"))
+    return row.join(best, row["_row"] == best["_keep"], "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """Secret scans: known forms, and sliding-window entropy over candidate strings.
 
 Known forms (assignments, access keys, long hexadecimal strings) are matched as patterns. Beside
-them, every run of key characters that holds a digit is a candidate. Over each stretch of one
-character class (hexadecimal, base 64) a window of fixed width slides; its Shannon entropy comes from
-counts that change by one character in and one out. Windows above the class's bound are merged into
-spans, and spans on the allow list (identifiers, paths, placeholders, counting sequences) are dropped.
-Texts are scanned row by row in their own partition, without a shuffle.
+them, every run of key characters is a candidate. Over each stretch of one character class
+(hexadecimal, base 64, letters) a window of fixed width slides; its Shannon entropy comes from
+counts that change by one character in and one out. Windows that reach the class's bound are merged into
+spans. The allow list then works on what is hot, not on the run around it: a window that touches a
+placeholder, a counting sequence or an identifier of another kind is not hot, and a span that consists of
+words between separators is dropped. Texts are scanned row by row in their own partition, without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,40 +25,47 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
 
-DIGIT = re.compile(r"[0-9]")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
-CANDIDATE_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 WIDTH = 20
-#: Character classes with the least entropy in bits of a window of WIDTH characters.
-CLASSES = (("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 3.0), ("base64", re.compile(r"[A-Za-z0-9+/_-]{20,}"), 3.7))
-#: Spans that are not secrets: identifiers of other kinds, paths, placeholders, counting sequences.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"[0-9/_+=-]+"),
-    re.compile(r"([A-Za-z]+[0-9]{0,4}[/_+=-]+)*[A-Za-z]+[0-9]{0,4}"),
-    re.compile(r".*(example|sample|placeholder|changeme|xxxx|0123456789|123456789|abcdefgh).*", re.I | re.S),
-)
-LOG = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 1)]
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WIDTH},}}")
+#: Character classes: name, stretches, least entropy in bits of a window of WIDTH characters, and what it must mix.
+CLASSES = (("hex", re.compile(r"[0-9a-fA-F]{20,}"), 3.0, "digits"),
+           ("base64", re.compile(r"[A-Za-z0-9+/_-]{20,}"), 3.7, "digits"),
+           ("letters", re.compile(r"[A-Za-z]{20,}"), 3.9, "cases"))
+CASE_CHANGES = 9  # in a window of letters: words that are written together change it less often
+#: Parts that no secret has: identifiers of other kinds, placeholders, counting sequences.
+HARMLESS = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|example|sample|placeholder|changeme|xxxx|0123456789|123456789|abcdefgh", re.I)
+#: Words between separators, each with a few digits at its end.
+WORDS = re.compile(r"([A-Za-z]+[0-9]{0,4}[/_+=-]+)*[A-Za-z]+[0-9]{0,4}")
+SEPARATORS = "/_+=-"
+LOG = [0.0] + [c * math.log2(c) for c in range(1, WIDTH + 2)]  # one in before one out
 KINDS = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
 
 
-def hot_windows(s: str, least: float, width: int = WIDTH) -> list[tuple[int, int]]:
-    """Merged windows of ``s`` whose Shannon entropy reaches ``least`` bits and that mix digits and letters."""
+def hot_windows(s: str, least: float, width: int = WIDTH, mix: str = "digits", harmless=()) -> list[tuple[int, int]]:
+    """Merged windows of ``s`` whose Shannon entropy reaches ``least`` bits, that mix digits and letters ("digits") or
+    change case often ("cases"), and that touch none of the ``harmless`` spans."""
     counts: dict[str, int] = {}
-    total, digits, out = 0.0, 0, []
+    total, digits, changes, out = 0.0, 0, 0, []
+    free = 0  # windows that begin before it touch a harmless span
+    waiting = list(harmless)
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += LOG[n + 1] - LOG[n]
         counts[c] = n + 1
         digits += c in "0123456789"
+        changes += i > 0 and c.isupper() != s[i - 1].isupper()
         if i >= width:
             old = s[i - width]
             n = counts[old]
             total += LOG[n - 1] - LOG[n]
             counts[old] = n - 1
             digits -= old in "0123456789"
-        if i >= width - 1 and 0 < digits < width and math.log2(width) - total / width >= least - 1e-12:
-            lo = i - width + 1
+            changes -= s[i - width + 1].isupper() != old.isupper()
+        while waiting and waiting[0][0] <= i:
+            free = max(free, waiting.pop(0)[1])
+        lo = i - width + 1
+        mixed = 0 < digits < width if mix == "digits" else changes >= CASE_CHANGES
+        if lo >= free and mixed and math.log2(width) - total / width >= least - 1e-12:
             if out and lo <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -65,36 +73,32 @@ def hot_windows(s: str, least: float, width: int = WIDTH) -> list[tuple[int, int
     return out
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Runs of key characters that hold a digit and are at least one window long."""
-    end = 0
-    m = DIGIT.search(text)
-    while m:
-        lo = m.start()
-        while lo > end and text[lo - 1] in CANDIDATE_CHARS:
-            lo -= 1
-        end = CANDIDATE.match(text, lo).end()
-        if end - lo >= WIDTH:
-            yield lo, end
-        m = DIGIT.search(text, end)
-
-
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Spans of high entropy that are not on the allow list."""
     found = []
-    for lo, hi in candidates(text):
-        run = text[lo:hi]
-        if any(p.fullmatch(run) for p in ALLOWED):
-            continue
-        hot = [(m.start() + a, m.start() + b) for _, pattern, least in CLASSES for m in pattern.finditer(run)
-               for a, b in hot_windows(m[0], least)]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(hot):
+    for m in CANDIDATE.finditer(text):
+        lo, run = m.start(), m[0]
+        harmless = [h.span() for h in HARMLESS.finditer(run)]
+        hot = []
+        for _, pattern, least, mix in CLASSES:
+            for part in pattern.finditer(run):
+                at = part.start()
+                near = [(a - at, b - at) for a, b in harmless if b > at and a < part.end()]
+                hot += [(at + a, at + b, mix) for a, b in hot_windows(part[0], least, WIDTH, mix, near)]
+        merged: list[list] = []
+        for a, b, mix in sorted(hot):
             if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+                merged[-1][1:] = [max(b, merged[-1][1]), merged[-1][2] | {mix}]
             else:
-                merged.append((a, b))
-        found += [(lo + a, lo + b) for a, b in merged if not any(p.fullmatch(run[a:b]) for p in ALLOWED)]
+                merged.append([a, b, {mix}])
+        for a, b, mixes in merged:
+            first, last = a, b  # with the rest of the words at its ends
+            while first > 0 and run[first - 1] not in SEPARATORS:
+                first -= 1
+            while last < len(run) and run[last] not in SEPARATORS:
+                last += 1
+            if "cases" in mixes or not WORDS.fullmatch(run[first:last].strip(SEPARATORS)):
+                found.append((lo + a, lo + b))
     return found
 
 

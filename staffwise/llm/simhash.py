@@ -132,6 +132,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whatever their names; an empty table gives an empty result.
     """
     fps, _ = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    return groups_of(fps, max_bits)
+
+
+def groups_of(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """``simhash_groups`` of known fingerprints (``id, fp``), a stored table: it is read several times."""
     classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     classes, _ = stored(classes, "simhash-classes")
     same_id = (fps.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))

@@ -21,14 +21,15 @@ UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "va
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without "www." or "m." and default port, path without a trailing slash or
-    "index.html", query without tracking fields; neither scheme nor fragment. Null stays null."""
+    """Host in lower case without "www." and default port, path without a trailing slash or "index.html",
+    query without tracking and empty fields, in the order of the fields' text; neither scheme nor fragment. Null stays null."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^(www|m)\\.", ""), ":(80|443)$", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^www\\.", ""), ":(80|443)$", "")
     rest = F.regexp_replace(bare, "^[^/?]*", "")
     query = F.regexp_extract(rest, "\\?(.*)$", 1)
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "\\?.*$", ""), "/index\\.html?$", "/"), "/+$", "")
-    kept = F.regexp_replace(F.regexp_replace(F.concat(F.lit("&"), query), "&(ref|utm_[a-z]+)(=[^&]*)?(?=&|$)", ""), "^&+", "")
+    fields = F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike("^(ref|utm_[a-z]+)(=.*)?$"))
+    kept = F.when(query == "", "").otherwise(F.array_join(F.array_sort(fields), "&"))
     return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
@@ -42,17 +43,18 @@ def _headers(c: Column) -> Column:
 def resolve_revisits(records: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     """One row per revisit record: ``record_id, url_key, ts, outcome, response_id, digest, headers``.
 
-    ``records`` has record_id, url, ts (seconds), kind ("response" or "revisit"), etag,
-    last_modified, digest and headers (a map). ``outcome`` is "resolved", "no response" (none is
+    ``records`` has record_id, url, ts (seconds), kind ("response" or "revisit"), status (of the answer), etag,
+    last_modified, digest and headers (a map). A response is full if its status is 200 to 299 or unknown; redirects and
+    errors have no body that a revisit could mean. ``outcome`` is "resolved", "no response" (none is
     strictly earlier), "no validator" (nothing to compare on both sides) or "changed" (a validator
     differs). Entity tags are compared where both have one, else dates, else digests. ``headers`` is
     the merged list of (name, value), null unless resolved. Of responses at the same second the
     largest record_id counts. Records without url or ts resolve to "no response"; other kinds and
     null kinds are ignored, repeated records give repeated rows.
     """
-    r = records.select("record_id", "kind", F.col("ts").cast("long").alias("ts"), canonical_url(F.col("url")).alias("url_key"),
+    r = records.select("record_id", "kind", "status", F.col("ts").cast("long").alias("ts"), canonical_url(F.col("url")).alias("url_key"),
                        "etag", "last_modified", "digest", _headers(F.col("headers")).alias("headers"))
-    r = r.where(F.col("kind").isin("response", "revisit"))
+    r = r.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & F.coalesce(F.col("status").between(200, 299), F.lit(True))))
     lost = F.col("url_key").isNull() | F.col("ts").isNull()
     r = r.where(~lost | (F.col("kind") == "revisit")).withColumn(
         "span", F.when(lost, F.lit(None)).otherwise(F.floor(F.col("ts") / span_s)))
@@ -98,13 +100,14 @@ def page_records(pages: DataFrame) -> DataFrame:
     p = pages.withColumn("md5", F.md5(F.coalesce("html", F.lit(""))))
     response = p.select(
         (F.col("page_id") * 2).alias("record_id"), "url", t.alias("ts"), F.lit("response").alias("kind"),
+        F.when(sign(url, 3) == 48, 404).when(sign(url, 3) == 49, 301).otherwise(200).alias("status"),
         F.when(mode != 3, tag).alias("etag"), F.when(mode != 5, date).alias("last_modified"), F.col("md5").alias("digest"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"),
                      F.length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("ETag"), tag,
                      F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"))
     later = t + F.when(mode == 6, -30).otherwise(30 + sign(F.col("md5"), 1) * 997 + sign(F.col("md5"), 2) * 31)
     revisit = p.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("ts"), F.lit("revisit").alias("kind"),
+        (F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
         F.when(mode.isin(0, 1, 3, 6), tag).when(mode == 2, F.lit('"stale"')).alias("etag"),
         F.when(mode.isin(3, 4), date).alias("last_modified"), F.when(mode == 5, F.col("md5")).alias("digest"),
         F.create_map(F.lit("Date"), F.concat(F.lit("d"), later.cast("string")), F.lit("Cache-Control"), F.lit("max-age=90"),
@@ -115,10 +118,10 @@ def page_records(pages: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS md5 FROM pages),
 c AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM p),
-k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^(www|m)\.', ''), ':(80|443)$', '') AS host,
+k AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') AS host,
   regexp_replace(bare, '^[^/?]*', '') AS rest FROM c),
 u AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(rest, '\?.*$', ''), '/index\.html?$', '/'), '/+$', '') AS path,
-  list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: NOT regexp_full_match(x, '(ref|utm_[a-z]+)(=.*)?')) AS args FROM k),
+  list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_full_match(x, '(ref|utm_[a-z]+)(=.*)?'))) AS args FROM k),
 z AS (SELECT page_id, url, html, md5, host || path || CASE WHEN array_to_string(args, '&') <> '' THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key,
   url, page_id * 60 + 1600000000 AS t, '"' || left(md5, 16) || '"' AS tag FROM u),
 m AS (SELECT *, (ascii(md5(coalesce(url, ''))) + ascii(substr(md5(coalesce(url, '')), 2, 1))) % 7 AS mode,
@@ -127,7 +130,8 @@ v AS (SELECT page_id * 2 + 1 AS record_id, url_key, t + CASE WHEN mode = 6 THEN
   CASE WHEN mode IN (0, 1, 3, 6) THEN tag WHEN mode = 2 THEN '"stale"' END AS etag,
   CASE WHEN mode IN (3, 4) THEN 'd' || t END AS last_modified, CASE WHEN mode = 5 THEN md5 END AS digest FROM m),
 f AS (SELECT page_id * 2 AS record_id, url_key, t AS ts, CASE WHEN mode <> 3 THEN tag END AS etag,
-  CASE WHEN mode <> 5 THEN 'd' || t END AS last_modified, md5 AS digest, tag, length(html) AS len FROM m),
+  CASE WHEN mode <> 5 THEN 'd' || t END AS last_modified, md5 AS digest, tag, length(html) AS len FROM m
+  WHERE substr(md5(coalesce(url, '')), 3, 1) NOT IN ('0', '1')),
 b AS (SELECT v.*, f.record_id AS full_id, f.etag AS e, f.last_modified AS l, f.digest AS d, f.tag, f.len,
   row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC, f.record_id DESC) AS n
   FROM v LEFT JOIN f ON f.url_key = v.url_key AND f.ts < v.ts),
