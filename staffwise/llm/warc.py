@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SPAN_S = 3600  # seconds of captures that one task takes for a URL
 #: Header fields that a 304 answer may update (fixed values).
 UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -58,6 +60,7 @@ def resolve_revisits(records: DataFrame, span_s: int = SPAN_S) -> DataFrame:
     lost = F.col("url_key").isNull() | F.col("ts").isNull()
     r = r.where(~lost | (F.col("kind") == "revisit")).withColumn(
         "span", F.when(lost, F.lit(None)).otherwise(F.floor(F.col("ts") / span_s)))
+    r, _ = stored(r, "warc-records")  # keys and headers are worked out once, four steps read them
     # a revisit that can't be placed gets a span key of its own kind and meets no response
     full = F.when(F.col("kind") == "response",
                   F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
