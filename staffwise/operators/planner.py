@@ -49,11 +49,12 @@ def cell_number(v: Column) -> Column:
     return F.when(F.trim(v).endswith("%"), percent(v)).otherwise(numeric(v))
 
 
-def shape_planner(cells: DataFrame, sheets: list[str] | None = None) -> DataFrame:
+def shape_planner(cells: DataFrame, sheets: list[str] | None = None, families: list[str] | None = None) -> DataFrame:
     """SRC3 + SRC4 + PRJ3: cells (workbook, sheet, row, col, value) -> facts
     (workbook, sheet, week, metric, family, usd, level, value).
 
-    ``sheets`` selects sheets; a requested sheet that has no cells raises (SRC7).
+    ``sheets`` selects sheets; a requested sheet that has no cells raises (SRC7). ``families`` selects metric
+    families: the cells of others are dropped by their header, before they meet their week.
     """
     c = cells.where((F.col("row") >= 3) & (F.col("col") >= 3))
     if sheets:
@@ -67,7 +68,7 @@ def shape_planner(cells: DataFrame, sheets: list[str] | None = None) -> DataFram
     weeks = body.join(hdr.where(F.col("metric") == WEEK_HEADER), [*SHEET_KEYS, "row"]).select(
         *SHEET_KEYS, "col", lenient_day("value").alias("week"))
     metrics = hdr.where(F.col("metric") != WEEK_HEADER).withColumn("family", family_of(F.col("metric"))) \
-        .where(F.col("family").isNotNull())
+        .where(F.col("family").isin(families) if families else F.col("family").isNotNull())
     facts = body.join(metrics, [*SHEET_KEYS, "row"]).join(weeks, [*SHEET_KEYS, "col"])
     return facts.select(*SHEET_KEYS, "week", "metric", "family",
                         usd_of_header(F.col("metric")).alias("usd"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,37 +60,55 @@ def fte_comb(spark: SparkSession, sf: str, stats: DataFrame | None = None) -> Da
     return fte_ops.fte_combined(materialize(fte_totals(spark, sf, stats=stats)))
 
 
-def planner_facts(spark: SparkSession, sf: str) -> DataFrame:
+def planner_facts(spark: SparkSession, sf: str, families: list[str] | None = None) -> DataFrame:
     """Weekly facts, stored: one pass over orders however many branches read them."""
-    return materialize(pl.shape_planner(materialize(ad.planner_cells(spark, sf))))
+    return materialize(pl.shape_planner(materialize(ad.planner_cells(spark, sf)), families=families))
 
 
-def workbook_facts(spark: SparkSession, sf: str, sheets: list[str] | None = None) -> DataFrame:
+def workbook_facts(spark: SparkSession, sf: str, sheets: list[str] | None = None, families: list[str] | None = None) -> DataFrame:
     """Weekly facts of all workbooks and kinds of sheet, stored; ``sheets`` asks for some, which must be there."""
-    return materialize(pl.shape_planner(materialize(ad.planner_workbooks(spark, sf)), sheets))
+    return materialize(pl.shape_planner(materialize(ad.planner_workbooks(spark, sf)), sheets, families))
+
+
+ASSUMPTIONS = ["OCC Assumptions"]
 
 
-def occ_combined(spark: SparkSession, sf: str) -> DataFrame:
-    return pl.occ_combined_mean(pl.occ_assumptions(planner_facts(spark, sf)))
+def occ_combined(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
+    """The assumptions of the medium's own sheet, details and Combined levels."""
+    if media == "VIDEO":
+        return pl.occ_video(workbook_facts(spark, sf, [ad.VIDEO_SHEET], ASSUMPTIONS))
+    return pl.occ_combined_mean(pl.occ_assumptions(planner_facts(spark, sf, ASSUMPTIONS)))
+
+
+def side_by_side(*steps):
+    """Results of steps that don't need each other: their jobs run at the same time."""
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
 
 
 def datamart_day(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
-    """Each medium takes the assumptions of its own sheet. The three exports come from one pass over lineitem: its per-day statistics (a table of
-    days x groups, far smaller than lineitem) are checkpointed once and read three times."""
-    stats = materialize(ad.line_stats(spark, sf))
-    occ = occ_combined(spark, sf) if media == "OPI" else pl.occ_video(workbook_facts(spark, sf, [ad.VIDEO_SHEET]))
-    dm = build_datamart(calls(spark, sf, stats), fte_comb(spark, sf, stats),
-                        assumption_daily(occ), occ_clean(spark, sf, stats), media=media)
+    """Each medium takes the assumptions of its own sheet. The three exports come from one pass over lineitem: its
+    per-day statistics (a table of days x groups, far smaller than lineitem) are stored once and read three times;
+    the planner is shaped meanwhile."""
+    def exports():
+        stats = materialize(ad.line_stats(spark, sf))
+        return stats, fte_comb(spark, sf, stats)
+
+    (stats, fte), occ = side_by_side(exports, lambda: occ_combined(spark, sf, media))
+    dm = build_datamart(calls(spark, sf, stats), fte, assumption_daily(occ), occ_clean(spark, sf, stats), media=media)
     return materialize(dm)  # what reads it (features, models, scenarios) prunes its columns
 
 
 def datamart_hour(spark: SparkSession, sf: str, media: str = "OPI") -> DataFrame:
     """The hour-wise datamart: the same parts by hour, assumptions over 168 hours joined left, missing
     ones imputed per language, and the staffing lifted at the end."""
-    stats = materialize(ad.line_stats(spark, sf, hourly=True))
-    pivoted = materialize(fte_ops.fte_pivot(fte_clean(spark, sf, stats, lenient_minute)))
-    totals = materialize(fte_ops.hybrid_split(pivoted, language_shares(spark, sf, pivoted)))
-    assumption = assumption_hourly(occ_combined(spark, sf)).withColumnRenamed("ts", "date")
+    def exports():
+        stats = materialize(ad.line_stats(spark, sf, hourly=True))
+        pivoted = materialize(fte_ops.fte_pivot(fte_clean(spark, sf, stats, lenient_minute)))
+        return stats, materialize(fte_ops.hybrid_split(pivoted, language_shares(spark, sf, pivoted)))
+
+    (stats, totals), occ = side_by_side(exports, lambda: occ_combined(spark, sf, media))
+    assumption = assumption_hourly(occ).withColumnRenamed("ts", "date")
     dm = build_datamart(calls(spark, sf, stats), fte_ops.fte_combined(totals), assumption,
                         occ_clean(spark, sf, stats, lenient_minute), media=media, assumption_join="left",
                         uplift=STAFFING_UPLIFT)

@@ -91,8 +91,8 @@ def q_datamart_hour(spark, sf):
 
 
 def _hist(spark, sf):
-    """The analysis history, checkpointed once: baseline, band join and report all read it."""
-    return materialize(la.analysis_input(pp.datamart_day(spark, sf)))
+    """The analysis history: a projection of the stored datamart, which baseline, band join and report all read."""
+    return la.analysis_input(pp.datamart_day(spark, sf))
 
 
 @query("weekly_kpi")
@@ -259,7 +259,7 @@ def q_planner_media(spark, sf):
 @query("occ_video")
 def q_occ_video(spark, sf):
     """AGG6: the assumptions of the video sheets, which name no usd."""
-    return pl.occ_video(pp.workbook_facts(spark, sf, [ad.VIDEO_SHEET]))
+    return pp.occ_combined(spark, sf, "VIDEO")
 
 
 CHOICES = ["Global L4", "Combined L5", "Combined Combined", "OLY", "Combined"]
