@@ -413,6 +413,25 @@ def test_licences(spark, docs, odd, nothing):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_licence_forms(spark):
+    notice = ("This library is free software; you can redistribute it under the terms of the GNU {}General Public License as published by the "
+              "Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+    forms = {"Licensed under CC BY 4.0": "cc-by", "licensed under the BSD 3-Clause License": "bsd-3-clause", "SPDX-License-Identifier: MPL-2.0": "mpl-2.0",
+             "GNU GPL v3 or later": "gpl-3.0", "Apache License, v2.0": "apache,apache-2.0", notice.format("", 3): "gpl,gpl-3.0",
+             notice.format("", 2): "gpl,gpl-2.0", notice.format("Lesser ", 3): "gpl,lgpl", notice.format("Affero ", 3): "agpl,gpl",
+             # a word more and a word less than the template
+             "Permission is hereby granted, free of any charge, to any person obtaining a copy of this software": "mit-text",
+             "Permission is hereby granted, of charge, to any person obtaining a copy of this software": "mit-text",
+             "permission is hereby granted to walk on the grass": "", "the public may rent a copy of the software": "", "all rights reserved": ""}
+    # informative words are those of few files: some without any licence
+    data = list(enumerate(forms)) + [(100 + i, f"plain text number {i} about the weather of any person") for i in range(60)]
+    got = {r.id: r for r in licenses.scan_licenses(spark.createDataFrame(data, DOCS)).collect()}
+    assert {t: got[i].labels for i, t in enumerate(forms)} == forms
+    for _, phrase, text in licenses.TEMPLATES:
+        parts = phrase.split(" + ")
+        assert any(f" {w} " in f" {p} " for w in licenses.TRIGGERS for p in parts) and all(f" {p} " in f" {text} " for p in parts)
+
+
 # 9 decontamination
 
 def test_masks_see_past_two_substitutions():
