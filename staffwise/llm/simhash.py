@@ -95,7 +95,9 @@ def near_links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
             byte = F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF))
             rest = rest.bitwiseOR(F.shiftleft(byte, 8 * i).cast("int"))
         postings.append(F.struct(F.lit(k).cast("byte").alias("set"), held.alias("held"), rest.alias("free")))
-    index = classes.where("rep IS NOT NULL").select("rep", F.explode(F.array(*postings)).alias("x")).select("rep", "x.*")
+    # the classes are few bytes but become 28 rows each: dealt evenly, whatever their files are
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = classes.where("rep IS NOT NULL").repartition(n, "fp").select("rep", F.explode(F.array(*postings)).alias("x")).select("rep", "x.*")
     lists = (index.groupBy("set", "held").agg(F.collect_list(F.struct("free", "rep")).alias("rows"))
              .where(F.size("rows") > 1).select(F.col("rows.free").alias("free"), F.col("rows.rep").alias("rep")))
     bits = 8 * max_bits
