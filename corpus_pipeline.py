@@ -38,12 +38,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = row.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(fps.withColumnRenamed("id", "_row"), "_row")
     groups = simhash.groups_of(named.select(F.col("doc_id").alias("id"), "fp"), max_bits=2)
     of_fp = groups.where("id IS NOT NULL").groupBy("fp").agg(F.min("component").alias("component"))
-    ranked = named.join(of_fp, "fp", "left")
-    # null ids sort last, so a row without an id is kept only where its fingerprint has no other
+    # the first row of each fingerprint is found before the join, so many copies are combined where they are
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("fp").alias("f"), "h", "_row"))
+    of_each = named.groupBy("fp").agg(first.alias("first")).join(of_fp, "fp", "left")
     key = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("component").alias("name"))).otherwise(
         F.struct(F.lit(1).alias("kind"), F.col("fp").alias("name")))
-    best = ranked.groupBy(key.alias("key")).agg(F.min_by("_row", F.struct(
-        F.col("doc_id").isNull(), "doc_id", F.col("fp"), F.col("h"), "_row")).alias("_keep"))
+    best = of_each.groupBy(key.alias("key")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_keep"))
     return row.join(best, row["_row"] == best["_keep"], "left_semi").select(*docs.columns)
 
 
