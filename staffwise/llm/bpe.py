@@ -33,7 +33,7 @@ from .common import bounded_batches, tidy
 
 CHUNK = 25_000  # words or runs in one DuckDB query
 STEP_ROWS = 3_000_000  # bound of the rows of all steps of one query: a word of n bytes has less than n * n
-MEMORY = 400_000  # words in each of the two generations a worker remembers
+MEMORY = 200_000  # words in each of the two generations a worker remembers
 LONG = 128  # bytes; longer words do not go through the recursive query
 MAX_VOCABULARY = 8 << 20  # bytes; the vocabulary is sent to every task
 
