@@ -1,15 +1,19 @@
 """SimHash near-dedup: byte-position inverted index with count filtering.
 
 A 64-bit fingerprint has eight positional bytes. Two fingerprints at Hamming distance d share at
-least 8 - d of them, so the guaranteed minimum is T = 8 - d matches. A posting list per single byte
-would hold 1/256 of all rows and pair them quadratically; the postings here are keyed by T byte
-positions with their values, one for each way to choose T of the eight. A pair that shares s bytes
-meets in C(s, T) postings, at least one exactly if its tally reaches the minimum, so the index does
-the count filtering. What differs inside a posting lies in the 8 - T other bytes, hence a posting of
-distinct fingerprints holds at most 256^(8-T) rows (65,536 at d = 2) whatever the corpus holds, and
-the exact check of the bits costs one table look-up per row and bit mask, not a pair of rows.
-
-Exact copies are merged before the index (one row per fingerprint), and a posting returns links that
+least T = 8 - d of them. A posting list holds the fingerprints with one value at one byte position. Of
+d + 1 positions a pair of tally T or more shares at least one, so the first d + 1 positions are indexed.
+Inside a list the bytes that each pair shares are tallied, pairs that reach T are kept and their bits
+compared.
+
+A list of more than ``LIST`` fingerprints is split by the value of a further position: its pairs share at
+least T - 1 of the remaining positions, so again only the next ones, d skipped in all, are needed. Lists
+are split until they are short or T positions deep, where only d bytes are free and at most 256^d
+distinct fingerprints (65,536 at d = 2) can share a list, whatever the corpus holds; these are compared
+by one look-up per row and bit mask, not by pairs. In a large corpus the first lists would all be split:
+the index starts at the depth at which evenly spread fingerprints make short lists.
+
+Exact copies are merged before the index (one row per fingerprint), and a list returns links that
 connect its rows, not all pairs, so a group of thousands of copies stays linear.
 """
 
@@ -30,6 +34,7 @@ from .components import components
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SLICE = 1 << 15  # shingles whose bits are counted at once
+LIST = 1024  # fingerprints of a posting list whose pairs are tallied; longer lists are split
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -60,64 +65,133 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _links(free: np.ndarray, rep: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the rows of one posting; ``free`` has their differing bytes as an integer."""
+def _mask(positions: tuple[int, ...]) -> int:
+    """The bytes at some positions, as a signed long."""
+    mask = sum(0xFF << (8 * p) for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _free(fp: np.ndarray, positions: int) -> np.ndarray:
+    """The bytes of fingerprints that are not among ``positions`` (a bit each), as one integer."""
+    rest = np.zeros(len(fp), np.int64)
+    for i, p in enumerate(p for p in range(8) if not positions >> p & 1):
+        rest |= (fp >> (8 * p) & 0xFF) << (8 * i)
+    return rest
+
+
+def tally(x: np.ndarray) -> np.ndarray:
+    """How many positional bytes two fingerprints share, from their difference (exclusive or, unsigned)."""
+    low = np.uint64(0x0101010101010101)
+    for shift in (4, 2, 1):
+        x = x | (x >> np.uint64(shift))  # seven places in all: a byte's lowest bit becomes the union of its own bits
+    return 8 - np.bitwise_count(x & low)
+
+
+def _tallied(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the rows of a short list: pairs by tally, then by bits, thinned to a forest."""
+    u = fp.view("<u8")
+    x = u[:, None] ^ u
+    near = tally(x) >= 8 - max_bits
+    near &= np.bitwise_count(x) <= max_bits
+    np.fill_diagonal(near, False)
+    left, a, b = near.any(1), [], []
+    while left.any():
+        front = np.array([left.argmax()])
+        left[front] = False
+        while len(front):
+            new = np.flatnonzero(near[front].any(0) & left)
+            a.append(front[near[np.ix_(front, new)].argmax(0)])
+            b.append(new)
+            left[new] = False
+            front = new
+    return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+
+
+def _looked_up(free: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the rows of a list of full depth; ``free`` has their differing bytes as an integer."""
     order = np.argsort(free)
-    free, rep = free[order], rep[order]
+    free = free[order]
     a, b = [], []
     for m in masks:
         at = np.searchsorted(free, free ^ m)
         at[at == len(free)] = 0
         hit = np.flatnonzero((free[at] == free ^ m) & (free < free ^ m))
-        a.append(rep[hit])
-        b.append(rep[at[hit]])
+        a.append(order[hit])
+        b.append(order[at[hit]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """``(a, b)`` links between the ids of distinct fingerprints that differ in 1..max_bits bits.
-
-    ``classes`` has ``fp`` (distinct) and ``rep`` (its id). A linked pair may come more than once.
+def posting_lists(classes: DataFrame, max_bits: int = 2, longest: int = LIST) -> DataFrame:
+    """``(positions, held, fp, rep)``: the index. ``positions`` has a bit per byte position of a list, ``held`` the
+    bytes there. No list is longer than ``longest`` unless it is of full depth."""
+    least = 8 - max_bits
+    spark = classes.sparkSession
+    # the classes are few bytes but become several rows each: dealt evenly, whatever their files are
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.where("rep IS NOT NULL")
+    total, depth = rows.count(), 1
+    while depth < least and total >> (8 * depth) > longest:
+        depth += 1
+    rows = rows.repartition(n, "fp").select("fp", "rep", F.lit(None).cast("int").alias("parent"))
+    short = []
+    while True:
+        keys = []
+        for at in combinations(range(depth + max_bits), depth):
+            bits = sum(1 << p for p in at)
+            keys.append(F.struct(F.lit(bits).alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(at))).alias("held"),
+                                 F.lit(bits - (1 << at[-1])).alias("parent")))
+        index = (rows.select("fp", "rep", F.col("parent").alias("split"), F.explode(F.array(*keys)).alias("x"))
+                 .where("split IS NULL OR split = x.parent").select("x.positions", "x.held", "fp", "rep"))
+        if depth == least:
+            short.append(index)
+            break
+        long, _ = stored(index.groupBy("positions", "held").count().where(F.col("count") > longest).select("positions", "held"),
+                         "simhash-long-lists")
+        short.append(index.join(long, ["positions", "held"], "left_anti"))
+        if not long.head(1):
+            break
+        split = index.join(long, ["positions", "held"], "left_semi").select("fp", "rep", F.col("positions").alias("parent"))
+        rows, _ = stored(split, "simhash-split")
+        depth += 1
+    out = short[0]
+    for more in short[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def near_links(classes: DataFrame, max_bits: int = 2, longest: int = LIST) -> DataFrame:
+    """``(a, b)`` links between the ids of distinct fingerprints that differ in 1..max_bits bits: enough of
+    them to connect all such fingerprints.
+
+    ``classes`` has ``fp`` (distinct) and ``rep`` (its id), and is read several times. A linked pair may come more than once.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits must be 0 to 3")
-    spark = classes.sparkSession
     if max_bits == 0:
-        return spark.createDataFrame([], "a long, b long")
-    free_sets = list(combinations(range(8), max_bits))
-    postings = []
-    for k, free in enumerate(free_sets):
-        mask = sum(0xFF << (8 * p) for p in free)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        held = F.col("fp").bitwiseAND(F.lit(~signed))
-        rest = F.lit(0)
-        for i, p in enumerate(free):
-            byte = F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF))
-            rest = rest.bitwiseOR(F.shiftleft(byte, 8 * i).cast("int"))
-        postings.append(F.struct(F.lit(k).cast("byte").alias("set"), held.alias("held"), rest.alias("free")))
-    # the classes are few bytes but become 28 rows each: dealt evenly, whatever their files are
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = classes.where("rep IS NOT NULL").repartition(n, "fp").select("rep", F.explode(F.array(*postings)).alias("x")).select("rep", "x.*")
-    lists = (index.groupBy("set", "held").agg(F.collect_list(F.struct("free", "rep")).alias("rows"))
-             .where(F.size("rows") > 1).select(F.col("rows.free").alias("free"), F.col("rows.rep").alias("rep")))
+        return classes.sparkSession.createDataFrame([], "a long, b long")
+    # the work of a list is the square of its few bytes: lists are dealt over all partitions
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = (posting_lists(classes, max_bits, longest).repartition(n, "positions", "held").groupBy("positions", "held").agg(F.collect_list(F.struct("fp", "rep")).alias("rows"))
+             .where(F.size("rows") > 1).select("positions", F.col("rows.fp").alias("fp"), F.col("rows.rep").alias("rep")))
     bits = 8 * max_bits
     masks = np.array([sum(1 << i for i in c) for n in range(1, max_bits + 1) for c in combinations(range(bits), n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            free, rep = batch.column(0), batch.column(1)
-            off, frees, reps = free.offsets.to_numpy(), free.values.to_numpy(), rep.values.to_numpy()
-            two = np.flatnonzero(np.diff(off) == 2)  # nearly all postings: checked together
+            positions = batch.column(0).to_numpy()
+            off, fps, reps = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
+            two = np.flatnonzero(np.diff(off) == 2)  # lists of one pair: checked together
             x, y = off[two], off[two] + 1
-            near = np.bitwise_count(frees[x] ^ frees[y]) <= max_bits
+            differ = (fps[x] ^ fps[y]).view("<u8")
+            near = (tally(differ) >= 8 - max_bits) & (np.bitwise_count(differ) <= max_bits)
             a.append(reps[x[near]])
             b.append(reps[y[near]])
             for i in np.flatnonzero(np.diff(off) > 2):
-                s = slice(off[i], off[i + 1])
-                u, v = _links(frees[s], reps[s], masks)
-                a.append(u)
-                b.append(v)
+                fp, rep = fps[off[i]:off[i + 1]], reps[off[i]:off[i + 1]]
+                u, v = _tallied(fp, max_bits) if len(fp) <= longest else _looked_up(_free(fp, int(positions[i])), masks)
+                a.append(rep[u])
+                b.append(rep[v])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return lists.mapInArrow(run, "a long, b long")
