@@ -4,10 +4,12 @@ A revisit has no body of its own. It is resolved to the latest earlier full resp
 canonical URL (an as-of join), if their validators agree, and takes that response's headers, updated
 by those header fields that a 304 answer may change.
 
-The as-of join works in two levels. Records are dealt by canonical URL and a span of time, so the
-captures of one hot URL are spread over many tasks; inside a span a window carries the last response
-forward, and across spans one summary row per URL and span does. Bodies are not moved: a resolved
-record points to the response that has the body.
+The as-of join works in two levels. All captures of a URL at one second become one point, by a partial
+aggregation, since their answer is the same: so a span of time holds at most ``SPAN_S`` points of a URL
+however often it was captured. Points are dealt by URL and span; inside a span a window carries the last
+response forward, and across spans one summary row per URL and span does. The revisits then meet their
+point, which is unique, so a hot one can be split. Bodies are not moved: a resolved record points to the
+response that has the body.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SPAN_S = 3600  # seconds of captures that one task takes for a URL
+SPAN_S = 3600  # seconds, hence points, that one window takes of a URL
 #: Header fields that a 304 answer may update (fixed values).
 UPDATABLE = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
@@ -58,22 +60,20 @@ def resolve_revisits(records: DataFrame, span_s: int = SPAN_S) -> DataFrame:
                        "etag", "last_modified", "digest", _headers(F.col("headers")).alias("headers"))
     r = r.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & F.coalesce(F.col("status").between(200, 299), F.lit(True))))
     lost = F.col("url_key").isNull() | F.col("ts").isNull()
-    r = r.where(~lost | (F.col("kind") == "revisit")).withColumn(
-        "span", F.when(lost, F.lit(None)).otherwise(F.floor(F.col("ts") / span_s)))
-    r, _ = stored(r, "warc-records")  # keys and headers are worked out once, four steps read them
-    # a revisit that can't be placed gets a span key of its own kind and meets no response
+    r, _ = stored(r.where(~lost | (F.col("kind") == "revisit")), "warc-records")  # keys and headers are worked out once
     full = F.when(F.col("kind") == "response",
                   F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    in_span = (Window.partitionBy("url_key", "span", F.when(lost, F.xxhash64("record_id", "ts"))).orderBy("ts")
-               .rangeBetween(Window.unboundedPreceding, -1))
-    here = r.withColumn("near", F.max(full).over(in_span)).where("kind = 'revisit'")
-    spans = r.where("kind = 'response'").groupBy("url_key", "span").agg(F.max(full).alias("last"))
-    keys = spans.select("url_key", "span", "last").unionByName(
-        here.where("near IS NULL AND span IS NOT NULL").select("url_key", "span").distinct(), allowMissingColumns=True)
-    over_spans = Window.partitionBy("url_key").orderBy("span").rangeBetween(Window.unboundedPreceding, -1)
-    carried = (keys.groupBy("url_key", "span").agg(F.max("last").alias("last"))
-               .withColumn("far", F.max("last").over(over_spans)).where("far IS NOT NULL").select("url_key", "span", "far"))
-    found = here.join(carried, ["url_key", "span"], "left").withColumn("full", F.coalesce("near", "far"))
+    points = (r.where(~lost).groupBy("url_key", F.floor(F.col("ts") / span_s).alias("span"), "ts")
+              .agg(F.max(full).alias("last"), F.max(F.col("kind") == "revisit").alias("asked")))
+    points, _ = stored(points, "warc-points")
+    in_span = Window.partitionBy("url_key", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    over_spans = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (points.groupBy("url_key", "span").agg(F.max("last").alias("last")).withColumn("far", F.max("last").over(over_spans))
+               .where("far IS NOT NULL").select("url_key", "span", "far"))
+    as_of = (points.withColumn("near", F.max("last").over(in_span)).where("asked").join(carried, ["url_key", "span"], "left")
+             .select("url_key", "ts", F.coalesce("near", "far").alias("full")).where("full IS NOT NULL"))
+    # a revisit that can't be placed has a null key and meets no point
+    found = r.where("kind = 'revisit'").join(as_of, ["url_key", "ts"], "left")
     same = (F.when(F.col("etag").isNotNull() & F.col("full.etag").isNotNull(), F.col("etag") == F.col("full.etag"))
             .when(F.col("last_modified").isNotNull() & F.col("full.last_modified").isNotNull(),
                   F.col("last_modified") == F.col("full.last_modified"))

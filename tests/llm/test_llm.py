@@ -290,6 +290,18 @@ def test_revisits(spark):
         15: ("no response", None), 17: ("resolved", 16), 20: ("resolved", 16)}
     assert [tuple(x) for x in got[4].headers] == [("content-type", "t"), ("date", "2"), ("etag", "e")]
     assert got[13].url_key == "b.com?a=3&b=1"
+    # one URL captured many times a second: points, not captures, fill a span
+    rng = random.Random(7)
+    hot = [(i, f"http://h.com/{'' if rng.random() < .9 else 'y'}", 3590 + rng.randrange(25), rng.choice(["response", "revisit"]),
+            rng.choice("ab"), None, None, {}, 200) for i in range(2_000)]
+    full = [(u, t, i, e) for i, u, t, k, e, *_ in hot if k == "response"]
+    want = {}
+    for i, u, t, k, e, *_ in hot:
+        if k == "revisit":
+            best = max((f[1:] for f in full if f[0] == u and f[1] < t), default=None)
+            want[i] = ("no response", None) if best is None else ("resolved", best[1]) if best[2] == e else ("changed", None)
+    found = warc.resolve_revisits(spark.createDataFrame(hot, kind)).collect()
+    assert len(found) == len(want) and {r.record_id: (r.outcome, r.response_id) for r in found} == want
     assert rows(warc.resolve_revisits(spark.createDataFrame([], kind))) == []
 
 
@@ -382,9 +394,26 @@ def test_simhash_links_of_a_dense_group(spark):
     fps = sorted({sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(1500)})
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, n) for n, f in enumerate(fps)], "fp long, rep long")
     near = [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2]
-    got = rows(simhash.near_links(df, 2))
-    assert {tuple(sorted(p)) for p in got} <= set(near)
-    assert groups(range(len(fps)), got) == groups(range(len(fps)), near)
+    for longest in (1024, 20):  # the latter splits lists down to full depth
+        got = rows(simhash.near_links(df, 2, longest))
+        assert {tuple(sorted(p)) for p in got} <= set(near)
+        assert groups(range(len(fps)), got) == groups(range(len(fps)), near)
+        index = simhash.posting_lists(df, 2, longest).groupBy("positions", "held").count()
+        assert all(n <= longest or p.bit_count() == 6 for p, _, n in rows(index))
+    assert simhash.tally(simhash.np.array([0, 1, 0x80 << 56, 0x8001, 2 ** 64 - 1, 0xFF00FF], "<u8")).tolist() == [8, 7, 7, 6, 0, 6]
+
+
+def test_simhash_splits_hot_lists(spark):
+    rng = random.Random(3)
+    fps = {rng.getrandbits(64) for _ in range(500)} | {0xABCDEF << 40 | rng.getrandbits(40) for _ in range(500)}
+    fps |= {f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))) for f in list(fps)[::3]}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, n) for n, f in enumerate(fps)], "fp long, rep long")
+    for bits in (1, 2, 3):
+        near = [(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= bits]
+        got = rows(simhash.near_links(df, bits, 50))
+        assert near and {tuple(sorted(p)) for p in got} <= set(near)
+        assert groups(range(len(fps)), got) == groups(range(len(fps)), near)
 
 
 # 8 licences
