@@ -11,7 +11,8 @@ least T - 1 of the remaining positions, so again only the next ones, d skipped i
 are split until they are short or T positions deep, where only d bytes are free and at most 256^d
 distinct fingerprints (65,536 at d = 2) can share a list, whatever the corpus holds; these are compared
 by one look-up per row and bit mask, not by pairs. In a large corpus the first lists would all be split:
-the index starts at the depth at which evenly spread fingerprints make short lists.
+the index starts at the depth at which evenly spread fingerprints make lists of an eighth of ``LIST`` or
+less, so that only uneven ones are split.
 
 Exact copies are merged before the index (one row per fingerprint), and a list returns links that
 connect its rows, not all pairs, so a group of thousands of copies stays linear.
@@ -130,9 +131,9 @@ def posting_lists(classes: DataFrame, max_bits: int = 2, longest: int = LIST) ->
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.where("rep IS NOT NULL")
     total, depth = rows.count(), 1
-    while depth < least and total >> (8 * depth) > longest:
+    while depth < least and total >> (8 * depth) > longest // 8:
         depth += 1
-    rows = rows.repartition(n, "fp").select("fp", "rep", F.lit(None).cast("int").alias("parent"))
+    rows = rows.repartition(n, "fp").select("fp", "rep", F.lit(None).cast("int").alias("split"))
     short = []
     while True:
         keys = []
@@ -140,8 +141,8 @@ def posting_lists(classes: DataFrame, max_bits: int = 2, longest: int = LIST) ->
             bits = sum(1 << p for p in at)
             keys.append(F.struct(F.lit(bits).alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(at))).alias("held"),
                                  F.lit(bits - (1 << at[-1])).alias("parent")))
-        index = (rows.select("fp", "rep", F.col("parent").alias("split"), F.explode(F.array(*keys)).alias("x"))
-                 .where("split IS NULL OR split = x.parent").select("x.positions", "x.held", "fp", "rep"))
+        wanted = F.filter(F.array(*keys), lambda x: F.col("split").isNull() | (F.col("split") == x["parent"]))
+        index = rows.select("fp", "rep", F.explode(wanted).alias("x")).select("x.positions", "x.held", "fp", "rep")
         if depth == least:
             short.append(index)
             break
@@ -150,7 +151,7 @@ def posting_lists(classes: DataFrame, max_bits: int = 2, longest: int = LIST) ->
         short.append(index.join(long, ["positions", "held"], "left_anti"))
         if not long.head(1):
             break
-        split = index.join(long, ["positions", "held"], "left_semi").select("fp", "rep", F.col("positions").alias("parent"))
+        split = index.join(long, ["positions", "held"], "left_semi").select("fp", "rep", F.col("positions").alias("split"))
         rows, _ = stored(split, "simhash-split")
         depth += 1
     out = short[0]
