@@ -15,9 +15,14 @@ the text's. Only such words change a score, so no other doubled letter or gap ne
 that plain neighbours often spell by chance ("los ta") is no evidence then: clean labelled rows in which
 it is decoded from such a place count against it there.
 
-The classifier is learnt from labelled rows: words and word beginnings whose rate in toxic rows is
-high by the lower end of a Wilson interval. Support counts distinct neighbour pairs, not documents,
-so that copies of one text count once. A document's score is that of its strongest word.
+The classifier is a logistic regression over words and word beginnings of the restored text, fitted by
+Spark on labelled rows that are stored once, restored, equal texts as one row. Its vocabulary is what stands
+in toxic rows far more often than in all rows, by the lower end of a Wilson interval; support counts distinct
+neighbour pairs, not documents, so that near copies of one text don't vouch for a word. The evidence of all
+distinct entries that a text holds adds up, and the score is the regression's probability. Words of one writer
+stand together, so a regression spreads their evidence; a text with a single one of them still scores no less than
+the lower end of that word's own rate, if it is strong. Only strong entries, those whose rate alone says toxic, open
+lattices at doubled letters and gaps.
 """
 
 from __future__ import annotations
@@ -26,16 +31,18 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import bounded_batches, forget, stored, tidy
 
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœßúùûüÿý"  # symbol 0 is any non-letter
 SIZE = 64
@@ -48,14 +55,17 @@ SWAP, DROP, REPEAT, KEEP_SIGN, BREAK = 0.7, 0.7, 0.7, 4.0, 2.5
 
 SAMPLE = 20_000  # labelled rows that the classifier is fitted on at most
 MIN_SUPPORT = 5
-MIN_RATE = 0.6
-BEGINNING_RATE = 0.9  # of word beginnings, which other words share
+MIN_RATE = 0.6  # of a strong entry
+BEGINNING_RATE = 0.9  # of strong word beginnings, which other words share
+LIFT = 2.0  # an entry's rate in toxic rows against that of all rows
+RIDGE = 0.7  # squared weights cost half of this, against the log loss summed over the labelled rows
+SURE = 1e-9  # probabilities are kept this far from 0 and 1
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 Z = 1.96
 FLUSH = 400_000  # features a task holds before it passes them on
 BLOCK = 1 << 20  # characters whose trigrams are counted at once
-REMEMBER = 50_000  # decoded spans that a worker remembers
+REMEMBER, REMEMBER_CHARS = 50_000, 200  # decoded spans that a worker remembers, and the longest of them
 
 LETTER, SIGN, SEPARATOR = 1, 2, 4
 BARRIER = "\n"  # in a skeleton: any sign that is no letter, look-alike or separator
@@ -122,14 +132,25 @@ def log_model(cube: np.ndarray, k: float = 5.0) -> np.ndarray:
 
 @dataclass
 class Model:
-    """cost: the character model; weights: word -> score, or "beginning*" -> score; base: no word found;
-    hidden: the weights of words decoded from places that only a known word makes suspicious."""
+    """cost: the character model; weights: word -> probability of a text that holds only it, or "beginning*" ->
+    the same; base: that of a text that holds none; rates: strong entry -> the least score of a text that holds it;
+    hidden: the same for entries decoded from places that only a known word makes suspicious (None: all, no least score)."""
     cost: np.ndarray
     weights: dict[str, float]
     base: float
+    rates: dict[str, float] = field(default_factory=dict)
     hidden: dict[str, float] | None = None
 
 
+def logit(p: float) -> float:
+    p = min(max(p, SURE), 1 - SURE)
+    return math.log(p / (1 - p))
+
+
+def probability(x: float) -> float:
+    return 1 / (1 + math.exp(-min(max(x, -700.0), 700.0)))
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Where a lower-case text looks disguised: signs inside words, letters written three times or set apart."""
     a = codes(text)
@@ -226,13 +247,16 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.seen = model, {}
+        self.base = logit(model.base)
+        self.evidence = {key: logit(w) - self.base for key, w in model.weights.items()}
+        self.strong = dict.fromkeys(model.weights, 0.0) if model.hidden is None else model.hidden
         self.words = ahocorasick.Automaton() if model.weights else None
-        for key, weight in model.weights.items():
+        for key in model.weights:
             part = key.rstrip("*")
-            old = self.words.get(part, (len(part), 0.0, 0.0))
-            self.words.add_word(part, (len(part), old[1] if key != part else weight, weight if key != part else old[2]))
-        self.skeletons, self.aliases = ahocorasick.Automaton(), {}
-        for key, weight in model.weights.items():
+            _, whole, start = self.words.get(part, (len(part), False, False))
+            self.words.add_word(part, (len(part), whole or key == part, start or key != part))
+        self.skeletons, self.aliases = ahocorasick.Automaton() if self.strong else None, {}
+        for key in self.strong:
             part = key.rstrip("*")
             bones = skeleton(part)[0]
             n, forms = self.skeletons.get(bones, (len(bones), set()))
@@ -241,6 +265,7 @@ class Scorer:
                 self.aliases.setdefault(clear, []).append(key)
         if self.words is not None:
             self.words.make_automaton()
+        if self.skeletons is not None:
             self.skeletons.make_automaton()
 
     def clear(self, span: str, plain: bool = False) -> str:
@@ -248,7 +273,8 @@ class Scorer:
             clear = restore_span(span, self.model.cost, plain)
             if len(self.seen) >= REMEMBER:
                 self.seen.clear()
-            self.seen[span, plain] = clear
+            if len(span) <= REMEMBER_CHARS:
+                self.seen[span, plain] = clear
         return clear
 
     def restore(self, text: str) -> tuple[str, int]:
@@ -264,7 +290,7 @@ class Scorer:
 
     def hidden(self, text: str) -> list[str]:
         """Parts of a lower-case text that a path of the lattice may turn into a known word, those spelled plainly left out."""
-        if self.words is None:
+        if self.skeletons is None:
             return []
         bones, at = skeleton(text)
         found = set()
@@ -307,15 +333,14 @@ class Scorer:
     def score(self, text: str | None) -> tuple[float, int]:
         text = (text or "").lower()
         clear, changed = self.restore(text)
-        weights = self.model.weights
-        best = max([self.model.base, *(weights[k] for k in self.known(clear))])
-        if self.model.hidden is not None:
-            weights = self.model.hidden
+        held = set(self.known(clear))
+        least = max((self.model.rates.get(k, 0.0) for k in held), default=0.0)
         for span, keys in self.decoded(text):
-            got = max(weights.get(k, 0.0) for k in keys)
-            changed += got > 0 and not spans(span)
-            best = max(best, got)
-        return best, changed
+            if strong := [self.strong[k] for k in keys if k in self.strong]:
+                changed += not spans(span)
+                held.update(keys)
+                least = max(least, *strong)
+        return max(least, probability(self.base + math.fsum(self.evidence[k] for k in held))), changed
 
 
 def features(word: str) -> list[str]:
@@ -333,21 +358,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the ``sample`` labelled ids of smallest hash; the character model uses all texts.
 
     Labels that are not 0 or 1 and null ids are ignored; of contradicting labels of an id the larger
-    counts. With no toxic row the model knows no words and every text gets the same low score.
+    counts. With rows of one label only the model knows no words and every text gets the same low score.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     cost = log_model(trigram_counts(docs, text_col))
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
               .orderBy(F.xxhash64("id"), "id").limit(sample))
     known = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-             .join(F.broadcast(chosen), "id").select("text", F.col("y").cast("int")))  # at most ``sample`` ids
+             .join(F.broadcast(chosen), "id").select(F.lower("text").alias("text"), F.col("y").cast("int"))  # at most ``sample`` ids
+             .dropDuplicates(["text", "y"]))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(cost, {}, 0.0))
+        for b in batches:
+            clear = pa.array([scorer.restore(t.as_py())[0] for t in b.column(0)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), clear, b.column(1)], ["text", "clear", "y"])
+        tidy()
+
+    rows, path = stored(known.mapInArrow(restored, "text string, clear string, y int"), "toxicity-rows")
+    number = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    n1, n0 = number.get(1, 0), number.get(0, 0)
+    nothing = 0.1 * (n1 + 0.5) / (n1 + n0 + 1)
+    if not n1 or not n0:
+        forget(spark, path)
+        return Model(cost, {}, nothing)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def rows() -> pa.RecordBatch:
+        def sums() -> pa.RecordBatch:
             keys = list(n[0].keys() | n[1].keys())
             out = pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()),
@@ -358,61 +399,83 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             for text, y in zip(b.column(0), b.column(1).to_pylist()):
-                got = {f for w in set(WORD.findall(scorer.restore(text.as_py())[0])) for f in features(w)}
-                n[y].update(got)
-                n[y][""] += 1
+                n[y].update({f for w in set(WORD.findall(text.as_py())) for f in features(w)})
                 if len(n[0]) + len(n[1]) > FLUSH:
-                    yield rows()
-        yield rows()
+                    yield sums()
+        yield sums()
         tidy()
 
-    sums = known.mapInArrow(counted, "feature string, n1 long, n0 long").groupBy("feature").agg(
+    sums = rows.select("clear", "y").mapInArrow(counted, "feature string, n1 long, n0 long").groupBy("feature").agg(
         F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # bounded by the sample
-    got = {r.feature: (r.n1, r.n0) for r in sums.where(f"feature = '' OR (n1 >= {MIN_SUPPORT} AND n1 > n0)").collect()}
-    n1, n0 = got.pop("", (0, 0))
+    least = min(MIN_RATE, LIFT * n1 / (n1 + n0))
+    often = sums.where((F.col("n1") >= MIN_SUPPORT) & (F.col("n1") >= least * (F.col("n1") + F.col("n0"))))
+    got = {r.feature: (r.n1, r.n0) for r in often.collect()}  # bounded by the sample
     candidates = frozenset(got)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Model(cost, {}, 0.0))
         for b in batches:
             seen = set()
             for text in b.column(0):
-                words = ["", *WORD.findall(scorer.restore(text.as_py())[0]), ""]
+                words = ["", *WORD.findall(text.as_py()), ""]
                 for i in range(1, len(words) - 1):
                     for f in features(words[i]):
                         if f in candidates:
                             seen.add((f, xxhash.xxh64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1))
-            rows = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()),
-                                              pa.array([r[1] for r in rows], pa.int64())], ["feature", "context"])
+            out = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()),
+                                              pa.array([r[1] for r in out], pa.int64())], ["feature", "context"])
 
-    weights, support, hidden = {}, {}, {}
+    vocabulary, support = [], {}
     if candidates:
-        varied = (known.where("y = 1").select("text").mapInArrow(contexts, "feature string, context long").distinct()
+        varied = (rows.where("y = 1").select("clear").mapInArrow(contexts, "feature string, context long").distinct()
                   .groupBy("feature").count().collect())
         for r in varied:
             k = min(r["count"], got[r.feature][0])
-            least = BEGINNING_RATE if r.feature.endswith("*") else MIN_RATE
             if k >= MIN_SUPPORT and (w := wilson(k, k + got[r.feature][1])) >= least:
-                weights[r.feature], support[r.feature] = w, k
+                vocabulary.append(r.feature)
+                if w >= strong_rate(r.feature):
+                    support[r.feature] = k
+    if not vocabulary:
+        forget(spark, path)
+        return Model(cost, {}, nothing)
+    base, weights = regression(rows, sorted(vocabulary), n1 + n0)
 
     def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, n = Scorer(Model(cost, weights, 0.0)), Counter()
+        scorer, n = Scorer(Model(cost, dict.fromkeys(support, 1.0), 0.0)), Counter()
         for b in batches:
             for text in b.column(0):
-                n.update({k for _, keys in scorer.decoded(text.as_py().lower()) for k in keys})
+                n.update({k for _, keys in scorer.decoded(text.as_py()) for k in keys})
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
         tidy()
 
-    if weights:
-        by_chance = {r.feature: r.n for r in known.where("y = 0").select("text").mapInArrow(chances, "feature string, n long")
-                     .groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # bounded by the weights
-        for f, k in support.items():
-            w = wilson(k, k + got[f][1] + by_chance.get(f, 0))
-            if w >= (BEGINNING_RATE if f.endswith("*") else MIN_RATE):
-                hidden[f] = w
-    return Model(cost, weights, 0.1 * (n1 + 0.5) / (n1 + n0 + 1), hidden)
+    by_chance = {} if not support else {
+        r.feature: r.n for r in rows.where("y = 0").select("text").mapInArrow(chances, "feature string, n long")
+        .groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # bounded by the vocabulary
+    forget(spark, path)
+    rates = {f: wilson(k, k + got[f][1]) for f, k in support.items()}
+    hidden = {f: w for f, k in support.items() if (w := wilson(k, k + got[f][1] + by_chance.get(f, 0))) >= strong_rate(f)}
+    return Model(cost, weights, base, rates, hidden)
+
+
+def strong_rate(feature: str) -> float:
+    return BEGINNING_RATE if feature.endswith("*") else MIN_RATE
+
+
+def regression(rows: DataFrame, vocabulary: list[str], n: int) -> tuple[float, dict[str, float]]:
+    """Logistic regression of ``y`` on the entries that each of the ``n`` ``clear`` texts holds: the probability
+    of a text without any, and of one with a single entry."""
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(None, dict.fromkeys(vocabulary, 1.0), 0.0, hidden={}))
+        for b in batches:
+            keys = [sorted(set(scorer.known(t.as_py()))) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.string())), b.column(1)], ["keys", "y"])
+
+    counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="keys", outputCol="x")
+    data, path = stored(rows.select("clear", F.col("y").cast("double")).mapInArrow(held, "keys array<string>, y double"), "toxicity-keys")
+    fitted = LogisticRegression(featuresCol="x", labelCol="y", regParam=RIDGE / n, standardization=False).fit(counted.transform(data))
+    forget(data.sparkSession, path)
+    b = fitted.intercept
+    return probability(b), {f: probability(b + w) for f, w in zip(vocabulary, fitted.coefficients.toArray().tolist())}
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text",

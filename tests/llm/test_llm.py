@@ -223,7 +223,7 @@ def test_viterbi_restores_disguised_words():
     scorer = toxicity.Scorer(model)
     for t, want in [("You 1d!0t", 0.9), ("i.d.i.o.t", 0.9), ("idiooooot", 0.9), ("i d i o t", 0.9), ("l0s3r!", 0.8),
                     ("m0r0ns", 0.95), ("the end", 0.01), ("", 0.01), (None, 0.01), ("closer loserly", 0.01)]:
-        assert scorer.score(t)[0] == want, t
+        assert scorer.score(t)[0] == pytest.approx(want), t
 
 
 def test_viterbi_reaches_every_form_of_the_channel():
@@ -235,8 +235,61 @@ def test_viterbi_reaches_every_form_of_the_channel():
     scorer = toxicity.Scorer(toxicity.Model(toxicity.log_model(cube), weights, 0.01))
     for t, want in [("idiiot", 0.9), ("an id-iot.", 0.9), ("st.upid", 0.85), ("a los er", 0.8), ("i  d  i  o  t", 0.9),
                     ("i - d - i - o - t", 0.9), ("a r e", 0.7), ("l0s er", 0.8), ("mor-ons", 0.95), ("lloosseerr", 0.8),
-                    ("stupid-loser", 0.85), ("closer", 0.01), ("los, er", 0.01), ("loss of the", 0.01), ("los\ner", 0.01)]:
-        assert scorer.score(t)[0] == want, t
+                    ("stupid-loser", 17 / 3 * 4 * 99 / (1 + 17 / 3 * 4 * 99)), ("closer", 0.01), ("los, er", 0.01), ("loss of the", 0.01), ("los\ner", 0.01)]:
+        assert scorer.score(t)[0] == pytest.approx(want), t
+
+
+def test_viterbi_finds_the_cheapest_of_all_paths():
+    text = " the idiot and the loser are stupid worthless morons in this of on " * 50
+    cube = np.zeros(toxicity.SIZE ** 3)
+    s = toxicity.SYMBOL[toxicity.codes(text)].astype(int)
+    np.add.at(cube, s[:-2] * 4096 + s[1:-1] * 64 + s[2:], 1)
+    cost = toxicity.log_model(cube)
+
+    def options(span, i, plain):
+        ch, before = span[i], span[i - 1] if i else ""
+        if ch.isalpha():
+            return [(ch, 0.0)] + [("", toxicity.REPEAT)] * (ch == before)
+        usual = plain and (ch == " " or not any(c.isalpha() for c in span[max(0, i - 1):i + 2]))
+        swaps = [(c, toxicity.SWAP) for c in toxicity.LOOKALIKES.get(ch, "")]
+        if ch in toxicity.SEPARATORS:
+            return [*swaps, ("", toxicity.DROP), (ch, 0.0 if usual else toxicity.BREAK)]
+        return [*swaps, (ch, 0.0 if usual else toxicity.KEEP_SIGN)]
+
+    def price(out):
+        at = [0, 0, *(int(toxicity.SYMBOL[ord(c)]) for c in out), 0]
+        return sum(float(cost[a, b, c]) for a, b, c in zip(at, at[1:], at[2:]))
+
+    rng = random.Random(3)
+    for _ in range(150):
+        span = "".join(rng.choice("iddot10l$er. -!") for _ in range(rng.randint(1, 8)))
+        for plain in (False, True):
+            paths = [("", 0.0)]
+            for i in range(len(span)):
+                paths = [(o + c, p + x) for o, p in paths for c, x in options(span, i, plain)]
+            all_costs = {}
+            for o, p in paths:
+                all_costs[o] = min(all_costs.get(o, math.inf), p + price(o))
+            assert all_costs[toxicity.restore_span(span, cost, plain)] == pytest.approx(min(all_costs.values()), abs=1e-4), span
+
+
+def test_toxicity_evidence_adds_up(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice(["an", "ter", "on", "es", "li", "mo"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    data, labels = [], []
+    for i in range(1600):  # each weak word stands in clean texts too, both together only in toxic ones
+        text, toxic = [rng.choice(plain) for _ in range(30)], int(i % 8 == 0)
+        hints = ["wretch", "foul"] if toxic else [["wretch"], ["foul"], [], [], [], [], []][i % 8 - 1]
+        for w in hints:
+            text[rng.randrange(30)] = w
+        data.append((i, " ".join(text)))
+        labels.append((i, toxic))
+    model = toxicity.fit(spark.createDataFrame(data, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scorer = toxicity.Scorer(model)
+    none, one, other, both = (scorer.score(t)[0] for t in ("anter moli", "anter wretch moli", "foul moli", "wretch anter foul"))
+    assert none < min(one, other) and max(one, other) < 0.5 < 0.7 < both
+    assert scorer.score("wretch wretch moli")[0] == one  # repeats add nothing
+    assert scorer.score("wr3tch anter f0ul")[0] == both
 
 
 def test_toxicity_held_out(spark, odd, nothing):
