@@ -13,8 +13,10 @@ joined, and the whole item is compared at each hit. Tokens are words, and single
 that are written without blanks; such a character counts as the part of a word that it is on average.
 
 The benchmark is a stated query set. It is cut into blocks of bounded size, and each block is sent
-to all tasks, which join its hashes with those of their texts in sorted arrays. Texts are neither
-shuffled nor cut; the blocks follow each other over the same rows.
+to all tasks, which join its hashes with those of their texts in sorted arrays. Where there are several
+blocks, each is a job of its own over the stored texts that writes what it finds to the shared folder, and is
+freed before the next one is read, so the driver and the executors hold one block at a time however large the
+benchmark is; the finds are then joined to the rows.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import bounded_batches, stored, tidy
 
 SPAN, PARTS, LEFT_OUT = 12, 4, 2
 PIECE = 3
@@ -44,6 +46,7 @@ MIN_EQUAL = 0.8  # share of equal tokens in an overlap
 BLOCK_CHARS = 16 << 20  # characters of the benchmark in one block
 MULTIPLIER = 0x9E3779B97F4A7C15
 PIECE_CHARS = 4 << 20  # of texts that are searched together
+ROW = "_decontaminate_row"
 BITS = 22  # of the table that tells most foreign hashes before the join
 
 
@@ -334,14 +337,28 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "item IS NOT NULL AND length(text) > 0").distinct()
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
     n_blocks = max(1, math.ceil(size.c / block_chars))
-    spans = "array<struct<item:bigint,start:bigint,end:bigint>>"
-    out = docs.withColumn("_spans", F.array().cast(spans))
-    at = docs.columns.index(text_col)
-    for k in range(n_blocks):
+    kind = "array<struct<item:bigint,start:bigint,end:bigint>>"
+    nothing = F.array().cast(kind)
+
+    def block(k: int):
+        """Block ``k`` of the items, sent to the executors: about ``block_chars`` characters."""
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k).orderBy("item", "text")
-        rows = [(r.item, r.text) for r in part.collect()]  # about block_chars characters
-        sent = spark.sparkContext.broadcast((rows, min_tokens, min_equal))
-        out = out.mapInArrow(_search(sent, at), out.schema)
+        return spark.sparkContext.broadcast(([(r.item, r.text) for r in part.collect()], min_tokens, min_equal))
+
+    if n_blocks == 1:
+        out = docs.withColumn("_spans", nothing)
+        out = out.mapInArrow(_search(block(0), docs.columns.index(text_col)), out.schema)
+    else:
+        rows, _ = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")  # ids that stay
+        texts, found = rows.select(ROW, text_col).withColumn("_spans", nothing), []
+        for k in range(n_blocks):
+            sent = block(k)
+            hits = texts.mapInArrow(_search(sent, 1), texts.schema).where(F.size("_spans") > 0).select(ROW, "_spans")
+            found.append(stored(hits, "decontaminate-found")[1])
+            sent.destroy()
+        finds = spark.read.schema(hits.schema).parquet(*found).groupBy(ROW).agg(  # a list per block and row
+            F.array_sort(F.flatten(F.collect_list("_spans"))).alias("_spans"))
+        out = rows.join(finds, ROW, "left").select(*docs.columns, F.coalesce("_spans", nothing).alias("_spans"))
     return out.withColumn("_items", F.array_sort(F.array_distinct(F.col("_spans.item"))))
 
 

@@ -543,6 +543,10 @@ def test_decontamination(spark, odd, nothing):
     assert sum(bool(got[i]) for i in got if i not in want) <= sum(len(t.split()) <= 3 for _, t in items) * 3
     blocks = decontaminate.find_overlaps(spark.createDataFrame(data, DOCS), bench, block_chars=500)
     assert {r.doc_id: list(r._items) for r in blocks.collect()} == got
+    odd_blocks = decontaminate.find_overlaps(odd, bench, block_chars=5000)
+    assert odd_blocks.columns == [*odd.columns, "_spans", "_items"]
+    assert sorted(map(str, odd_blocks.collect())) == sorted(map(str, decontaminate.find_overlaps(odd, bench).collect()))
+    assert rows(decontaminate.find_overlaps(nothing, bench, block_chars=20_000)) == []
     assert {r.doc_id for r in decontaminate.clean(spark.createDataFrame(data, DOCS), bench).collect()} == {i for i in got if not got[i]}
     assert len(decontaminate.find_overlaps(odd, bench).collect()) == len(ODD)
     assert rows(decontaminate.find_overlaps(nothing, bench)) == []
